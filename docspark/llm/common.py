@@ -36,6 +36,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone``: few ids are broadcast, many are shuffled."""
+    gone = keep(gone.where("doc_id is not null").distinct(), "gone")
+    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, label), label being the smallest node of the component.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import keep, small
+from .common import keep, small, without
 
 WINDOW = 10
 #: How many of a window's rarest terms have their position lists intersected before the exact comparison.
@@ -136,3 +136,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` with its columns, without the rows that hold a window of a benchmark item."""
+    small_docs = docs.select("doc_id", "text")
+    windows, postings, counts = build_index(small_docs, items)
+    return without(docs, phrase_matches(small_docs, windows, postings, counts).select("doc_id"))

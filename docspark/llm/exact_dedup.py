@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import keep
+from .common import keep, without
 
 #: Runs that one merge round joins into one.
 FAN_IN = 16
@@ -75,9 +75,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns. Of rows that repeat a doc_id and a text, one stays."""
-    groups = exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct()
-    mark = F.sha2(normalised(F.col("text")), 256)
-    left = docs.withColumn("__sha", mark)
-    on = left["doc_id"].eqNullSafe(groups["doc_id"]) & (left["__sha"] == groups["__sha"])
-    return left.join(groups, on, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    """The rows of ``docs`` that stay, with its columns: those whose doc_id isn't that of a copy."""
+    return without(docs, exact_groups(docs).where("not kept").select("doc_id"))
