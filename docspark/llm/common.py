@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side of a join is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 200_000
+#: Bytes of text that a Python task handles at once.
+SLICE_BYTES = 3_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +42,42 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut so that ``column`` (text or binary) has about ``most`` bytes in each: bounds a task's memory."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(total // most, append=-1)) + 1
+        at = 0
+        for to in cuts.tolist():
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def zipped(docs: DataFrame) -> DataFrame:
+    """``docs`` with its text compressed to binary, for joins that have to shuffle whole texts; undone by ``unzipped``."""
+    shape = docs.select(*(F.col(c) for c in docs.columns if c != "text"), F.encode("text", "UTF-8").alias("text")).schema
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        tool = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches):
+            packed = pa.array([tool.compress(t.encode()) for t in batch["text"].to_pylist()], pa.binary())
+            yield batch.drop_columns(["text"]).append_column("text", packed)
+
+    return docs.select(*(c for c in docs.columns if c != "text"), "text").mapInArrow(press, shape)
+
+
+def unzipped(data: list[bytes]) -> list[bytes]:
+    """The UTF-8 bytes of each text packed by ``zipped``."""
+    import zstandard
+
+    tool = zstandard.ZstdDecompressor()
+    return [tool.decompress(x) for x in data]
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``gone``: few ids are broadcast, many are shuffled."""
     gone = keep(gone.where("doc_id is not null").distinct(), "gone")

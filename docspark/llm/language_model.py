@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import keep
+from .common import keep, slices
 from .shared_keys import parts_for
 
 #: Words that the model knows by themselves; all others belong to a class. Both bound the model, not the corpus.
@@ -105,7 +105,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                 )
             seen.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for bucket, out, text in zip(batch["bucket"].to_pylist(), batch["held_out"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 counter = seen.setdefault(bucket, Counter())
                 words = tokens(text)
@@ -125,7 +125,7 @@ def _pair_counts(docs: DataFrame, model: Model) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n * n, np.int64)
         memo: dict[bytes, int] = dict(ids)
-        for batch in batches:
+        for batch in slices(batches):
             if len(memo) > FLUSH_WORDS:
                 memo = dict(ids)
             every = [tokens(t) for t in batch["text"].to_pylist()]
@@ -172,7 +172,7 @@ def fit_and_score(docs: DataFrame) -> DataFrame:
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * PREFIX_CLASSES, np.int64)
-        for batch in batches:
+        for batch in slices(batches, "word"):
             for w, c in zip(batch["word"].to_pylist(), batch["c"].to_pylist(), strict=True):
                 if c and w not in ids:
                     total[word_class(w)] += c + 1

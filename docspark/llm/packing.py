@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keep
+from .common import keep, slices
 
 CAPACITY = 2048
 #: Pieces that one task packs at once, and partitions that exchange pieces in a repacking round.
@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, ids in zip(batch["doc_id"].to_pylist(), encoder(tokenizer).encode(batch["text"].to_pylist()), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

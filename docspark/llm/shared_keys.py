@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keep
+from .common import slices
 
 #: Bytes of text for each of the parts that keys are dealt to.
 PART_BYTES = 8_000_000
@@ -41,7 +42,7 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = [np.unique(k) for k in keys_of(batch["text"].to_pylist())]
             if not own:
                 continue
@@ -66,9 +67,13 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]
             p, k, d = zip(*rows, strict=True)
             yield pa.record_batch([pa.array(p, pa.int32()), pa.nulls(len(p), pa.int64()), pa.array(k, pa.binary()), pa.array(d, pa.binary())], schema=_KINDS)
 
-    sent = keep(docs.select("doc_id", "text").mapInArrow(send, "part int, doc_id long, keys binary, docs binary"), "keys")
+    sent = docs.select("doc_id", "text").mapInArrow(send, "part int, doc_id long, keys binary, docs binary")
 
     def meet(group: pa.Table) -> pa.Table:
+        told = group.filter(pc.is_valid(group["doc_id"]))
+        group = group.filter(pc.is_null(group["doc_id"]))
+        if not group.num_rows:
+            return told.select(["doc_id", "keys"])
         keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group["keys"]])
         both = [np.frombuffer(x.as_py(), np.int64) for x in group["docs"]]
         ids = np.concatenate([x[: len(x) // 2] for x in both])
@@ -79,8 +84,10 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]
         run = np.cumsum(first) - 1
         shared = np.bincount(run)[run] > 1
         got = _by_doc(keys[shared & ~known], ids[shared & ~known])
-        return pa.Table.from_batches([got] if got is not None else [], _KINDS).select(["doc_id", "keys"])
+        out = pa.Table.from_batches([got] if got is not None else [], _KINDS).select(["doc_id", "keys"])
+        return pa.concat_tables([out, told.select(["doc_id", "keys"]).cast(out.schema)])
 
-    across = sent.where("part is not null").select("part", "keys", "docs").groupBy("part").applyInArrow(meet, "doc_id long, keys binary")
-    within = sent.where("part is null").select("doc_id", "keys")
-    return across.unionByName(within).groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    # what a task already knows to be shared goes along to a part of its own number, so that the texts are read once
+    part = F.coalesce("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).alias("part")
+    found = sent.select(part, "doc_id", "keys", "docs").groupBy("part").applyInArrow(meet, "doc_id long, keys binary")
+    return found.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))

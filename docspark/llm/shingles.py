@@ -9,7 +9,7 @@ _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
 _IN_WORD[128:] = True
-_BATCH_BYTES = 8_000_000
+_BATCH_BYTES = 2_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Repeated passages: bytes covered by a 50-byte string that also starts in a document with a smaller doc_id.
 
-Content-chosen anchors deal the work out: of the 16-byte strings in any 50-byte window the one with the smallest hash is the
+Content-chosen anchors deal the work out: of the 24-byte strings in any 50-byte window the one with the smallest hash is the
 window's anchor, so equal windows have equal anchors wherever they stand. Only windows whose anchor occurs in several
 documents can repeat; they are brought together by anchor, and the suffixes of the distinct ones are sorted by the
 difference-cover method (sampled triples, recursion on their names, merge of the rest); neighbours that agree in
@@ -14,26 +14,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keep
+from .common import slices, unzipped, zipped
 from .shared_keys import parts_for, shared_keys
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 24
 _NO_ID = -(2**63)
-_BATCH_BYTES = 8_000_000
+_BATCH_BYTES = 2_000_000
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of all 16-byte strings of ``data``, by doubling."""
+    """Hashes of all GRAM-byte strings of ``data``: those of 8 bytes by doubling, then joined."""
     from .shingles import mixed
 
     h = mixed(np.arange(1, 257, dtype=np.uint64))[data]
     step = 1
-    while step < GRAM:
+    while step < 8:
         h = h[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * step) + h[step:]
         step *= 2
-    return mixed(h)
+    n = len(data) - GRAM + 1
+    total = np.zeros(n, np.uint64)
+    for k in range(0, GRAM, 8):
+        total = total * np.uint64(0xD6E8FEB86659FD93) + h[k : k + n]
+    return mixed(total)
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -157,15 +162,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _contexts(parts: int):
-    """Windows in a row with one shared anchor, as rows with a part; parts of texts found to repeat at once, as rows without."""
+    """Windows in a row with one shared anchor, as rows with a context; stretches found to repeat at once, as rows without."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             done: list[tuple] = []
-            columns = (batch[c].to_pylist() for c in ("doc_id", "mark", "text", "keys"))
-            for doc, mark, text, keys in zip(*columns, strict=True):
-                raw = text.encode()
+            doc_ids, marks, lists = (batch[c].to_pylist() for c in ("doc_id", "mark", "keys"))
+            for doc, mark, raw, keys in zip(doc_ids, marks, unzipped(batch["text"].to_pylist()), lists, strict=True):
                 data = np.frombuffer(raw, np.uint8)
                 if len(data) < WINDOW:
                     continue
@@ -176,10 +180,10 @@ def _contexts(parts: int):
                 for anchor, a, b in zip(anchors[first[shared]].tolist(), first[shared].tolist(), (last[shared] + WINDOW).tolist(), strict=True):
                     spots = seen.setdefault((anchor, raw[a:b]), [])
                     if spots and spots[0][0] < doc:
-                        done.append((None, None, doc, mark, a, b, None))
+                        done.append((doc % parts, None, doc, mark, a, b, None))
                         continue
                     if spots and spots[0][0] > doc:
-                        done += [(None, None, d, m, s, s + b - a, None) for d, m, s in spots]
+                        done += [(d % parts, None, d, m, s, s + b - a, None) for d, m, s in spots]
                         spots.clear()
                     spots.append((doc, mark, a))
             rows = [(anchor % parts, anchor - 2**63, d, m, s, s + len(context), context) for (anchor, context), spots in seen.items() for d, m, s in spots]
@@ -192,6 +196,10 @@ def _contexts(parts: int):
 
 def _repeats(table: pa.Table) -> pa.Table:
     """The repeated stretches (doc_id, mark, start, end) of a part's contexts."""
+    told = table.filter(pc.is_null(table["context"])).select(["doc_id", "mark", "start", "end"])
+    table = table.filter(pc.is_valid(table["context"]))
+    if not table.num_rows:
+        return told
     codes = table["context"].combine_chunks().dictionary_encode()
     code, anchor, doc, mark, start, end = codes.indices.to_numpy(), *(table[c].to_numpy() for c in ("anchor", "doc_id", "mark", "start", "end"))
     order = np.lexsort((doc, code, anchor))
@@ -217,7 +225,8 @@ def _repeats(table: pa.Table) -> pa.Table:
                     break
                 out += [(int(doc[i]), int(mark[i]), int(start[i]) + a, int(start[i]) + b - 1 + WINDOW) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
     names = ("doc_id", "mark", "start", "end")
-    return pa.table({k: pa.array(x, pa.int64()) for k, x in zip(names, zip(*out, strict=True) if out else [[]] * 4, strict=True)})
+    found = pa.table({k: pa.array(x, pa.int64()) for k, x in zip(names, zip(*out, strict=True) if out else [[]] * 4, strict=True)})
+    return pa.concat_tables([found, told.cast(found.schema)])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -225,11 +234,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts = parts_for(docs)
     long = docs.where(F.octet_length("text") >= WINDOW)
     shared = shared_keys(long, anchor_keys, parts)
-    asked = long.join(shared, "doc_id").select("doc_id", "mark", "text", "keys")
+    asked = zipped(long).join(shared, "doc_id").select("doc_id", "mark", "text", "keys")
     schema = "part int, anchor long, doc_id long, mark long, start long, end long, context binary"
-    sent = keep(asked.mapInArrow(_contexts(parts), schema), "contexts")
-    across = sent.where("part is not null").groupBy("part").applyInArrow(_repeats, "doc_id long, mark long, start long, end long")
-    return across.unionByName(sent.where("part is null").select("doc_id", "mark", "start", "end"))
+    return asked.mapInArrow(_contexts(parts), schema).groupBy("part").applyInArrow(_repeats, "doc_id long, mark long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -243,13 +250,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     own = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     spans = repeated_spans(own).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = own.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    joined = zipped(own).join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for doc, text, starts, ends in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "starts", "ends")), strict=True):
-                raw = text.encode()
+            doc_ids, starts_in, ends_in = (batch[c].to_pylist() for c in ("doc_id", "starts", "ends"))
+            for doc, raw, starts, ends in zip(doc_ids, unzipped(batch["text"].to_pylist()), starts_in, ends_in, strict=True):
                 removed = spans = 0
                 left = raw
                 if starts:

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import slices
+
 
 #: The dictionary is trained on at most so many documents and so many of each one's ids; every document is stored.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 2_000, 2_000, 65_536
@@ -35,7 +37,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
-        for batch in batches:
+        for batch in slices(batches):
             got = encoder(tokenizer).encode(batch["text"].to_pylist())
             yield pa.record_batch({"b": pa.array([np.append(x[:SAMPLE_IDS], end_id).astype("<u2").tobytes() for x in got], pa.binary())})
 
@@ -105,7 +107,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, partiti
                 }
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             docs_in = batch["doc_id"].to_pylist()
             if docs_in and part is None:
                 part = batch["part"][0].as_py()
@@ -174,7 +176,7 @@ def _read(spark: SparkSession, path: str, of, kind: str, name: str, only: int |
     arrow = {"array<long>": pa.list_(pa.int64()), "struct<n:long,crc:long>": pa.struct([("n", pa.int64()), ("crc", pa.int64())])}[kind]
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "data"):
             for before, data in zip(batch["tokens_before"].to_pylist(), batch["data"], strict=True):
                 rows = [(d, before + s, of(ids)) for d, s, ids in _documents(data.as_py(), dictionary, only)]
                 if rows:

@@ -14,8 +14,8 @@ import unicodedata
 import numpy as np
 
 #: Characters of text handled at once, and remembered pieces after which a worker starts afresh: both bound memory.
-BATCH_CHARS = 4_000_000
-MEMO_PIECES = 1_500_000
+BATCH_CHARS = 1_500_000
+MEMO_PIECES = 1_000_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)

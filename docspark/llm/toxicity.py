@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import slices
+
 #: Labelled rows that the classifier is fitted on (those whose doc_id hashes lowest), features kept, rows a feature needs.
 FIT_ROWS, FEATURES, LEAST_ROWS = 20_000, 20_000, 4
 #: Letters of the character model: a-z, then U+00DF to U+00FF; 0 stands between words, the last for all else.
@@ -46,7 +48,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LETTERS**3, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch["text"].to_pylist()
             for at in range(0, len(texts), 256):
                 codes = letter_codes(np.frombuffer(" ".join(["", *texts[at : at + 256], ""]).lower().encode("utf-32-le"), np.uint32))
@@ -186,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, zero = Counter(), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True):
                 own = text_features(text, decoder)
                 (one if y else zero).update([*own, ""])  # "" counts the texts
@@ -204,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     scorer = Scorer(decoder, {r["feature"]: r["odds"] for r in best if abs(r["odds"]) > 0.3}, np.zeros(6), np.zeros(5), np.ones(5))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [scorer.numbers(t).tolist() for t in batch["text"].to_pylist()]
             yield pa.record_batch({"x": pa.array(x, pa.list_(pa.float64())), "y": batch["y"].cast(pa.int32())})
 
@@ -226,7 +228,7 @@ def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scorer = fit(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([scorer.numbers(t) for t in batch["text"].to_pylist()]).reshape(-1, 5)
             got = scorer.score(x)
             yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": pa.array(got), "predicted": pa.array(got >= 0.5).cast(pa.int32())})
@@ -240,7 +242,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scorer = fit(docs.select("doc_id", "text"), labels)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([scorer.numbers(t or "") for t in batch["text"].to_pylist()]).reshape(-1, 5)
             yield batch.filter(pa.array(scorer.score(x) < 0.5))
 
