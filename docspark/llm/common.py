@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side of a join is broadcast only after its rows were counted and found to be at most this many.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a Python task handles at once.
 SLICE_BYTES = 3_000_000
 

@@ -28,6 +28,14 @@ def _raw_words(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), _BETWEEN)
 
 
+def n_words(text: Column) -> Column:
+    """The number of ``words`` of a text, without making them."""
+    given = F.coalesce(text, F.lit(""))
+    edge = lambda pattern: given.rlike(pattern).cast("int")
+    between = F.size(_raw_words(text)) - edge("^" + _BETWEEN) - edge(_BETWEEN.replace("+", r"\z"))
+    return F.when(F.length(given) == 0, 0).otherwise(F.greatest(between, F.lit(0))).cast("long")
+
+
 def term_postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """The index: a row (term, doc_id, pos) for each occurrence in ``docs`` of one of ``terms`` (term)."""
     # a text that begins with a separator has an empty first part, which isn't a word: positions then begin at -1
@@ -123,10 +131,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     own = found.select("doc_id", "win").distinct().join(windows.select("win", F.col("item_id").cast("string").alias("item")), "win")
     named = own.groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
     none = F.array().cast("array<string>")
-    sizes = docs.select("doc_id", F.size(_raw_words(F.col("text"))).alias("parts"), F.col("text").alias("t"))
-    edge = lambda pattern: F.coalesce(F.col("t"), F.lit("")).rlike(pattern).cast("int")
-    n_words = F.when(F.coalesce(F.length("t"), F.lit(0)) == 0, 0).otherwise(F.col("parts") - edge("^" + _BETWEEN) - edge(_BETWEEN.replace("+", r"\z")))
-    counted = sizes.select("doc_id", F.greatest(n_words, F.lit(0)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", n_words(F.col("text")).alias("n_words"))
     joined = counted.join(hits, "doc_id", "left").join(named, "doc_id", "left")
     return joined.select(
         "doc_id",

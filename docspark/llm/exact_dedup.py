@@ -18,10 +18,9 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), _WHITE, " ")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, run, text_sha256, n_bytes, check): a row's run is the partition that read it."""
-    text = docs.select("doc_id", normalised(F.col("text")).alias("t"))
-    return text.select(
+def digests(docs: DataFrame, text: Column) -> DataFrame:
+    """Rows (doc_id, run, text_sha256, n_bytes, check) of ``text``: a row's run is the partition that read it."""
+    return docs.select("doc_id", text.alias("t")).select(
         "doc_id",
         F.spark_partition_id().alias("run"),
         F.sha2("t", 256).alias("text_sha256"),
@@ -48,17 +47,17 @@ def merge_runs(rows: DataFrame, runs: int) -> list[DataFrame]:
     return levels
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, any more columns): doc_id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, any more columns): doc_id, keep_id, group_size, kept, text_sha256, n_bytes.
 
-    Rows are equal when their normalised texts are. Of equal rows the one with the smallest doc_id stays. Null and
+    Rows are equal when their normalised texts are, or else the values of ``text``. Of equal rows the one with the smallest doc_id stays. Null and
     empty texts are one group. If rows repeat a doc_id, each counts, and all rows with the keep_id say kept. A null doc_id
     never becomes keep_id unless the whole group has none; then keep_id is null and kept true. An empty table
     gives no rows. Columns other than doc_id and text are ignored, whatever their names.
     The answers go back down the tree: a copy looks its run's row up, so that a text with very many copies is
     spread over as many tasks as runs hold it.
     """
-    rows = keep(digests(docs), "digests")
+    rows = keep(digests(docs, normalised(F.col("text")) if text is None else text), "digests")
     runs = (rows.agg(F.max("run").alias("m")).first()["m"] or 0) + 1
     levels = merge_runs(rows, runs)
     answer = levels[-1].select("run", *_KEY, F.col("low").alias("keep_id"), F.col("n").alias("group_size"))
@@ -71,6 +70,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         F.col("group_size").cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
+        F.col("n_bytes").cast("long").alias("n_bytes"),
     )
 
 

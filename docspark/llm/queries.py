@@ -33,7 +33,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents")).drop("n_bytes")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,28 +22,50 @@ def parts_for(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
 
 
-def _by_doc(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch | None:
+def key_bytes(parts: int) -> int:
+    """Bytes of a key that are sent: enough for keys that agree by chance to be rare among the keys of ``parts``."""
+    return min(8, -(-((parts * PART_BYTES).bit_length() + 6) // 8))
+
+
+def cut_keys(keys: np.ndarray, width: int) -> np.ndarray:
+    return keys & np.uint64((1 << (8 * width)) - 1)
+
+
+def pack_keys(keys: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_keys(data: list[bytes], width: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(data), np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _by_doc(keys: np.ndarray, docs: np.ndarray, width: int) -> pa.RecordBatch | None:
     if not len(keys):
         return None
     order = np.argsort(docs, kind="stable")
     keys, docs = keys[order], docs[order]
     cuts = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1, append=docs[-1] + 1))
-    blobs = [keys[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    blobs = [pack_keys(keys[a:b], width) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     n = len(blobs)
     return pa.record_batch([pa.nulls(n, pa.int32()), pa.array(docs[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.binary())], schema=_KINDS)
 
 
 def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]], parts: int) -> DataFrame:
-    """Rows (doc_id, keys): for each document, its keys (64-bit, packed) that other documents have as well.
+    """Rows (doc_id, keys): for each document, its keys (packed to ``key_bytes``) that other documents have as well.
 
     ``docs`` has unique doc_ids and no null texts; ``keys_of`` gives the keys of each text. Within a batch a key of
     several documents is known to be shared at once and only one of them is sent on, so a very common key costs a
     task one row per batch, not one per document. Keys are dealt out by their value in packed arrays.
     """
 
+    width = key_bytes(parts)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [np.unique(k) for k in keys_of(batch["text"].to_pylist())]
+            own = [np.unique(cut_keys(k, width)) for k in keys_of(batch["text"].to_pylist())]
             if not own:
                 continue
             keys = np.concatenate(own)
@@ -55,7 +77,7 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]
             first = np.diff(keys, prepend=keys[0] ^ np.uint64(1)) != 0
             group = np.cumsum(first) - 1
             many = np.bincount(group)[group] > 1
-            if (got := _by_doc(keys[many], ids[many])) is not None:
+            if (got := _by_doc(keys[many], ids[many], width)) is not None:
                 yield got
             # the smallest document of each key goes on; bit 0 of the second array says that others are known already
             keys, ids, flag = keys[first], ids[first], many[first]
@@ -63,7 +85,7 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]
             order = np.argsort(part, kind="stable")
             keys, ids, flag, part = keys[order], ids[order], flag[order], part[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
-            rows = [(int(part[a]), keys[a:b].tobytes(), np.concatenate([ids[a:b], flag[a:b].astype(np.int64)]).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            rows = [(int(part[a]), pack_keys(keys[a:b], width), np.concatenate([ids[a:b], flag[a:b].astype(np.int64)]).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             p, k, d = zip(*rows, strict=True)
             yield pa.record_batch([pa.array(p, pa.int32()), pa.nulls(len(p), pa.int64()), pa.array(k, pa.binary()), pa.array(d, pa.binary())], schema=_KINDS)
 
@@ -74,7 +96,7 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]
         group = group.filter(pc.is_null(group["doc_id"]))
         if not group.num_rows:
             return told.select(["doc_id", "keys"])
-        keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group["keys"]])
+        keys = unpack_keys(group["keys"].to_pylist(), width)
         both = [np.frombuffer(x.as_py(), np.int64) for x in group["docs"]]
         ids = np.concatenate([x[: len(x) // 2] for x in both])
         known = np.concatenate([x[len(x) // 2 :] for x in both]) > 0
@@ -83,7 +105,7 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]
         first = np.diff(keys, prepend=keys[0] ^ np.uint64(1)) != 0
         run = np.cumsum(first) - 1
         shared = np.bincount(run)[run] > 1
-        got = _by_doc(keys[shared & ~known], ids[shared & ~known])
+        got = _by_doc(keys[shared & ~known], ids[shared & ~known], width)
         out = pa.Table.from_batches([got] if got is not None else [], _KINDS).select(["doc_id", "keys"])
         return pa.concat_tables([out, told.select(["doc_id", "keys"]).cast(out.schema)])
 

@@ -17,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, unzipped, zipped
-from .shared_keys import parts_for, shared_keys
+from .common import keep, slices, small, unzipped, without, zipped
+from .exact_dedup import exact_groups
+from .shared_keys import cut_keys, key_bytes, parts_for, shared_keys, unpack_keys
 
 WINDOW, GRAM = 50, 24
 _NO_ID = -(2**63)
@@ -164,6 +165,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _contexts(parts: int):
     """Windows in a row with one shared anchor, as rows with a context; stretches found to repeat at once, as rows without."""
 
+    width = key_bytes(parts)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
@@ -176,7 +179,7 @@ def _contexts(parts: int):
                 anchors = window_anchors(data)
                 first = np.flatnonzero(np.diff(anchors, prepend=anchors[0] ^ np.uint64(1)) != 0)
                 last = np.append(first[1:], len(anchors)) - 1
-                shared = np.isin(anchors[first], np.concatenate([np.frombuffer(k, np.uint64) for k in keys]))
+                shared = np.isin(cut_keys(anchors[first], width), unpack_keys(keys, width))
                 for anchor, a, b in zip(anchors[first[shared]].tolist(), first[shared].tolist(), (last[shared] + WINDOW).tolist(), strict=True):
                     spots = seen.setdefault((anchor, raw[a:b]), [])
                     if spots and spots[0][0] < doc:
@@ -243,14 +246,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
 
     Texts are UTF-8 bytes, null counts as empty. A byte goes if a 50-byte string that covers it also starts in a document
-    with a smaller doc_id, judged on the input. Rows with the same doc_id never remove from each other; a null doc_id is
+    with a smaller doc_id, judged on the input. Rows with the same doc_id never remove from each other (but of rows that repeat a doc_id
+    one whole copy of another's text counts for all); a null doc_id is
     smaller than any other. Texts under 50 bytes stay whole. An empty table gives no rows; further columns are
     ignored, whatever their names.
     """
     text = F.coalesce("text", F.lit(""))
-    own = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    spans = repeated_spans(own).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = zipped(own).join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    own = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).cast("long").alias("doc_id"), text.alias("text"))
+    groups = exact_groups(own, F.col("text"))
+    copies = keep(groups.where("not kept"), "copies")
+    # a whole copy goes as a whole, if it has 50 bytes; its windows are those of the document it copies
+    own = without(own, copies.where(F.col("n_bytes") >= WINDOW).select("doc_id")).withColumn("mark", F.xxhash64("text"))
+    whole = copies.where(F.col("n_bytes") >= WINDOW)
+    given = F.nullif(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id")
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    whole = whole.select(given, "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), none.alias("kept_sha256"), F.lit(b"").alias("kept"))
+    spans = keep(repeated_spans(own).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    ids = keep(spans.select("doc_id").distinct(), "ids")
+    n = ids.count()
+    touched = zipped(own.join(small(ids, n), "doc_id", "left_semi"))
+    size = F.octet_length("text").cast("long").alias("n_bytes")
+    zero = F.lit(0).cast("long")
+    rest = own.join(small(ids, n), "doc_id", "left_anti").select(given, size, zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.encode("text", "UTF-8").alias("kept"))
+    joined = touched.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -271,4 +289,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 names, kinds = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), (*[pa.int64()] * 4, pa.string(), pa.binary())
                 yield pa.record_batch({k: pa.array(x, t) for k, x, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut_texts = joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return cut_texts.unionByName(rest).unionByName(whole)
