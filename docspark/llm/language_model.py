@@ -22,6 +22,8 @@ SIZE, NOISE, STEPS, RATE = 32, 16, 160, 0.06
 END = b" "
 #: Distinct words after which a task sends its counts on.
 FLUSH_WORDS = 400_000
+#: Bytes of text in a bucket, which is scored with the counts of its words in memory.
+BUCKET_BYTES = 12_000_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -157,7 +159,7 @@ def fit_and_score(docs: DataFrame) -> DataFrame:
     each; without any training text N and V are 0. An empty table gives no rows; further columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    parts = parts_for(docs)
+    parts = parts_for(docs, BUCKET_BYTES, 1)
     bucket = F.pmod(F.xxhash64("doc_id", F.octet_length(text)), F.lit(parts)).cast("int").alias("bucket")
     own = docs.select("doc_id", text.alias("text"), held_out(F.col("doc_id")).alias("held_out"), bucket)
     seen = keep(_word_counts(own.select("bucket", "held_out", "text").repartition(parts, "bucket")), "bucket-words")

@@ -43,7 +43,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    token_store.write_store(docs, path, tokenizer_path(), STORE_END, parts_for(docs))
+    token_store.write_store(docs, path, tokenizer_path(), STORE_END, parts_for(docs, 8_000_000, 1))
     return token_store.stored_digests(spark, path)
 
 

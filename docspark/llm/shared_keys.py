@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, functions as F
 from .common import slices
 
 #: Bytes of text for each of the parts that keys are dealt to.
-PART_BYTES = 8_000_000
+PART_BYTES = 5_000_000
+#: Parts at least. A document's keys come back in a row from each part that has any of them.
+LEAST_PARTS = 128
 _KINDS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
 
 
-def parts_for(docs: DataFrame) -> int:
-    """Parts that follow the bytes of text, at least the number of shuffle partitions."""
+def parts_for(docs: DataFrame, part_bytes: int = PART_BYTES, least: int = LEAST_PARTS) -> int:
+    """Parts of about ``part_bytes`` of text; never fewer than ``least`` or than the shuffle partitions."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), least, -(-total // part_bytes))
 
 
 def key_bytes(parts: int) -> int:
