@@ -1,6 +1,370 @@
-"""The registered queries: each applies library operators to the given tables."""
+"""The registered queries: each applies library operators to the given tables, beside SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from . import functions as fn
+from .operators import catalog, integrity, mutate, retrieval, session, text, validate
+from .sources import read_table
+from .streaming import context_fill, rate_limit
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+c, lit = F.col, F.lit
+NOW = "2024-01-20 00:00:00"
+
+
+def query(sql: str):
+    """Register a function of a table reader under its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, folder: f(lambda name: read_table(spark, folder, name))
+        ORACLES[f.__name__] = sql
+        return QUERIES[f.__name__]
+
+    return register
+
+
+_NOW = F.to_timestamp_ntz(lit(NOW))
+_W = "'" + "' || '".join([" "]) + "' || " + " || ".join(f"chr({ord(x)})" for x in fn.WHITE)
+
+
+@query("SELECT doc_id, (i / 450)::INT AS chunk_no, i::INT AS start, substr(text, i + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS i FROM documents)")
+def chunk_documents(t):
+    return text.chunk_documents(t("documents"))
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS characters, ceil(length(text) / 450.0)::BIGINT AS chunks FROM documents WHERE length(text) > 0")
+def ingest_summary(t):
+    return text.ingest_summary(text.chunk_documents(t("documents")))
+
+
+@query("SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS content, count(*) AS pages FROM conversations GROUP BY conv_id")
+def ordered_concat(t):
+    return text.ordered_concat(t("conversations"), "conv_id", "turn", "text")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey = 7")
+def owner_listing(t):
+    return catalog.owner_listing(t("orders"), "o_custkey", 7, "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("SELECT o_custkey, o_orderkey, r AS rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INT AS r FROM orders) WHERE r <= 3")
+def owner_listing_all(t):
+    return catalog.newest_per_owner(t("orders"), "o_custkey", "o_orderdate", "o_orderkey", 3).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 10")
+def newest_k(t):
+    return catalog.newest_k(t("events"), "ts", "event_id", 10).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT k AS c_custkey, c_name, c_custkey IS NOT NULL AS found FROM (SELECT DISTINCT o_custkey + 1000 AS k FROM orders) LEFT JOIN customer ON k = c_custkey")
+def lookup_by_key(t):
+    return catalog.lookup(t("orders").select((c("o_custkey") + 1000).alias("c_custkey")), t("customer").select("c_custkey", "c_name"), "c_custkey")
+
+
+@query("SELECT k AS c_custkey, c_custkey IS NOT NULL AS found FROM (SELECT DISTINCT o_custkey + 1000 AS k FROM orders) LEFT JOIN customer ON k = c_custkey")
+def exists_flags(t):
+    return catalog.exists_flags(t("orders").select((c("o_custkey") + 1000).alias("c_custkey")), t("customer"), "c_custkey")
+
+
+@query("SELECT 'stored_objects/' || doc_id AS object_address, strlen(text)::INT AS content_size_bytes, sha256(text) AS sha256_checksum FROM documents WHERE text IS NOT NULL")
+def object_metadata(t):
+    rows = catalog.register_objects(t("documents").where("text is not null"), c("text"), c("doc_id"), "stored_objects", _NOW)
+    return rows.select("object_address", "content_size_bytes", "sha256_checksum")
+
+
+@query(f"SELECT 'stored_objects/' || doc_id AS object_address, NULL::VARCHAR AS content_type, strlen(text)::INT AS content_size_bytes, sha256(text) AS sha256_checksum, '{NOW}' AS created_at FROM documents")
+def object_register(t):
+    return catalog.register_objects(t("documents"), c("text"), c("doc_id"), "stored_objects", lit(NOW))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def text_digest(t):
+    return t("documents").select("doc_id", fn.digest(c("text")).alias("digest"))
+
+
+@query("SELECT sha256(text) AS checksum, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_content(t):
+    return integrity.duplicate_content(t("documents"), c("text"), "doc_id")
+
+
+@query(f"SELECT event_id FROM events WHERE event_type <> 'error' AND ts + INTERVAL 10 DAY > TIMESTAMP '{NOW}'")
+def valid_at(t):
+    return t("events").where(session.valid_at(c("event_type") == "error", fn.expires(c("ts"), 10), _NOW)).select("event_id")
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS refresh_until, strftime(ts + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS access_until FROM events")
+def expiry_times(t):
+    shown = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+    return t("events").select("event_id", shown(fn.expires(c("ts"), 30)).alias("refresh_until"), shown(fn.expires(c("ts"), 0, 30)).alias("access_until"))
+
+
+def _attempts(t):
+    own = t("events").select("event_id", F.concat_ws(":", c("user_id").cast("string"), "event_type").alias("token"), "ts", (c("event_type") == "error").alias("revoked"), _NOW.alias("expires_at"))
+    return session.single_use(own, "token", "ts", "event_id", "revoked", "expires_at")
+
+
+_WON = f"SELECT event_id, user_id || ':' || event_type AS token, ts, event_type <> 'error' AND ts < TIMESTAMP '{NOW}' AND row_number() OVER (PARTITION BY user_id, event_type ORDER BY (event_type <> 'error' AND ts < TIMESTAMP '{NOW}') DESC, ts, event_id) = 1 AS won FROM events"
+
+
+@query(f"SELECT event_id, token, won FROM ({_WON})")
+def single_use_consume(t):
+    return _attempts(t).select("event_id", "token", "won")
+
+
+@query(f"SELECT sha256(token || '|' || ts::VARCHAR) AS token, strftime(ts + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS expires_at FROM ({_WON}) WHERE won")
+def rotate_tokens(t):
+    return session.rotate(_attempts(t), "token", "ts").select("token", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'R' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def flag_update(t):
+    keys = t("lineitem").where("l_returnflag = 'R'").select(c("l_orderkey").alias("o_orderkey"))
+    return mutate.flag_update(t("orders").select("o_orderkey", "o_orderstatus"), keys, "o_orderkey", "o_orderstatus", lit("R"))
+
+
+@query("SELECT doc_id, CASE WHEN s IS NULL THEN 'missing_subject' WHEN try_cast(s AS BIGINT) IS NULL THEN 'invalid_token' WHEN c_custkey IS NULL THEN 'user_not_found' WHEN c_acctbal < 0 OR c_acctbal IS NULL THEN 'inactive_user' ELSE 'accepted' END AS reason FROM (SELECT doc_id, nullif(CASE WHEN doc_id % 5 = 0 THEN source ELSE regexp_replace(source, '[^0-9]', '', 'g') END, '') AS s FROM documents) LEFT JOIN customer ON try_cast(s AS BIGINT) = c_custkey")
+def access_reason(t):
+    subject = F.nullif(F.when(c("doc_id") % 5 == 0, c("source")).otherwise(F.regexp_replace("source", "[^0-9]", "")), lit(""))
+    users = t("customer").select(c("c_custkey").alias("id"), (c("c_acctbal") >= 0).alias("is_active"))
+    return catalog.access_reason(t("documents").select("doc_id", subject.alias("subject")), users).select("doc_id", "reason")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def role_gate(t):
+    return t("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS role FROM customer")
+def public_profile(t):
+    return t("customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"), c("c_mktsegment").alias("role"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE lower(role) NOT IN ('user', 'system') OR role IS NULL")
+def enum_violations(t):
+    return t("conversations").where(validate.outside_domain(c("role"), ["user", "system"])).select("conv_id", "turn", "role")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '400 name' WHEN page_id % 7 = 1 THEN '400 file' WHEN page_id % 7 = 2 THEN '415 type' WHEN page_id % 7 = 3 THEN '400 empty' WHEN page_id % 7 <> 4 AND strlen(html) > 4000 THEN '413' WHEN page_id % 7 = 4 OR NOT starts_with(html, '<!DOCTYPE') THEN '415 magic' ELSE '201' END AS outcome FROM pages")
+def upload_outcome(t):
+    kind = c("page_id") % 7
+    name = F.when((kind == 0) & (c("page_id") % 2 == 0), lit(" \t")).when(kind != 0, c("url"))
+    body = F.when(kind == 3, lit("")).when(kind == 4, F.left("html", lit(4))).otherwise(c("html"))
+    outcome = validate.upload_outcome(name, kind != 1, F.when(kind == 2, lit("image/png")).otherwise(lit("text/html")), F.octet_length(body), F.startswith(body, lit("<!DOCTYPE")), "text/html", 4000)
+    return t("pages").select("page_id", outcome.alias("outcome"))
+
+
+_RULES = r"""list_filter([CASE WHEN length(x) < 8 THEN 'too_short' END, CASE WHEN length(x) > 64 THEN 'too_long' END, CASE WHEN NOT regexp_matches(x, '[A-Z]') THEN 'uppercase' END, CASE WHEN NOT regexp_matches(x, '[a-z]') THEN 'lowercase' END, CASE WHEN NOT regexp_matches(x, '\p{Nd}') THEN 'digit' END, CASE WHEN NOT regexp_matches(x, '[!@#$%^&*(),.?":{}|<>]') THEN 'special' END], lambda r: r IS NOT NULL)"""
+
+
+@query(f"SELECT doc_id, array_to_string(v, ',') AS every_violation, coalesce(v[1], '') AS first_violation FROM (SELECT doc_id, {_RULES} AS v FROM (SELECT doc_id, string_split(text, chr(10))[1] AS x FROM documents))")
+def text_rules(t):
+    found = validate.text_violations(F.split("text", "\n")[0])
+    return t("documents").select("doc_id", found.alias("v")).select("doc_id", F.array_join("v", ",").alias("every_violation"), F.coalesce(F.get("v", lit(0)), lit("")).alias("first_violation"))
+
+
+@query("SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k <> 'page')), ',') AS unknown FROM events WHERE len(list_filter(json_keys(props), lambda k: k <> 'page')) > 0")
+def unknown_keys(t):
+    rows = t("events").select("event_id", validate.unknown_keys(c("props"), ["page"]).alias("u"))
+    return rows.where(F.size("u") > 0).select("event_id", F.array_join("u", ",").alias("unknown"))
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) > 1 OR lower(text) IN (SELECT lower(text) FROM benchmark) THEN 'conflict' ELSE 'inserted' END AS outcome FROM documents")
+def insert_conflicts(t):
+    incoming = t("documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("k"))
+    return mutate.insert_conflicts(incoming, t("benchmark").select(F.sha2(F.lower("text"), 256).alias("k")), "k", "doc_id").select("doc_id", "outcome")
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def cardinality_check(t):
+    return validate.repeated_keys(t("orders"), "o_custkey")
+
+
+@query("SELECT c_custkey, o_orderkey, l_linenumber FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey")
+def owner_documents_messages(t):
+    return t("customer").join(t("orders"), c("c_custkey") == c("o_custkey")).join(t("lineitem"), c("o_orderkey") == c("l_orderkey")).select("c_custkey", "o_orderkey", "l_linenumber")
+
+
+@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)")
+def optional_parent(t):
+    return t("documents").select("doc_id").join(t("labels"), "doc_id", "left").select("doc_id", "quality")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphan_objects(t):
+    return integrity.orphans(t("documents").select("doc_id"), t("labels"), "doc_id")
+
+
+@query("SELECT 'left' AS part, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id * 2 FROM labels) UNION ALL SELECT DISTINCT 'missing', doc_id * 2 FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)")
+def delete_with_missing(t):
+    left, missing = mutate.delete_keys(t("documents").select("doc_id"), t("labels").select((c("doc_id") * 2).alias("doc_id")), "doc_id")
+    return left.select(lit("left").alias("part"), "doc_id").unionByName(missing.select(lit("missing").alias("part"), "doc_id"))
+
+
+@query("WITH o AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'MACHINERY') SELECT 'orders' AS part, count(*) AS n FROM o UNION ALL SELECT 'lines', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)")
+def cascade_delete(t):
+    gone = t("customer").where("c_mktsegment = 'MACHINERY'").select("c_custkey")
+    _, orders, lines = mutate.cascade_delete(t("customer"), gone, [(t("orders"), "o_orderkey", "o_custkey"), (t("lineitem"), "l_linenumber", "l_orderkey")], "c_custkey")
+    count = lambda rows, part: rows.agg(lit(part).alias("part"), F.count(lit(1)).alias("n"))
+    return count(orders, "orders").unionByName(count(lines, "lines"))
+
+
+@query("SELECT o_orderkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE o_custkey END AS o_custkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def set_null_delete(t):
+    gone = t("customer").where("c_mktsegment = 'MACHINERY'").select(c("c_custkey").alias("o_custkey"))
+    return mutate.set_null(t("orders").select("o_orderkey", "o_custkey"), gone, "o_custkey")
+
+
+@query("SELECT p_name AS key, count(*) AS n, string_agg(p_partkey::VARCHAR, ', ' ORDER BY p_partkey::VARCHAR) AS members FROM part GROUP BY 1 HAVING count(*) > 1")
+def duplicate_names(t):
+    return integrity.duplicate_groups(t("part"), c("p_name"), c("p_partkey").cast("string"))
+
+
+@query("SELECT conv_id, count(*) FILTER (turn = 0) AS roots, count(*) FILTER (NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = e.conv_id AND d.turn = e.turn + 1)) AS heads, count(*) FILTER (turn = 0) = 1 AND count(*) FILTER (NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = e.conv_id AND d.turn = e.turn + 1)) = 1 AS sound FROM conversations e GROUP BY conv_id")
+def chain_integrity(t):
+    return integrity.chain_integrity(t("conversations").select("conv_id", "turn", F.when(c("turn") > 0, c("turn") - 1).alias("parent")), "conv_id", "turn", "parent")
+
+
+@query("SELECT n_name AS name FROM nation EXCEPT SELECT r_name FROM region")
+def missing_names(t):
+    return t("nation").select(c("n_name").alias("name")).subtract(t("region").select("r_name"))
+
+
+@query("SELECT conv_id, count(*) AS turns, sha256(string_agg(turn || ':' || role, ',' ORDER BY turn)) AS listed FROM conversations GROUP BY 1")
+def nested_children(t):
+    rows = catalog.nested_children(t("conversations"), "conv_id", "turn", "role")
+    own = F.from_json("children", "array<struct<turn:bigint,role:string>>")
+    listed = F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"])), ",")
+    return rows.select("conv_id", F.size(own).cast("long").alias("turns"), F.sha2(listed, 256).alias("listed"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'ready' WHEN 'P' THEN 'processing' END AS label, o_orderstatus = 'F' AS may_chat FROM orders")
+def status_dimension(t):
+    labels = F.create_map(*(lit(x) for x in ("O", "open", "F", "ready", "P", "processing")))
+    return t("orders").select("o_orderkey", labels[c("o_orderstatus")].alias("label"), (c("o_orderstatus") == "F").alias("may_chat"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'unknown' ELSE c_name END AS name FROM customer")
+def blank_default(t):
+    return t("customer").select("c_custkey", fn.blank_default(F.when(c("c_custkey") % 3 == 0, lit(" \t ")).otherwise(c("c_name")), "unknown").alias("name"))
+
+
+@query("SELECT p_partkey, coalesce(upper(array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1:1]), '')[1:2]), 'US') AS initials FROM part")
+def initials(t):
+    return t("part").select("p_partkey", fn.initials(c("p_name")).alias("initials"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders")
+def local_date(t):
+    return t("orders").select("o_orderkey", fn.local_date(c("o_orderdate")).alias("day"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS at FROM events")
+def iso_time(t):
+    return t("events").select("event_id", fn.iso_time(c("ts")).alias("at"))
+
+
+@query(f"SELECT c_custkey, trim(lower(chr(9) || c_name || chr(160)), {_W}) AS key FROM customer")
+def normalise_key(t):
+    return t("customer").select("c_custkey", fn.normalise_key(F.concat(lit("\t"), c("c_name"), lit("\xa0"))).alias("key"))
+
+
+@query("""SELECT '{"event_id":' || event_id || ',"event":"' || event_type || '","app_version":"1.0","environment":"test"}' AS value FROM events""")
+def log_to_json(t):
+    return t("events").select(F.to_json(F.struct("event_id", c("event_type").alias("event"), lit("1.0").alias("app_version"), lit("test").alias("environment"))).alias("value"))
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bound FROM events")
+def context_log(t):
+    return context_fill(t("events").withColumn("bound", F.when(c("event_type") == "signup", c("event_id"))), "user_id", "ts", "event_id", "bound").select("event_id", "bound")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 5 AS allowed FROM events")
+def rate_limited(t):
+    return rate_limit(t("events"), ["user_id"], "ts", "event_id", "1 day").select("event_id", "allowed")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'bad ' || event_type ELSE 'failed' END AS message FROM events")
+def error_message(t):
+    body = F.when(c("event_id") % 3 == 0, F.to_json(F.struct(c("event_type").alias("detail")))).when(
+        c("event_id") % 3 == 1, F.to_json(F.struct(F.array(F.struct(F.array(lit("body")).alias("loc"), F.concat(lit("bad "), "event_type").alias("msg"))).alias("detail")))
+    ).otherwise(lit("{}"))
+    return t("events").select("event_id", fn.error_message(body, "failed").alias("message"))
+
+
+@query("SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def map_explode_report(t):
+    return t("events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+
+@query("SELECT o_orderstatus || ': ' || count(*) AS line FROM orders GROUP BY o_orderstatus")
+def report_lines(t):
+    return t("orders").groupBy("o_orderstatus").agg(F.count(lit(1)).alias("n")).select(F.concat_ws(": ", "o_orderstatus", c("n").cast("string")).alias("line"))
+
+
+@query("SELECT s_suppkey, 'user' AS role FROM supplier")
+def add_column_backfill(t):
+    return mutate.backfill(t("supplier").select("s_suppkey"), "role", lit("user"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def schema_union(t):
+    one = t("supplier").select(c("s_suppkey").alias("id"), c("s_name").alias("name"))
+    return one.unionByName(t("customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"), c("c_mktsegment").alias("segment")), allowMissingColumns=True)
+
+
+@query("SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation")
+def append_rows(t):
+    return t("region").select(c("r_name").alias("name")).unionByName(t("nation").select(c("n_name").alias("name")))
+
+
+@query(f"SELECT c_custkey AS user_id, c_name AS drug_name, 'pending' AS status, '{NOW}' AS created_at FROM customer")
+def catalog_insert_defaults(t):
+    return t("customer").select(c("c_custkey").alias("user_id"), c("c_name").alias("drug_name"), lit("pending").alias("status"), lit(NOW).alias("created_at"))
+
+
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
+def unaccent_text(t):
+    return t("documents").select("doc_id", fn.unaccent(c("text")).alias("plain"))
+
+
+_STOP = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in fn.STOP_WORDS.items())
+
+
+@query(f"SELECT doc_id, len(list_distinct(list_filter(w, lambda x: x <> '' AND NOT list_contains(stop, x))))::BIGINT AS n FROM (SELECT doc_id, string_split_regex(strip_accents(lower(text)), '[^a-z0-9]+') AS w, CASE lang {_STOP} ELSE [] END AS stop FROM documents)")
+def text_tokens(t):
+    return t("documents").select("doc_id", F.size(fn.text_tokens(c("text"), c("lang"))).cast("long").alias("n"))
+
+
+_COS = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+
+
+@query(f"SELECT v.vec_id, {_COS} AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, v.vec_id LIMIT 10")
+def dense_topk(t):
+    scores = retrieval.dense_scores(t("embeddings"), t("embeddings").where("vec_id = 0"))
+    return scores.select("vec_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+
+
+_TERMS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+_BM25 = f"""WITH s AS (SELECT doc_id, {_TERMS} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM s),
+a AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark), tf AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM s) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), r AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM tf JOIN df USING (term) JOIN a USING (term), st GROUP BY 1, 2),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM r)"""
+
+
+@query(f"{_BM25} SELECT item_id, doc_id, round(score, 4) AS score, rank FROM k WHERE rank <= 10")
+def bm25_topk(t):
+    return retrieval.top_per_query(retrieval.bm25_scores(t("documents"), t("benchmark")), "item_id", "doc_id", 10).withColumn("score", F.round("score", 4))
+
+
+@query(f"{_BM25}, l AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY len, doc_id)::INT AS rank FROM (SELECT k.item_id, k.doc_id, d.n_chars AS len FROM k JOIN documents d USING (doc_id))), f AS (SELECT item_id, doc_id, coalesce(1 / (60 + x.rank), 0) + coalesce(1 / (60 + y.rank), 0) AS score FROM (SELECT * FROM k WHERE rank <= 50) x FULL JOIN (SELECT * FROM l WHERE rank <= 50) y USING (item_id, doc_id)) SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM f) WHERE rank <= 10")
+def hybrid_rrf(t):
+    scores = retrieval.bm25_scores(t("documents"), t("benchmark"))
+    short = scores.join(t("documents").select("doc_id", "n_chars"), "doc_id").select("item_id", "doc_id", (-c("n_chars")).alias("score"))
+    both = (retrieval.top_per_query(x, "item_id", "doc_id", 50) for x in (scores, short))
+    return retrieval.top_per_query(retrieval.fuse(*both, ["item_id", "doc_id"]), "item_id", "doc_id", 10).select("item_id", "doc_id", "rank")
