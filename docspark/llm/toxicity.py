@@ -16,6 +16,8 @@ from .common import slices
 
 #: Labelled rows that the classifier is fitted on (those whose doc_id hashes lowest), features kept, rows a feature needs.
 FIT_ROWS, FEATURES, LEAST_ROWS = 20_000, 20_000, 4
+#: Log odds of a feature in n rows are multiplied by n / (n + SHRINK): rare ones say little.
+SHRINK = 8
 #: Letters of the character model: a-z, then U+00DF to U+00FF; 0 stands between words, the last for all else.
 _EXTRA = 0xDF
 LETTERS = 26 + 33 + 2
@@ -148,12 +150,12 @@ class Scorer:
     scale: np.ndarray
 
     def numbers(self, text: str) -> np.ndarray:
-        """Of the features' log odds: the two largest, sums of the large and of the small ones, and the text's size."""
+        """Of the features' log odds: the two largest, and the sum of the large ones. A text without any has only zeros."""
         own = text_features(text, self.decoder)
         odds = sorted((self.weights[f] for f in own if f in self.weights), reverse=True)
         high = [x for x in odds if x > 2]
         first = odds[0] if odds else 0.0
-        return np.array([first, high[1] if len(high) > 1 else 0.0, math.log1p(sum(high)), math.log1p(-sum(x for x in odds if x < 0)), math.log1p(len(own))])
+        return np.array([max(first, 0.0), high[1] if len(high) > 1 else 0.0, math.log1p(sum(high))])
 
     def score(self, numbers: np.ndarray) -> np.ndarray:
         x = (numbers - self.center) / self.scale
@@ -201,17 +203,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     totals = counted.where("feature = ''").first() or {"ones": 0, "zeros": 0}
     n1, n0 = totals["ones"], totals["zeros"]
     odds = F.log((F.col("ones") + 0.5) / (n1 + 1)) - F.log((F.col("zeros") + 0.5) / (n0 + 1))
+    odds = odds * (F.col("ones") + F.col("zeros")) / (F.col("ones") + F.col("zeros") + SHRINK)
     signal = F.abs(odds) * F.sqrt(F.col("ones") + F.col("zeros"))
     best = counted.where("feature <> ''").select("feature", odds.alias("odds"), signal.alias("signal")).orderBy(F.desc("signal"), "feature").limit(FEATURES).collect()
-    scorer = Scorer(decoder, {r["feature"]: r["odds"] for r in best if abs(r["odds"]) > 0.3}, np.zeros(6), np.zeros(5), np.ones(5))
+    scorer = Scorer(decoder, {r["feature"]: r["odds"] for r in best if abs(r["odds"]) > 0.3}, np.zeros(4), np.zeros(3), np.ones(3))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = [scorer.numbers(t).tolist() for t in batch["text"].to_pylist()]
             yield pa.record_batch({"x": pa.array(x, pa.list_(pa.float64())), "y": batch["y"].cast(pa.int32())})
 
-    got = rows.mapInArrow(measure, "x array<double>, y int").collect()  # at most FIT_ROWS rows of five numbers
-    x, y = np.array([r["x"] for r in got]).reshape(-1, 5), np.array([r["y"] for r in got], float)
+    got = rows.mapInArrow(measure, "x array<double>, y int").collect()  # at most FIT_ROWS rows of three numbers
+    x, y = np.array([r["x"] for r in got]).reshape(-1, 3), np.array([r["y"] for r in got], float)
     if len(y):
         scorer.center, scorer.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         scorer.linear = _logistic((x - scorer.center) / scorer.scale, y)
@@ -229,7 +232,7 @@ def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = np.array([scorer.numbers(t) for t in batch["text"].to_pylist()]).reshape(-1, 5)
+            x = np.array([scorer.numbers(t) for t in batch["text"].to_pylist()]).reshape(-1, 3)
             got = scorer.score(x)
             yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": pa.array(got), "predicted": pa.array(got >= 0.5).cast(pa.int32())})
 
@@ -243,7 +246,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = np.array([scorer.numbers(t or "") for t in batch["text"].to_pylist()]).reshape(-1, 5)
+            x = np.array([scorer.numbers(t or "") for t in batch["text"].to_pylist()]).reshape(-1, 3)
             yield batch.filter(pa.array(scorer.score(x) < 0.5))
 
     return docs.mapInArrow(clean, docs.schema)
