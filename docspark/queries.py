@@ -28,7 +28,10 @@ def query(sql: str):
     return register
 
 
-_NOW = F.to_timestamp_ntz(lit(NOW))
+def _now():
+    return F.to_timestamp_ntz(lit(NOW))
+
+
 _W = "'" + "' || '".join([" "]) + "' || " + " || ".join(f"chr({ord(x)})" for x in fn.WHITE)
 
 
@@ -74,7 +77,7 @@ def exists_flags(t):
 
 @query("SELECT 'stored_objects/' || doc_id AS object_address, strlen(text)::INT AS content_size_bytes, sha256(text) AS sha256_checksum FROM documents WHERE text IS NOT NULL")
 def object_metadata(t):
-    rows = catalog.register_objects(t("documents").where("text is not null"), c("text"), c("doc_id"), "stored_objects", _NOW)
+    rows = catalog.register_objects(t("documents").where("text is not null"), c("text"), c("doc_id"), "stored_objects", _now())
     return rows.select("object_address", "content_size_bytes", "sha256_checksum")
 
 
@@ -95,7 +98,7 @@ def duplicate_content(t):
 
 @query(f"SELECT event_id FROM events WHERE event_type <> 'error' AND ts + INTERVAL 10 DAY > TIMESTAMP '{NOW}'")
 def valid_at(t):
-    return t("events").where(session.valid_at(c("event_type") == "error", fn.expires(c("ts"), 10), _NOW)).select("event_id")
+    return t("events").where(session.valid_at(c("event_type") == "error", fn.expires(c("ts"), 10), _now())).select("event_id")
 
 
 @query("SELECT event_id, strftime(ts + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS refresh_until, strftime(ts + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS access_until FROM events")
@@ -105,7 +108,7 @@ def expiry_times(t):
 
 
 def _attempts(t):
-    own = t("events").select("event_id", F.concat_ws(":", c("user_id").cast("string"), "event_type").alias("token"), "ts", (c("event_type") == "error").alias("revoked"), _NOW.alias("expires_at"))
+    own = t("events").select("event_id", F.concat_ws(":", c("user_id").cast("string"), "event_type").alias("token"), "ts", (c("event_type") == "error").alias("revoked"), _now().alias("expires_at"))
     return session.single_use(own, "token", "ts", "event_id", "revoked", "expires_at")
 
 
