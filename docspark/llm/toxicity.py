@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -27,7 +28,12 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SEPARATORS = " .-_~'"
 _LEET, _DROP, _REPEAT, _STAY, _WILD = math.log(0.3), math.log(0.25), math.log(0.35), math.log(0.05), math.log(0.15)
 BEAM = 24
-_SUSPECT = re.compile(r"(?=\S*[a-zß-ÿ])\S*[0-9@$!|+(€£*_~]\S*[a-zß-ÿ]\S*|\S*[a-zß-ÿ]\S*[0-9@$€£*_~]\S*|\S*([a-zß-ÿ])\1\1\S*|(?<!\S)(?:[a-zß-ÿ0-9@$!][ .\-_*~]){2,}[a-zß-ÿ0-9@$!](?!\S)|[a-zß-ÿ]+(?:[.\-_*~][a-zß-ÿ0-9@$!]+)+")
+#: A letter and, before or after it, a symbol; three equal letters; or letters joined by separators.
+_LETTER, _INNER, _AFTER = re.compile("[a-zß-ÿ]"), re.compile("[0-9@$!|+(€£*_~]"), re.compile("[0-9@$€£*_~]")
+_TRIPLE, _JOINED = re.compile(r"([a-zß-ÿ])\1\1"), re.compile(r"[a-zß-ÿ]+(?:[.\-_*~][a-zß-ÿ0-9@$!]+)+")
+_SPACED = re.compile(r"(?<!\S)(?:[a-zß-ÿ0-9@$!][ .\-_*~]){2,}[a-zß-ÿ0-9@$!](?!\S)")
+#: Tokens whose features a worker remembers.
+MEMO_TOKENS = 300_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -35,14 +41,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def letter_codes(chars: np.ndarray) -> np.ndarray:
-    """Character codes of lower-case text to letters of the model."""
-    table = np.full(0x180, _OTHER, np.int64)
+@functools.cache
+def _letter_table() -> np.ndarray:
+    table = np.full(0x180, _OTHER, np.int32)
     table[ord("a") : ord("z") + 1] = np.arange(1, 27)
     table[_EXTRA:0x100] = np.arange(27, 60)
     for c in " \t\n\r\x0b\x0c.,;:!?\"()[]":
         table[ord(c)] = 0
-    return table[np.minimum(chars, 0x17F)]
+    return table
+
+
+def letter_codes(chars: np.ndarray) -> np.ndarray:
+    """Character codes of lower-case text to letters of the model."""
+    return _letter_table()[np.minimum(chars, 0x17F)]
 
 
 def character_counts(docs: DataFrame) -> np.ndarray:
@@ -71,7 +82,7 @@ class Decoder:
 
     triples: np.ndarray
     logs: np.ndarray = field(init=False)
-    memo: dict[str, str] = field(default_factory=dict)
+    memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         t = self.triples.astype(np.float64)
@@ -97,48 +108,86 @@ class Decoder:
             arcs.append(own)
         return arcs
 
+    @functools.cached_property
+    def table(self) -> list[float]:
+        return self.logs.ravel().tolist()
+
     def decode(self, text: str) -> str:
         """The most probable restored form of lower-case ``text``."""
-        if text in self.memo:
-            return self.memo[text]
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        logs = self.logs
+        # a state is the last two letters, as one number
+        states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        logs, codes = self.table, _letter_table()
         for arcs in self.lattice(text):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (value, made) in states.items():
-                for letter, channel in arcs:
-                    if letter:
-                        code = int(letter_codes(np.array([ord(letter)]))[0])
-                        to, got, text_to = (b, code), value + channel + logs[a, b, code], made + letter
+            steps = [(letter, channel, int(codes[min(ord(letter), 0x17F)]) if letter else -1) for letter, channel in arcs]
+            after: dict[int, tuple[float, str]] = {}
+            for state, (value, made) in states.items():
+                last = state % LETTERS * LETTERS
+                for letter, channel, code in steps:
+                    if code < 0:
+                        to, got = state, value + channel
                     else:
-                        to, got, text_to = (a, b), value + channel, made
+                        to, got = last + code, value + channel + logs[state * LETTERS + code]
                     if to not in after or after[to][0] < got:
-                        after[to] = (got, text_to)
-            states = dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM])
-        best = max(((v + logs[a, b, 0], made) for (a, b), (v, made) in states.items()), default=(0.0, ""))[1]
-        if len(self.memo) < 200_000:
-            self.memo[text] = best
-        return best
-
-    def restored(self, text: str) -> list[str]:
-        """Words of the restored forms of what looks obfuscated in ``text``; long stretches are decoded piece by piece."""
+                        after[to] = (got, made + letter)
+            states = dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM]) if len(after) > BEAM else after
+        return max(((v + logs[state * LETTERS], made) for state, (v, made) in states.items()), default=(0.0, ""))[1]
+
+    def restored(self, part: str) -> list[str]:
+        """Words of the restored forms of an obfuscated stretch; a long one is decoded piece by piece."""
         out: list[str] = []
-        for found in _SUSPECT.finditer(text):
-            part = found.group()
-            for at in range(0, len(part), 64):
-                piece = part[at : at + 64]
-                forms = {self.decode(piece), re.sub(r"(.)\1+", r"\1", self.decode(piece))}
-                for form in forms:
-                    out += _WORD.findall(form)
+        for at in range(0, len(part), 64):
+            form = self.decode(part[at : at + 64])
+            for one in {form, re.sub(r"(.)\1+", r"\1", form)}:
+                out += _WORD.findall(one)
         return out
 
+    def features(self, token: str, spaced: bool = False) -> tuple[str, ...]:
+        """Words of a token (or of a spaced-out stretch) and of its restored forms, and their beginnings of 4 to 6 letters (marked by *)."""
+        words = set(_WORD.findall(token))
+        if spaced or suspect(token):
+            words.update(self.restored(token))
+        else:
+            for found in _JOINED.finditer(token):
+                words.update(self.restored(found.group()))
+        return (*words, *{w[:k] + "*" for w in words for k in (4, 5, 6) if len(w) > k})
+
+    def known(self, token: str, spaced: bool = False) -> tuple[str, ...]:
+        """The same, remembered."""
+        got = self.memo.get(token)
+        if got is None:
+            if len(self.memo) >= MEMO_TOKENS:
+                self.memo.clear()
+            got = self.memo[token] = self.features(token, spaced)
+        return got
+
+
+def suspect(token: str) -> bool:
+    """Whether a token has a symbol among its letters (or after them), or three equal letters in a row."""
+    if token.isalpha():
+        return _TRIPLE.search(token) is not None
+    first = _LETTER.search(token)
+    if not first:
+        return False
+    if _AFTER.search(token, first.end()) or _TRIPLE.search(token):
+        return True
+    symbol = _INNER.search(token)
+    return symbol is not None and _LETTER.search(token, symbol.end()) is not None
+
+
+def spaced_out(low: str) -> list[str]:
+    """Stretches of single letters with a separator between any two."""
+    return [found.group() for found in _SPACED.finditer(low)]
+
 
 def text_features(text: str, decoder: Decoder) -> set[str]:
-    """Words of the text and of its restored form, and their beginnings of 4 to 6 letters (marked by *)."""
+    """All features of a text: those of its tokens and of its spaced-out stretches."""
     low = text.lower()
-    words = set(_WORD.findall(low))
-    words.update(decoder.restored(low))
-    return words | {w[:k] + "*" for w in words for k in (4, 5, 6) if len(w) > k}
+    out: set[str] = set()
+    for token in set(low.split()):
+        out.update(decoder.known(token))
+    for part in set(spaced_out(low)):
+        out.update(decoder.known(part, True))
+    return out
 
 
 @dataclass
@@ -148,14 +197,29 @@ class Scorer:
     linear: np.ndarray
     center: np.ndarray
     scale: np.ndarray
+    memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def evidence(self, token: str, spaced: bool = False) -> tuple[str, ...]:
+        """The features of a token that speak for the label; remembered, most tokens have none."""
+        got = self.memo.get(token)
+        if got is None:
+            if len(self.memo) >= MEMO_TOKENS:
+                self.memo.clear()
+            got = self.memo[token] = tuple(f for f in self.decoder.features(token, spaced) if self.weights.get(f, 0.0) > 0)
+        return got
 
     def numbers(self, text: str) -> np.ndarray:
         """Of the features' log odds: the two largest, and the sum of the large ones. A text without any has only zeros."""
-        own = text_features(text, self.decoder)
-        odds = sorted((self.weights[f] for f in own if f in self.weights), reverse=True)
+        low = text.lower()
+        own: set[str] = set()
+        for token in set(low.split()):
+            own.update(self.evidence(token))
+        for part in spaced_out(low):
+            own.update(self.evidence(part, True))
+        odds = sorted((self.weights[f] for f in own), reverse=True)
         high = [x for x in odds if x > 2]
         first = odds[0] if odds else 0.0
-        return np.array([max(first, 0.0), high[1] if len(high) > 1 else 0.0, math.log1p(sum(high))])
+        return np.array([first, high[1] if len(high) > 1 else 0.0, math.log1p(sum(high))])
 
     def score(self, numbers: np.ndarray) -> np.ndarray:
         x = (numbers - self.center) / self.scale
