@@ -53,6 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for to in cuts.tolist():
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def zipped(docs: DataFrame) -> DataFrame:

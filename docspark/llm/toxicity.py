@@ -208,6 +208,11 @@ class Scorer:
             got = self.memo[token] = tuple(f for f in self.decoder.features(token, spaced) if self.weights.get(f, 0.0) > 0)
         return got
 
+    def forget(self) -> None:
+        """Gives the memory of the remembered tokens back; a worker keeps its last function while it waits for tasks."""
+        self.memo.clear()
+        self.decoder.memo.clear()
+
     def numbers(self, text: str) -> np.ndarray:
         """Of the features' log odds: the two largest, and the sum of the large ones. A text without any has only zeros."""
         low = text.lower()
@@ -258,6 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
             for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True):
                 own = text_features(text, decoder)
                 (one if y else zero).update([*own, ""])  # "" counts the texts
+        decoder.memo.clear()
         names = [*(one | zero)]
         yield pa.record_batch({"feature": pa.array(names, pa.string()), "ones": pa.array([one[f] for f in names], pa.int64()), "zeros": pa.array([zero[f] for f in names], pa.int64())})
 
@@ -276,6 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         for batch in slices(batches):
             x = [scorer.numbers(t).tolist() for t in batch["text"].to_pylist()]
             yield pa.record_batch({"x": pa.array(x, pa.list_(pa.float64())), "y": batch["y"].cast(pa.int32())})
+        scorer.forget()
 
     got = rows.mapInArrow(measure, "x array<double>, y int").collect()  # at most FIT_ROWS rows of three numbers
     x, y = np.array([r["x"] for r in got]).reshape(-1, 3), np.array([r["y"] for r in got], float)
@@ -299,6 +306,7 @@ def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = np.array([scorer.numbers(t) for t in batch["text"].to_pylist()]).reshape(-1, 3)
             got = scorer.score(x)
             yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": pa.array(got), "predicted": pa.array(got >= 0.5).cast(pa.int32())})
+        scorer.forget()
 
     asked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return asked.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
@@ -312,5 +320,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in slices(batches):
             x = np.array([scorer.numbers(t or "") for t in batch["text"].to_pylist()]).reshape(-1, 3)
             yield batch.filter(pa.array(scorer.score(x) < 0.5))
+        scorer.forget()
 
     return docs.mapInArrow(clean, docs.schema)
