@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side of a join is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of text that a Python task handles at once.
-SLICE_BYTES = 3_000_000
+#: Bytes of text that a Python task handles at once, and of an Arrow batch that Spark sends to it.
+SLICE_BYTES, ARROW_BYTES = 3_000_000, 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +42,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session sends Arrow batches of ARROW_BYTES at most from here on: bounds the buffers of executors and workers."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = conf.get(name).rstrip("bB")
+    if not given.isdigit() or int(given) > ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+    return docs
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batches`` cut so that ``column`` (text or binary) has about ``most`` bytes in each: bounds a task's memory."""
     for batch in batches:
@@ -68,7 +77,7 @@ def zipped(docs: DataFrame) -> DataFrame:
             packed = pa.array([tool.compress(t.encode()) for t in batch["text"].to_pylist()], pa.binary())
             yield batch.drop_columns(["text"]).append_column("text", packed)
 
-    return docs.select(*(c for c in docs.columns if c != "text"), "text").mapInArrow(press, shape)
+    return bounded(docs).select(*(c for c in docs.columns if c != "text"), "text").mapInArrow(press, shape)
 
 
 def unzipped(data: list[bytes]) -> list[bytes]:

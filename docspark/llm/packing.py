@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keep, slices
+from .common import bounded, keep, slices
 
 CAPACITY = 2048
 #: Pieces that one task packs at once, and partitions that exchange pieces in a repacking round.
@@ -42,7 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
                 names, kinds = ("doc_id", "piece", "start", "length", "ids_crc32"), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.record_batch({k: pa.array(x, t) for k, x, t in zip(names, zip(*out, strict=True), kinds, strict=True)})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import bounded, slices
 
 #: Bytes of text for each of the parts that keys are dealt to.
 PART_BYTES = 5_000_000
@@ -91,7 +91,7 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]
             p, k, d = zip(*rows, strict=True)
             yield pa.record_batch([pa.array(p, pa.int32()), pa.nulls(len(p), pa.int64()), pa.array(k, pa.binary()), pa.array(d, pa.binary())], schema=_KINDS)
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, "part int, doc_id long, keys binary, docs binary")
+    sent = bounded(docs).select("doc_id", "text").mapInArrow(send, "part int, doc_id long, keys binary, docs binary")
 
     def meet(group: pa.Table) -> pa.Table:
         told = group.filter(pc.is_valid(group["doc_id"]))

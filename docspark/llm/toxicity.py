@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices
+from .common import bounded, slices
 
 #: Labelled rows that the classifier is fitted on (those whose doc_id hashes lowest), features kept, rows a feature needs.
 FIT_ROWS, FEATURES, LEAST_ROWS = 20_000, 20_000, 4
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     A row of ``labels`` counts if its doc_id is in training (crc32 mod 5 isn't 0), toxic is 0 or 1, and no
     other row says otherwise. The sample has at most FIT_ROWS doc_ids.
     """
-    decoder = Decoder(character_counts(docs))
+    decoder = Decoder(character_counts(bounded(docs)))
     agreed = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("z")).where("y = z").select("doc_id", "y")
     sample = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y")
