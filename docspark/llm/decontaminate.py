@@ -88,8 +88,9 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, postings: DataFrame, cou
     terms = chosen.select("term").distinct()
     lists = postings.join(small(terms, n), "term", "left_semi")
     placed = lists.join(small(chosen.select("term", "off", "win", "picked"), n), "term")
-    moved = placed.select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "win", "picked").where("start >= 0")
-    agreed = moved.groupBy("doc_id", "start", "win", "picked").agg(F.count(F.lit(1)).alias("hits")).where("hits = picked")
+    moved = placed.select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "win", "picked", F.expr("shiftleft(1, off)").alias("bit")).where("start >= 0")
+    # a bit for each offset: rows that repeat a doc_id bring a posting more than once
+    agreed = moved.groupBy("doc_id", "start", "win", "picked").agg(F.bit_count(F.bit_or("bit")).alias("hits")).where("hits = picked")
     spots = keep(agreed.select("doc_id", "start", "win"), "spots")
     near = docs.join(spots.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(_low(F.col("text"))).alias("w"))
     full = spots.join(small(phrases, phrases.count()), "win")

@@ -77,6 +77,17 @@ def test_contamination(spark, docs, empty):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, items.limit(0)).collect())
 
 
+def test_contamination_of_repeated_ids(spark):
+    item = " ".join(f"item{k}" for k in range(14))
+    held = f"some words {item} and more"
+    # written twice; and beside another text that has one term of the window at the same place
+    rows = [(1, held), (1, held), (2, held), (2, "other text item0 item1 item2"), (3, "clean text"), (3, "clean text")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, items).collect())
+    assert got == [(1, 18, 14, 1, True), (1, 18, 14, 1, True), (2, 5, 14, 1, True), (2, 18, 14, 1, True), (3, 2, 0, 0, False), (3, 2, 0, 0, False)]
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {3}
+
+
 def test_proximity(spark):
     rows = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "gamma alpha y z z z z beta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
