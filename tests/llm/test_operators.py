@@ -197,6 +197,34 @@ def test_passages(docs, empty):
     assert passages.passage_links(empty).count() == 0
 
 
+def fresh(rng, n):
+    return [f"v{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_all_pairs_of_a_passage_key(spark):
+    # every document holds both lines, which supply keys; 4 to 6 share a passage that the smallest and the largest don't have
+    rng = random.Random(3)
+    line, passage = fresh(rng, 60), fresh(rng, 60)
+    rows = [(i, " ".join([*fresh(rng, 30), *line, *fresh(rng, 200), *(passage if 4 <= i <= 6 else fresh(rng, 60)), *fresh(rng, 30)])) for i in range(1, 10)]
+    rows.append((10, rows[4][1]))
+    got = by_id(passages.passage_links(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i].n_links for i in range(1, 11)] == [9] * 10
+    for i in (4, 5, 6):
+        spans = [tuple(map(int, x.split(":"))) for x in got[i].passages.split(",")]
+        assert any(s <= 290 and e >= 350 for s, e in spans)
+
+
+def test_recall_of_bands():
+    rng, found = random.Random(4), 0
+    for _ in range(400):
+        passage = fresh(rng, 94)
+        edited = list(passage)
+        edited[25], edited[60] = fresh(rng, 2)  # 80 of 100 shingles are common
+        a, b = passages.window_keys([" ".join([*fresh(rng, 80), *p, *fresh(rng, 80)]) for p in (passage, edited)])
+        found += len(np.intersect1d(a, b)) > 0
+    assert 1 - (1 - 0.8**2) ** passages.BANDS >= 0.999 and found >= 398
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(1)
     words = "quiet house river stone paper light garden window".split()
