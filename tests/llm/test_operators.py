@@ -225,6 +225,33 @@ def test_recall_of_bands():
     assert 1 - (1 - 0.8**2) ** passages.BANDS >= 0.999 and found >= 398
 
 
+def test_passage_with_a_repeated_line():
+    rng = random.Random(6)
+    line = fresh(rng, 20)
+    passage = [*fresh(rng, 20), *line, *fresh(rng, 20)]
+    one, two = [*fresh(rng, 40), *line, *fresh(rng, 60), *passage, *fresh(rng, 40)], [*fresh(rng, 50), *passage, *fresh(rng, 90)]
+    ways = lambda *texts: passages.matching_passages(*(s for s, *_ in passages.passage_windows([" ".join(t) for t in texts])))
+    assert ways(one, two) == [(120, 176, 50, 106)] and ways(two, one) == [(50, 106, 120, 176)]
+    # a passage that stands twice in one document
+    twice = [*fresh(rng, 50), *passage, *fresh(rng, 90), *passage, *fresh(rng, 90)]
+    assert ways(twice, two) == [(50, 106, 50, 106), (200, 256, 50, 106)]
+    # all maximal stretches, against brute force, with pairs held in small pieces
+    passages._MOST_PAIRS, most = 7, passages._MOST_PAIRS
+    try:
+        for _ in range(50):
+            a, b = (np.array([rng.randrange(4) for _ in range(30)], np.uint64) for _ in range(2))
+            want = set()
+            for i in range(30):
+                for j in range(30):
+                    if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                        k = next((k for k in range(30 - max(i, j)) if a[i + k] != b[j + k]), 30 - max(i, j))
+                        want.add((i, i + k, j, j + k))
+            got = passages._alike(a, b)
+            assert len(got) == len(want) and set(got) == want
+    finally:
+        passages._MOST_PAIRS = most
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(1)
     words = "quiet house river stone paper light garden window".split()
