@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import bounded, slices
 
-#: Labelled rows that the classifier is fitted on (those whose doc_id hashes lowest), features kept, rows a feature needs.
+#: Labelled rows that the classifier is fitted on at most (those whose doc_id hashes lowest), features of these rows that are kept
+#: (those that most separate the labels), rows a feature needs.
 FIT_ROWS, FEATURES, LEAST_ROWS = 20_000, 20_000, 4
 #: Log odds of a feature in n rows are multiplied by n / (n + SHRINK): rare ones say little.
 SHRINK = 8
@@ -27,7 +28,6 @@ _OTHER = LETTERS - 1
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = " .-_~'"
 _LEET, _DROP, _REPEAT, _STAY, _WILD = math.log(0.3), math.log(0.25), math.log(0.35), math.log(0.05), math.log(0.15)
-BEAM = 24
 #: A letter and, before or after it, a symbol; three equal letters; or letters joined by separators.
 _LETTER, _INNER, _AFTER = re.compile("[a-zß-ÿ]"), re.compile("[0-9@$!|+(€£*_~]"), re.compile("[0-9@$€£*_~]")
 _TRIPLE, _JOINED = re.compile(r"([a-zß-ÿ])\1\1"), re.compile(r"[a-zß-ÿ]+(?:[.\-_*~][a-zß-ÿ0-9@$!]+)+")
@@ -93,9 +93,8 @@ class Decoder:
         self.logs = np.log(three)
         self.triples = np.zeros(0)
 
-    def lattice(self, text: str) -> list[list[tuple[str, float]]]:
+    def lattice(self, text: str) -> Iterator[list[tuple[str, float]]]:
         """For each character what it may stand for ("" for nothing) and the channel's log probability."""
-        arcs = []
         for i, c in enumerate(text):
             own = [(c, 0.0)] if c.isalpha() else [(c, _STAY)]
             own += [(letter, _LEET) for letter in LEET.get(c, "")]
@@ -105,41 +104,42 @@ class Decoder:
                 own = [("", _DROP), (" ", math.log(0.4))]
             if i and c == text[i - 1] and c.isalpha():
                 own.append(("", _REPEAT))
-            arcs.append(own)
-        return arcs
+            yield own
 
     @functools.cached_property
     def table(self) -> list[float]:
         return self.logs.ravel().tolist()
 
     def decode(self, text: str) -> str:
-        """The most probable restored form of lower-case ``text``."""
-        # a state is the last two letters, as one number
-        states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        """The most probable restored form of lower-case ``text``: the Viterbi path through the whole lattice."""
+        # a state is the last two letters, as one number; a path is (path before, letter), so that paths share their beginnings
+        # and what no state leads back to is freed at once
+        states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         logs, codes = self.table, _letter_table()
         for arcs in self.lattice(text):
             steps = [(letter, channel, int(codes[min(ord(letter), 0x17F)]) if letter else -1) for letter, channel in arcs]
-            after: dict[int, tuple[float, str]] = {}
-            for state, (value, made) in states.items():
+            after: dict[int, tuple[float, tuple]] = {}
+            for state, (value, path) in states.items():
                 last = state % LETTERS * LETTERS
                 for letter, channel, code in steps:
                     if code < 0:
-                        to, got = state, value + channel
+                        to, got, made = state, value + channel, path
                     else:
-                        to, got = last + code, value + channel + logs[state * LETTERS + code]
+                        to, got, made = last + code, value + channel + logs[state * LETTERS + code], (path, letter)
                     if to not in after or after[to][0] < got:
-                        after[to] = (got, made + letter)
-            states = dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM]) if len(after) > BEAM else after
-        return max(((v + logs[state * LETTERS], made) for state, (v, made) in states.items()), default=(0.0, ""))[1]
+                        after[to] = (got, made)
+            states = after
+        path = max(((value + logs[state * LETTERS], -state, path) for state, (value, path) in states.items()), key=lambda x: x[:2])[2]
+        letters = []
+        while path:
+            path, letter = path
+            letters.append(letter)
+        return "".join(reversed(letters))
 
     def restored(self, part: str) -> list[str]:
-        """Words of the restored forms of an obfuscated stretch; a long one is decoded piece by piece."""
-        out: list[str] = []
-        for at in range(0, len(part), 64):
-            form = self.decode(part[at : at + 64])
-            for one in {form, re.sub(r"(.)\1+", r"\1", form)}:
-                out += _WORD.findall(one)
-        return out
+        """Words of the restored forms of an obfuscated stretch."""
+        form = self.decode(part)
+        return [w for one in {form, re.sub(r"(.)\1+", r"\1", form)} for w in _WORD.findall(one)]
 
     def features(self, token: str, spaced: bool = False) -> tuple[str, ...]:
         """Words of a token (or of a spaced-out stretch) and of its restored forms, and their beginnings of 4 to 6 letters (marked by *)."""
