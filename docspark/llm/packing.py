@@ -15,7 +15,7 @@ from .common import bounded, keep, slices
 
 CAPACITY = 2048
 #: Pieces that one task packs at once, and partitions that exchange pieces in a repacking round.
-GROUP_PIECES, FAN_IN, MAX_ROUNDS = 40_000, 8, 12
+GROUP_PIECES, FAN_IN = 40_000, 8
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, round int, grp int, bin int, offset long, open boolean"
 
 
@@ -73,15 +73,15 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best bound of two families of dual feasible functions: no packing has fewer bins.
+def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """The best bound of two families of dual feasible functions: no packing has fewer bins. ``counts``: of each length, else 1.
 
     For a threshold k: items over capacity - k count whole, those under k count nothing, others their share. And
     for p: an item counts floor((p + 1) x / capacity) of p, one that meets such a step exactly its share.
     """
     if not len(lengths):
         return 0
-    sizes, counts = np.unique(lengths, return_counts=True)
+    sizes, counts = np.unique(lengths, return_counts=True) if counts is None else (lengths, counts)
     best = -(-int(sizes @ counts) // capacity)
     for k in np.unique(sizes[sizes <= capacity // 2]):
         f = np.where(sizes > capacity - k, capacity, np.where(sizes < k, 0, sizes))
@@ -93,6 +93,13 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences, lower bound) of a whole packing: equal numbers prove that no packing has fewer sequences."""
+    made = packed.select("sequence_id").distinct().count()
+    got = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most a row for each length up to the capacity
+    return made, lower_bound(got["length"].to_numpy(np.int64), capacity, got["n"].to_numpy(np.int64))
+
+
 def _packed(capacity: int, level: int):
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "row"], ascending=[False, True], ignore_index=True)
@@ -102,7 +109,7 @@ def _packed(capacity: int, level: int):
         fill = np.bincount(bins, lengths, n)
         gap = n - lower_bound(lengths, capacity)
         # where the bound shows that the count can't be lower, only the emptiest bin may still gain from others
-        spare = fill < capacity * 0.98 if gap > 0 else fill == fill.min()
+        spare = fill < capacity if gap > 0 else fill == fill.min()
         return frame.assign(round=level, bin=bins.astype("int32"), offset=offsets, open=(spare & (fill < capacity))[bins])
 
     return pack
@@ -112,11 +119,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
     Round 0 deals the pieces out evenly by hash to partitions of about GROUP_PIECES and packs each. A partition's bound
-    certifies its count or shows a gap. Bins with spare room of partitions with a gap, and the emptiest bin of the
-    others, are opened; FAN_IN partitions exchange what was in them and pack it again, until one partition is left.
-    A group never holds more than GROUP_PIECES or so: opened bins of round r are dealt out anew when they are
+    certifies its count or shows a gap. All bins with room of partitions with a gap, and the emptiest bin of the
+    others, are opened; FAN_IN partitions exchange what was in them and pack it again, until one partition is left or
+    a round saves no bin. A group never holds more than GROUP_PIECES or so: opened bins are dealt out anew when they are
     too many for one task. Bins are never split over tasks, pieces never lost. Works alike for equal lengths (ties by row),
-    repeated rows (each is packed) and an empty table (no rows).
+    repeated rows and null doc_ids (each row is packed) and an empty table (no rows). See ``certificate`` for the proof of the whole.
     """
     rows = keep(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     full = rows.where(F.col("length") == capacity)
@@ -124,22 +131,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     n = rest.count()
     groups = max(1, -(-n // GROUP_PIECES))
     todo = rest.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
-    done = []
-    for level in range(MAX_ROUNDS):
+    done, opened, level = [], None, 0
+    while True:
         shape = todo.select("doc_id", "piece", "start", "length", "ids_crc32", "row", "grp", F.lit(0).alias("round"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("open"))
         got = keep(shape.groupBy("grp").applyInPandas(_packed(capacity, level), shape.schema), "packed")
-        if groups == 1:
+        bins = got.groupBy("open").agg(F.count_distinct("grp", "bin").alias("bins"), F.count(F.lit(1)).alias("n")).collect()  # two rows
+        if groups == 1 or (opened is not None and sum(r["bins"] for r in bins) >= opened):
             done.append(got)
             break
         done.append(got.where("not open"))
-        spare = got.where("open")
-        left = spare.count()
-        groups = max(-(-groups // FAN_IN) if left <= GROUP_PIECES * FAN_IN else -(-left // GROUP_PIECES), 1)
-        groups = 1 if left <= GROUP_PIECES else groups
-        if level == MAX_ROUNDS - 2 and groups > 1:
-            done.append(spare)
+        opened, left = next(((r["bins"], r["n"]) for r in bins if r["open"]), (0, 0))
+        if not left:
             break
-        todo = spare.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)).cast("int"))
+        groups = 1 if left <= GROUP_PIECES else -(-groups // FAN_IN) if left <= GROUP_PIECES * -(-groups // FAN_IN) else -(-left // GROUP_PIECES)
+        level += 1
+        todo = got.where("open").withColumn("grp", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)).cast("int"))
     packed = done[0]
     for more in done[1:]:
         packed = packed.unionByName(more)
