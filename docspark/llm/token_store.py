@@ -24,7 +24,21 @@ _MAGIC, _VERSION = b"TOKS", 1
 _ENTRY = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("start", "<u8"), ("n_tokens", "<u4"), ("offset", "<u8"), ("size", "<u4")])
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
+def id_bytes(tokenizer: str, end_id: int) -> int:
+    """Bytes that hold any id of the vocabulary and ``end_id``: 2 or 4."""
+    from .tokens import encoder
+
+    most = max(end_id, *encoder(tokenizer).library.get_vocab(with_added_tokens=True).values())
+    if not 0 <= end_id or most >= 2**32:
+        raise ValueError("ids have to be from 0 to 2**32 - 1")
+    return 2 if most < 2**16 else 4
+
+
+def _serialized(ids: np.ndarray, width: int) -> bytes:
+    return ids.astype(f"<u{width}").tobytes()
+
+
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
     """A zstandard dictionary of serialized id arrays; b"" where the sample is too small to train one.
 
     The sample: the SAMPLE_DOCS rows whose doc_id hashes lowest.
@@ -39,7 +53,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
 
         for batch in slices(batches):
             got = encoder(tokenizer).encode(batch["text"].to_pylist())
-            yield pa.record_batch({"b": pa.array([np.append(x[:SAMPLE_IDS], end_id).astype("<u2").tobytes() for x in got], pa.binary())})
+            yield pa.record_batch({"b": pa.array([_serialized(np.append(x[:SAMPLE_IDS], end_id), width) for x in got], pa.binary())})
 
     samples = [r["b"] for r in some.mapInArrow(ids, "b binary").limit(2 * SAMPLE_DOCS).collect()]
     try:
@@ -81,10 +95,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, partiti
     doc_ids are stored one after the other. An empty table gives an empty store.
     """
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, tokenizer, end_id)
+    width = id_bytes(tokenizer, end_id)
+    dictionary = train_dictionary(docs, tokenizer, end_id, width)
     digest = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(digest.hex(), dictionary, json.dumps({"end_id": end_id}))], "hash string, dictionary binary, settings string").coalesce(1).write.parquet(f"{path}/dictionary")
-    width = 2  # ids under 65,536
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -112,7 +126,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, partiti
             if docs_in and part is None:
                 part = batch["part"][0].as_py()
             for doc, ids in zip(docs_in, encoder(tokenizer).encode(batch["text"].to_pylist()), strict=True):
-                frame = press.compress(np.append(ids, np.uint32(end_id)).astype("<u2").tobytes())
+                frame = press.compress(_serialized(np.append(ids, np.uint32(end_id)), width))
                 rows.append((doc, before, len(ids) + 1, frame))
                 before += len(ids) + 1
                 held += len(frame)
@@ -176,7 +190,7 @@ def _read(spark: SparkSession, path: str, of, kind: str, name: str, only: int |
     arrow = {"array<long>": pa.list_(pa.int64()), "struct<n:long,crc:long>": pa.struct([("n", pa.int64()), ("crc", pa.int64())])}[kind]
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "data"):
+        for batch in slices(batches):
             for before, data in zip(batch["tokens_before"].to_pylist(), batch["data"], strict=True):
                 rows = [(d, before + s, of(ids)) for d, s, ids in _documents(data.as_py(), dictionary, only)]
                 if rows:
