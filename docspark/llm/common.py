@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,23 +13,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: A side of a join is broadcast only after its rows were counted and found to be at most this many.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only after its rows were counted and found to have at most so many bytes.
+BROADCAST_BYTES = 16_000_000
 #: Bytes of text that a Python task handles at once, and of an Arrow batch that Spark sends to it.
 SLICE_BYTES, ARROW_BYTES = 3_000_000, 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``; where that is unset on one machine (as in tests), a new temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if not set_before:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            set_before = spark.sparkContext.getCheckpointDir()
-        folder = set_before
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -37,9 +40,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast when its counted ``rows`` are within BROADCAST_ROWS; otherwise Spark shuffles it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Mark ``df`` for broadcast when its counted ``rows`` of about ``row_bytes`` fit into BROADCAST_BYTES; otherwise Spark shuffles it."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def text_bytes(df: DataFrame, *columns: Column) -> tuple[int, int]:
+    """Rows of ``df`` and the bytes a row of ``columns`` (of text) has on average, as ``small`` takes them."""
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((F.octet_length(c) for c in columns), F.lit(0))), F.lit(0))).first()
+    return n, total // max(n, 1) + 16
 
 
 def bounded(docs: DataFrame) -> DataFrame:
@@ -51,18 +60,49 @@ def bounded(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batches`` cut so that ``column`` (text or binary) has about ``most`` bytes in each: bounds a task's memory."""
+def give_back() -> None:
+    """Hands freed memory back to the system: a Python worker waits for its next task with all it ever took otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _row_bytes(column: pa.Array) -> np.ndarray:
+    """The bytes that each row of a column takes in Python, roughly."""
+    if pa.types.is_list(column.type):
+        inner = np.append(0, np.cumsum(_row_bytes(column.flatten())))
+        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        return inner[ends] - inner[ends - lengths]
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.full(len(column), 8, np.int64)
+
+
+def slices(batches: Iterator[pa.RecordBatch], packed: str | None = None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut so that a slice has about ``most`` bytes in all its columns: bounds a task's memory.
+
+    Of the column ``packed`` (see ``zipped``) the bytes before compression count, which stand in each frame's head.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        total = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        cuts = np.flatnonzero(np.diff(total // most, append=-1)) + 1
+        total = np.zeros(batch.num_rows, np.int64)
+        for name, column in zip(batch.schema.names, batch.columns, strict=True):
+            total += _raw_bytes(column) if name == packed else _row_bytes(column)
+        cuts = np.flatnonzero(np.diff(np.cumsum(total) // most, append=-1)) + 1
         at = 0
         for to in cuts.tolist():
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()
+    give_back()
+
+
+def _raw_bytes(column: pa.Array) -> np.ndarray:
+    import zstandard
+
+    return np.fromiter((zstandard.get_frame_parameters(x).content_size if x else 0 for x in column.to_pylist()), np.int64, len(column))
 
 
 def zipped(docs: DataFrame) -> DataFrame:
@@ -88,10 +128,23 @@ def unzipped(data: list[bytes]) -> list[bytes]:
     return [tool.decompress(x) for x in data]
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``gone``: few ids are broadcast, many are shuffled."""
-    gone = keep(gone.where("doc_id is not null").distinct(), "gone")
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+def row_mark(text: Column) -> Column:
+    """With the doc_id, what tells rows apart that repeat a doc_id: a hash of the text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, by_text: bool = True) -> DataFrame:
+    """``docs`` without the rows whose doc_id and ``row_mark`` are in ``gone`` (doc_id, mark): few are broadcast, many are shuffled.
+
+    A null doc_id equals another one. Rows with the same doc_id and text go or stay together; without ``by_text``
+    all rows with the doc_id do, and ``gone`` needs no mark.
+    """
+    mark = F.col("mark") if by_text else F.lit(0).cast("long")
+    gone = keep(gone.select(F.col("doc_id").alias("gone_id"), mark.alias("gone_mark")).distinct(), "gone")
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"])
+    if by_text:
+        same &= row_mark(docs["text"]) == gone["gone_mark"]
+    return docs.join(small(gone, gone.count(), 16), same, "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:

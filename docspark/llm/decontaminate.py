@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import keep, small, without
+from .common import keep, small, text_bytes, without
 
 WINDOW = 10
 #: How many of a window's rarest terms have their position lists intersected before the exact comparison.
@@ -36,13 +36,13 @@ def n_words(text: Column) -> Column:
     return F.when(F.length(given) == 0, 0).otherwise(F.greatest(between, F.lit(0))).cast("long")
 
 
-def term_postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """The index: a row (term, doc_id, pos) for each occurrence in ``docs`` of one of ``terms`` (term)."""
+def term_postings(docs: DataFrame, terms: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """The index: a row (term, doc_id, pos) for each occurrence in ``docs`` of one of ``terms`` (term), whose ``size`` is known."""
     # a text that begins with a separator has an empty first part, which isn't a word: positions then begin at -1
     parts = docs.select("doc_id", _raw_words(F.col("text")).alias("parts"))
     all_words = parts.select("doc_id", F.posexplode("parts").alias("at", "raw"), (F.col("parts")[0] == "").cast("int").alias("lead"))
     found = all_words.where("raw <> ''").select("doc_id", (F.col("at") - F.col("lead")).alias("pos"), _low(F.col("raw")).alias("term"))
-    return found.join(small(terms, n_terms), "term")
+    return found.join(small(terms, *size), "term")
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def build_index(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame
     """(windows, postings, counts), each kept in the shared folder: postings of every term that ``items`` use."""
     windows = keep(item_windows(items), "windows")
     terms = keep(windows.select(F.explode("phrase").alias("term")).distinct(), "terms")
-    postings = keep(term_postings(docs, terms, terms.count()), "postings")
+    postings = keep(term_postings(docs, terms, text_bytes(terms, F.col("term"))), "postings")
     counts = keep(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")
     return windows, postings, counts
 
@@ -84,16 +84,16 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, postings: DataFrame, cou
     """
     phrases = windows.select("win", "size", "phrase").distinct()
     chosen = keep(_chosen(phrases, counts), "chosen")
-    n = chosen.count()
+    n, width = text_bytes(chosen, F.col("term"))
     terms = chosen.select("term").distinct()
-    lists = postings.join(small(terms, n), "term", "left_semi")
-    placed = lists.join(small(chosen.select("term", "off", "win", "picked"), n), "term")
+    lists = postings.join(small(terms, n, width), "term", "left_semi")
+    placed = lists.join(small(chosen.select("term", "off", "win", "picked"), n, width + 24), "term")
     moved = placed.select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "win", "picked", F.expr("shiftleft(1, off)").alias("bit")).where("start >= 0")
     # a bit for each offset: rows that repeat a doc_id bring a posting more than once
     agreed = moved.groupBy("doc_id", "start", "win", "picked").agg(F.bit_count(F.bit_or("bit")).alias("hits")).where("hits = picked")
     spots = keep(agreed.select("doc_id", "start", "win"), "spots")
     near = docs.join(spots.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(_low(F.col("text"))).alias("w"))
-    full = spots.join(small(phrases, phrases.count()), "win")
+    full = spots.join(small(phrases, *text_bytes(phrases, F.array_join("phrase", " "))), "win")
     return near.join(full, "doc_id").where(F.slice("w", F.col("start") + 1, F.col("size")) == F.col("phrase")).select("doc_id", "start", "win", "size")
 
 
@@ -145,7 +145,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` with its columns, without the rows that hold a window of a benchmark item."""
+    """``docs`` with its columns, without the documents (all rows with their doc_id) that hold a window of a benchmark item."""
     small_docs = docs.select("doc_id", "text")
     windows, postings, counts = build_index(small_docs, items)
-    return without(docs, phrase_matches(small_docs, windows, postings, counts).select("doc_id"))
+    return without(docs, phrase_matches(small_docs, windows, postings, counts), by_text=False)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import keep, without
+from .common import keep, row_mark, without
 
 #: Runs that one merge round joins into one.
 FAN_IN = 16
@@ -19,9 +19,10 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, text: Column) -> DataFrame:
-    """Rows (doc_id, run, text_sha256, n_bytes, check) of ``text``: a row's run is the partition that read it."""
-    return docs.select("doc_id", text.alias("t")).select(
+    """Rows (doc_id, mark, run, text_sha256, n_bytes, check) of ``text``: a row's run is the partition that read it."""
+    return docs.select("doc_id", row_mark(F.col("text")).alias("mark"), text.alias("t")).select(
         "doc_id",
+        "mark",
         F.spark_partition_id().alias("run"),
         F.sha2("t", 256).alias("text_sha256"),
         F.octet_length("t").alias("n_bytes"),
@@ -48,7 +49,7 @@ def merge_runs(rows: DataFrame, runs: int) -> list[DataFrame]:
 
 
 def exact_groups(docs: DataFrame, text: Column | None = None) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, any more columns): doc_id, keep_id, group_size, kept, text_sha256, n_bytes.
+    """One row per row of ``docs`` (doc_id, text, any more columns): doc_id, mark, keep_id, group_size, kept, text_sha256, n_bytes.
 
     Rows are equal when their normalised texts are, or else the values of ``text``. Of equal rows the one with the smallest doc_id stays. Null and
     empty texts are one group. If rows repeat a doc_id, each counts, and all rows with the keep_id say kept. A null doc_id
@@ -66,6 +67,7 @@ def exact_groups(docs: DataFrame, text: Column | None = None) -> DataFrame:
         answer = own.join(answer.withColumnRenamed("run", "up"), ["up", *_KEY]).drop("up")
     return rows.join(answer, ["run", *_KEY]).select(
         "doc_id",
+        "mark",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -75,5 +77,5 @@ def exact_groups(docs: DataFrame, text: Column | None = None) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns: those whose doc_id isn't that of a copy."""
-    return without(docs, exact_groups(docs).where("not kept").select("doc_id"))
+    """The rows of ``docs`` that stay, with its columns: those that ``exact_groups`` says are kept."""
+    return without(docs, exact_groups(docs).where("not kept"))

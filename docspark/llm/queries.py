@@ -33,7 +33,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents")).drop("n_bytes")
+    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents")).drop("n_bytes", "mark")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_links(_read(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_links(_read(spark, sf_dir, "documents")).drop("mark")
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_toxicity, op4_token_store, op5_packing, op6_lm_scoring, op7_suffix_dedup, op8_pii, op9_substring_dedup, op10_jaccard_join)}

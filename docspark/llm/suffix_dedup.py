@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keep, slices, small, unzipped, without, zipped
+from .common import keep, row_mark, slices, small, unzipped, without, zipped
 from .exact_dedup import exact_groups
 from .shared_keys import cut_keys, key_bytes, parts_for, shared_keys, unpack_keys
 
@@ -168,7 +168,7 @@ def _contexts(parts: int):
     width = key_bytes(parts)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, "text"):
             seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             done: list[tuple] = []
             doc_ids, marks, lists = (batch[c].to_pylist() for c in ("doc_id", "mark", "keys"))
@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     groups = exact_groups(own, F.col("text"))
     copies = keep(groups.where("not kept"), "copies")
     # a whole copy goes as a whole, if it has 50 bytes; its windows are those of the document it copies
-    own = without(own, copies.where(F.col("n_bytes") >= WINDOW).select("doc_id")).withColumn("mark", F.xxhash64("text"))
+    own = without(own, copies.where(F.col("n_bytes") >= WINDOW)).withColumn("mark", row_mark(F.col("text")))
     whole = copies.where(F.col("n_bytes") >= WINDOW)
     given = F.nullif(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id")
     none = F.lit(hashlib.sha256(b"").hexdigest())
@@ -264,14 +264,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = keep(repeated_spans(own).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     ids = keep(spans.select("doc_id").distinct(), "ids")
     n = ids.count()
-    touched = zipped(own.join(small(ids, n), "doc_id", "left_semi"))
+    touched = zipped(own.join(small(ids, n, 8), "doc_id", "left_semi"))
     size = F.octet_length("text").cast("long").alias("n_bytes")
     zero = F.lit(0).cast("long")
-    rest = own.join(small(ids, n), "doc_id", "left_anti").select(given, size, zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.encode("text", "UTF-8").alias("kept"))
+    rest = own.join(small(ids, n, 8), "doc_id", "left_anti").select(given, size, zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.encode("text", "UTF-8").alias("kept"))
     joined = touched.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, "text"):
             rows = []
             doc_ids, starts_in, ends_in = (batch[c].to_pylist() for c in ("doc_id", "starts", "ends"))
             for doc, raw, starts, ends in zip(doc_ids, unzipped(batch["text"].to_pylist()), starts_in, ends_in, strict=True):

@@ -13,9 +13,9 @@ import unicodedata
 
 import numpy as np
 
-#: Characters of text handled at once, and remembered pieces after which a worker starts afresh: both bound memory.
-BATCH_CHARS = 1_500_000
-MEMO_PIECES = 1_000_000
+#: Characters of text handled at once, and what a worker remembers before it starts afresh (about 50 MB): both bound memory.
+BATCH_CHARS = 1_000_000
+MEMO_PIECES, MEMO_CHARS, MEMO_IDS = 700_000, 5_500_000, 2_400_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -76,9 +76,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.chars, self.ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        self.char_at, self.char_n, self.id_at, self.id_n = (np.zeros(0, np.int64) for _ in range(4))
+        """Empties the memory of pieces. Its arrays have their full size from the start and take no memory until they are written to."""
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.char_at, self.char_n, self.id_at, self.id_n = (np.zeros(MEMO_PIECES, np.int32) for _ in range(4))
+        self.chars, self.ids = np.zeros(MEMO_CHARS, np.uint32), np.zeros(MEMO_IDS, np.uint32)
+        self.used = self.used_chars = self.used_ids = 0
 
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """By the library. Pieces are joined by line ends, which are pieces of their own, to save calls."""
@@ -97,19 +99,30 @@ class Encoder:
             found[i] = got.ids
         return found
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> bool:
+        """Remember ``pieces`` under their sorted ``hashes``; False if they can't be held even by an empty memory."""
         if not pieces:
-            return
+            return True
         ids = self._encode_pieces(pieces)
         chars = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
-        char_n, id_n = (np.array([*map(len, x)], np.int64) for x in (pieces, ids))
-        base = len(self.char_at)
-        self.known.update(zip(hashes, range(base, base + len(pieces)), strict=True))
-        self.char_at = np.concatenate([self.char_at, len(self.chars) + np.cumsum(char_n) - char_n])
-        self.id_at = np.concatenate([self.id_at, len(self.ids) + np.cumsum(id_n) - id_n])
-        self.char_n, self.id_n = np.concatenate([self.char_n, char_n]), np.concatenate([self.id_n, id_n])
-        self.chars = np.concatenate([self.chars, chars])
-        self.ids = np.concatenate([self.ids, np.fromiter((x for p in ids for x in p), np.uint32, int(id_n.sum()))])
+        char_n, id_n = (np.array([*map(len, x)], np.int32) for x in (pieces, ids))
+        n, n_ids = len(pieces), int(id_n.sum())
+        if self.used + n > MEMO_PIECES or self.used_chars + len(chars) > MEMO_CHARS or self.used_ids + n_ids > MEMO_IDS:
+            return False
+        new = slice(self.used, self.used + n)
+        self.char_n[new], self.id_n[new] = char_n, id_n
+        self.char_at[new] = self.used_chars + np.cumsum(char_n) - char_n
+        self.id_at[new] = self.used_ids + np.cumsum(id_n) - id_n
+        self.chars[self.used_chars : self.used_chars + len(chars)] = chars
+        self.ids[self.used_ids : self.used_ids + n_ids] = np.fromiter((x for p in ids for x in p), np.uint32, n_ids)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.places = np.insert(self.places, at, np.arange(self.used, self.used + n, dtype=np.int32))
+        self.used, self.used_chars, self.used_ids = self.used + n, self.used_chars + len(chars), self.used_ids + n_ids
+        return True
+
+    def _by_library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers."""
@@ -128,8 +141,6 @@ class Encoder:
         whole = "".join(texts)
         if not whole:
             return [np.zeros(0, np.uint32) for _ in texts]
-        if len(self.known) > MEMO_PIECES:
-            self._forget()
         chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         sizes = np.array([*map(len, texts)], np.int64)
         begin = np.cumsum(sizes) - sizes
@@ -139,14 +150,18 @@ class Encoder:
         power = np.cumprod(np.full(int(lengths.max()), _BASE))
         hashes = np.add.reduceat((chars.astype(np.uint64) + np.uint64(1)) * power[inside], starts)
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        self._learn([keys[i] for i in new], [whole[s : s + k] for s, k in zip(starts[where[new]].tolist(), lengths[where[new]].tolist(), strict=True)])
-        piece = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[back]
+        new = self._unknown(distinct)
+        again = [whole[s : s + k] for s, k in zip(starts[where[new]].tolist(), lengths[where[new]].tolist(), strict=True)]
+        if not self._learn(distinct[new], again):
+            self._forget()
+            every = [whole[s : s + k] for s, k in zip(starts[where].tolist(), lengths[where].tolist(), strict=True)]
+            if not self._learn(distinct, every):
+                return self._by_library(texts)
+        piece = self.places[np.searchsorted(self.hashes, distinct)][back]
         right = self.char_n[piece] == lengths
-        source = np.where(right, self.char_at[piece], 0)
+        source = np.where(right, self.char_at[piece], 0).astype(np.int64)
         same = self.chars[np.minimum(np.repeat(source, lengths) + inside, len(self.chars) - 1)] == chars
-        counts = self.id_n[piece]
+        counts = self.id_n[piece].astype(np.int64)
         total = np.cumsum(counts)
         ids = self.ids[np.arange(total[-1]) + np.repeat(self.id_at[piece] - (total - counts), counts)]
         # the first piece of each text; empty texts take none
@@ -156,9 +171,16 @@ class Encoder:
         if not (right.all() and same.all()):
             bad = np.unique(np.searchsorted(begin, np.append(np.flatnonzero(~same), starts[~right]), "right") - 1)
             for i in bad.tolist():
-                out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                out[i] = self._by_library([texts[i]])[0]
         return out
 
+    def _unknown(self, keys: np.ndarray) -> np.ndarray:
+        """Places in ``keys`` of the hashes that aren't remembered."""
+        if not self.used:
+            return np.arange(len(keys))
+        at = np.minimum(np.searchsorted(self.hashes, keys), self.used - 1)
+        return np.flatnonzero(self.hashes[at] != keys)
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
