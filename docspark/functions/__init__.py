@@ -27,6 +27,11 @@ def digest(x: Column) -> Column:
     return F.sha2(x, 256)
 
 
+def new_id() -> Column:
+    """A random version 4 UUID for each row."""
+    return F.expr("uuid()")
+
+
 def object_address(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix + "/"), key.cast("string"))
 
@@ -56,6 +61,11 @@ def expires(ts: Column, days: int = 0, minutes: int = 0) -> Column:
     return ts + F.make_dt_interval(F.lit(days), F.lit(0), F.lit(minutes), F.lit(0))
 
 
+def rounded(x: Column, places: int = 2) -> Column:
+    """``x`` to so many decimals; halves of the exact binary value go to the even digit, so 2.675 gives 2.67."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * places)).cast("double")
+
+
 def percent(x: Column) -> Column:
     """One decimal, halves to even."""
     return F.concat(F.format_number(x, 1), F.lit("%"))

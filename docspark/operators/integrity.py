@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def duplicate_groups(rows: DataFrame, key: Column, member: Column) -> DataFrame:
-    """Keys of several rows, with the members' names in order."""
-    return rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(member)), ", ").alias("members")).where("n > 1")
+    """Keys of several rows, with the members' names in order. Members are only collected for keys that repeat."""
+    named = rows.select(key.alias("key"), member.alias("member"))
+    repeated = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and key is not null")
+    found = named.join(repeated, "key").groupBy("key").agg(F.max("n").alias("n"), F.array_join(F.array_sort(F.collect_list("member")), ", ").alias("members"))
+    return found
 
 
 def duplicate_content(rows: DataFrame, content: Column, key: str) -> DataFrame:
@@ -15,6 +18,11 @@ def duplicate_content(rows: DataFrame, content: Column, key: str) -> DataFrame:
     return rows.groupBy(F.sha2(content, 256).alias("checksum")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id")).where("n > 1")
 
 
+def missing_names(wanted: DataFrame, there: DataFrame) -> DataFrame:
+    """The distinct rows of ``wanted`` that ``there`` doesn't have; null equals null."""
+    return wanted.subtract(there)
+
+
 def orphans(rows: DataFrame, references: DataFrame, key: str) -> DataFrame:
     return rows.join(references, key, "left_anti")
 

@@ -1,42 +1,137 @@
-"""Ranking of documents for queries. The definitions are this library's own choice of published ones."""
+"""Ranking of documents for queries. The definitions are this library's own choice of published ones.
+
+Scores are compared rounded to 6 decimals, equal ones by id, so that a ranking doesn't depend on the order of sums.
+"""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 K1, B, RRF = 1.2, 0.75, 60
+#: Queries that are held in memory at once; more are answered block by block.
+BLOCK = 1024
+_TERM = re.compile("[a-z0-9]+")
 
 
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _blocks(queries: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``queries`` in parts of about BLOCK rows."""
+    n = -(-queries.count() // BLOCK)
+    for i in range(n):
+        yield queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the ``k`` best ids of each column of ``scores``; NaN isn't a score."""
+    told = np.round(scores, 6)
+    order = np.lexsort((np.broadcast_to(ids[:, None], told.shape), -told), axis=0)[:k]  # NaN sorts last
+    place = np.broadcast_to(np.arange(scores.shape[1]), order.shape)
+    found = ~np.isnan(scores[order, place])
+    return place[found], ids[order[found]], scores[order, place][found]
+
+
+def _merged(parts: list[DataFrame], query: str, item: str, k: int) -> DataFrame:
+    """The top ``k`` of rankings that tasks have cut to ``k`` already."""
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return top_per_query(every, query, item, k)
+
+
+def _ranked(rows: DataFrame, columns: list[str], score: Callable[[pa.RecordBatch], np.ndarray], names: list, query: str, kind: str, item: str, k: int) -> DataFrame:
+    """The ``k`` best rows of each task for each query: ``score`` gives a matrix of rows and queries."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                place, ids, value = _best(score(part), part[item].to_numpy(zero_copy_only=False), k)
+                place, ids, value = (np.concatenate(x) for x in zip(held, (place, ids, value), strict=True))
+                order = np.lexsort((ids, -np.round(value, 6), place))
+                place, ids, value = place[order], ids[order], value[order]
+                first = np.searchsorted(place, place)
+                top = np.arange(len(place)) - first < k
+                held = place[top], ids[top], value[top]
+        yield pa.record_batch({query: pa.array([names[i] for i in held[0]], pa.int64()), item: pa.array(held[1], pa.int64()), "score": pa.array(held[2])})
+
+    return rows.select(item, *columns).mapInArrow(best, f"{query} {kind}, {item} long, score double")
 
 
-def dense_scores(vectors: DataFrame, query: DataFrame) -> DataFrame:
-    """Every vector's exact cosine with the one query vector."""
-    one = query.select(F.col("embedding").alias("__q")).limit(1)
-    return vectors.crossJoin(F.broadcast(one)).withColumn("score", cosine(F.col("embedding"), F.col("__q"))).drop("__q")
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", query: str = "query_id", column: str = "embedding") -> DataFrame:
+    """Rows (query, item, score, rank): the ``k`` vectors of highest cosine for each of ``queries`` (query, embedding).
 
+    All queries against all vectors, exactly, in blocks of queries: a task multiplies matrices and keeps ``k`` a query.
+    Vectors that are null or zero have no cosine and are left out.
+    """
+    parts = []
+    asked = queries.select(F.col(query).cast("long"), F.col(column).cast("array<double>").alias("v")).where("v is not null")
+    for block in _blocks(asked, query):
+        got = block.toArrow()  # at most BLOCK rows or so
+        q = np.array(got["v"].to_pylist(), float)
+
+        def cosines(batch: pa.RecordBatch, q: np.ndarray = q) -> np.ndarray:
+            x = np.array(batch["v"].to_pylist(), float)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return (x @ q.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :])
+
+        own = vectors.select(item, F.col(column).cast("array<double>").alias("v")).where("v is not null")
+        parts.append(_ranked(own, ["v"], cosines, got[query].to_pylist(), query, "long", item, k))
+    return _merged(parts, query, item, k) if parts else _nothing(vectors, query, item)
+
+
+def _nothing(rows: DataFrame, query: str, item: str) -> DataFrame:
+    return rows.limit(0).select(F.lit(0).cast("long").alias(query), F.col(item), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
 
-def bm25_scores(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """Rows (item_id, doc_id, score): Robertson-Zaragoza weights with idf ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Only the questions' terms are kept after counting, so that what is joined follows the questions.
+def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, item: str = "doc_id", query: str = "item_id") -> DataFrame:
+    """Rows (item_id, doc_id, score, rank): Robertson-Zaragoza weights with idf ln(1 + (N - df + 0.5) / (df + 0.5)).
+
+    Two passes over the texts: document frequencies of the questions' terms, then scores. A task scores a block of documents
+    for all questions by one product of matrices and keeps ``k`` documents a question, so no pairs are shuffled.
+    Documents without any term of a question aren't ranked for it.
     """
-    sizes = docs.select("doc_id", terms(F.col("text")).alias("w"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w")).alias("mean"))
-    asked = questions.select("item_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    found = sizes.select("doc_id", F.size("w").alias("size"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
-    counts = found.groupBy("term", "doc_id", "size").agg(F.count(F.lit(1)).alias("tf"))
-    idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = counts.join(idf, "term").crossJoin(F.broadcast(stats))
-    weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return scored.select("term", "doc_id", weight.alias("weight")).join(asked, "term").groupBy("item_id", "doc_id").agg(F.sum("weight").alias("score"))
+    sizes = docs.select(terms(F.col("text")).alias("w"))
+    n_docs, mean = sizes.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
+    wanted = questions.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
+    found = sizes.select(F.explode(F.array_distinct("w")).alias("term")).join(wanted, "term", "left_semi")
+    frequency = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # terms of the questions
+    parts = []
+    for block in _blocks(questions.select(F.col(query).cast("long"), F.array_distinct(terms(F.col("text"))).alias("w")), query):
+        got = block.toArrow()
+        place: dict[str, int] = {}
+        cells = [(place.setdefault(w, len(place)), j) for j, words in enumerate(got["w"].to_pylist()) for w in words if w in frequency]
+        if not cells:
+            continue
+        weight = np.zeros((len(place), got.num_rows))
+        idf = np.array([math.log(1 + (n_docs - frequency[w] + 0.5) / (frequency[w] + 0.5)) for w in place])
+        row, column = np.array(cells).T
+        weight[row, column] = idf[row]
+
+        def scores(batch: pa.RecordBatch, place: dict[str, int] = place, weight: np.ndarray = weight) -> np.ndarray:
+            tf = np.zeros((batch.num_rows, len(weight)))
+            for i, text in enumerate(batch["text"].to_pylist()):
+                words = _TERM.findall((text or "").lower())
+                norm = K1 * (1 - B + B * len(words) / mean)
+                for w, n in Counter(words).items():
+                    if (j := place.get(w)) is not None:
+                        tf[i, j] = n * (K1 + 1) / (n + norm)
+            out = tf @ weight
+            out[out == 0] = np.nan
+            return out
+
+        parts.append(_ranked(docs, ["text"], scores, got[query].to_pylist(), query, "long", item, k))
+    return _merged(parts, query, item, k) if parts else _nothing(docs, query, item)
 
 
 def top_per_query(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
@@ -45,6 +140,38 @@ def top_per_query(scores: DataFrame, query: str, item: str, k: int) -> DataFrame
 
 
 def fuse(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
-    """Reciprocal rank fusion of two rankings with a column rank."""
+    """Reciprocal rank fusion of two rankings with a column rank: score, and in how many of them a row is."""
     share = lambda c: F.coalesce(1 / (RRF + F.col(c)), F.lit(0.0))
-    return one.select(*keys, F.col("rank").alias("r1")).join(two.select(*keys, F.col("rank").alias("r2")), keys, "full").select(*keys, (share("r1") + share("r2")).alias("score"))
+    both = one.select(*keys, F.col("rank").alias("r1")).join(two.select(*keys, F.col("rank").alias("r2")), keys, "full")
+    return both.select(*keys, "r1", "r2", (share("r1") + share("r2")).alias("score"))
+
+
+def hybrid_topk(one: Callable[[int], DataFrame], two: Callable[[int], DataFrame], query: str, item: str, k: int, depth: int = 128) -> DataFrame:
+    """Rows (query, item, score, rank): the ``k`` best by reciprocal rank fusion of two whole rankings, read only as deep as needed.
+
+    ``one`` and ``two`` give the first so many ranks of each query. An item that one list lacks so far has at most the next rank there; when
+    no item can pass the ``k``-th any more and all these have both ranks (or the list has ended), the result is that of the
+    whole rankings. Otherwise the depth grows fourfold.
+    """
+    keys = [query, item]
+    while True:
+        a, b = one(depth), two(depth)
+        long = lambda x, name: x.groupBy(query).agg(F.max("rank").alias(name))
+        fused = fuse(a, b, keys).join(long(a, "n1"), query, "left").join(long(b, "n2"), query, "left")
+        next_share = lambda n: F.when(F.coalesce(n, F.lit(0)) < depth, 0.0).otherwise(1 / (RRF + 1 + depth))
+        missing = lambda r, n: F.when(F.col(r).isNull(), next_share(F.col(n))).otherwise(0.0)
+        most = F.col("score") + missing("r1", "n1") + missing("r2", "n2")
+        unseen = next_share(F.col("n1")) + next_share(F.col("n2"))
+        rank = F.row_number().over(Window.partitionBy(query).orderBy(F.round("score", 6).desc(), F.col(item)))
+        ranked = fused.select(*keys, "score", most.alias("most"), unseen.alias("unseen"), rank.alias("rank"))
+        in_top = F.col("rank") <= k
+        proof = ranked.groupBy(query).agg(
+            F.max(F.when(in_top, F.col("most") - F.col("score"))).alias("open"),
+            F.min(F.when(in_top, F.col("score"))).alias("least"),
+            F.count(F.when(in_top, 1)).alias("n"),
+            F.greatest(F.max(F.when(~in_top, F.col("most"))), F.max("unseen")).alias("rest"),
+            F.max("unseen").alias("unseen"),
+        )
+        if proof.where((F.col("open") > 0) | (F.col("rest") > F.col("least") - 1e-6) & (F.col("rest") > F.col("least")) | (F.col("n") < k) & (F.col("unseen") > 0)).isEmpty():
+            return ranked.where(in_top).select(*keys, "score", "rank")
+        depth *= 4

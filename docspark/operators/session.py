@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def valid_at(revoked: Column, expires_at: Column, now: Column) -> Column:
@@ -10,10 +10,37 @@ def valid_at(revoked: Column, expires_at: Column, now: Column) -> Column:
 
 
 def single_use(attempts: DataFrame, token: str, at: str, tie: str, revoked: str, expires_at: str) -> DataFrame:
-    """``attempts`` with won: the first attempt of a token that is valid at its time; nobody else wins."""
+    """``attempts`` with won: the first attempt of a token that is valid at its time; nobody else wins.
+
+    (``at``, ``tie``) is unique for a token. The first attempt is found by ``min``, which is combined before the shuffle.
+    """
     good = F.coalesce(valid_at(F.col(revoked), F.col(expires_at), F.col(at)), F.lit(False))
-    rank = F.row_number().over(Window.partitionBy(token).orderBy(good.desc(), F.col(at), F.col(tie)))
-    return attempts.withColumn("won", good & (rank == 1))
+    order = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"))
+    first = attempts.where(good & F.col(token).isNotNull()).groupBy(token).agg(F.min(order).alias("__first"))
+    return attempts.join(first, token, "left").withColumn("won", F.coalesce(good & (order == F.col("__first")), F.lit(False))).select(*attempts.columns, "won")
+
+
+def consume(tokens: DataFrame, attempts: DataFrame, token: str, at: str, tie: str) -> tuple[DataFrame, DataFrame]:
+    """(the next state of ``tokens``, the attempts that won). ``tokens``: token, revoked, expires_at; winners revoke their token."""
+    judged = single_use(attempts.join(tokens.select(token, "revoked", "expires_at"), token), token, at, tie, "revoked", "expires_at")
+    won = judged.where("won").drop("won")
+    hit = tokens.join(won.select(token, F.lit(True).alias("__hit")), token, "left")
+    after = hit.withColumn("revoked", F.when(F.col("__hit"), F.lit(True)).otherwise(F.col("revoked")))
+    return after.select(tokens.columns), won
+
+
+def rotated(tokens: DataFrame, attempts: DataFrame, token: str, at: str, tie: str, days: int = 30) -> DataFrame:
+    """The next state of ``tokens``: used ones are revoked, and each winner has a new one."""
+    after, won = consume(tokens, attempts, token, at, tie)
+    new = rotate(won.withColumn("won", F.lit(True)), token, at, days).withColumnRenamed("token", token).withColumn("revoked", F.lit(False))
+    return after.unionByName(new, allowMissingColumns=True)
+
+
+def revoke_valid(tokens: DataFrame, keys: DataFrame, token: str, now: Column) -> DataFrame:
+    """The next state of ``tokens`` (revoked, expires_at): those in ``keys`` are revoked if they are valid now, all else stays."""
+    hit = tokens.join(keys.select(token).distinct().withColumn("__hit", F.lit(True)), token, "left")
+    good = F.col("__hit") & valid_at(F.col("revoked"), F.col("expires_at"), now)
+    return hit.withColumn("revoked", F.when(good, F.lit(True)).otherwise(F.col("revoked"))).select(tokens.columns)
 
 
 def rotate(attempts: DataFrame, token: str, at: str, days: int = 30) -> DataFrame:

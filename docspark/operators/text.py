@@ -20,9 +20,13 @@ def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 50) -> Data
     return each.select("doc_id", "chunk_no", "start", F.substr("text", F.col("start") + 1, F.lit(size)).alias("chunk"))
 
 
-def ingest_summary(chunks: DataFrame) -> DataFrame:
-    """Characters and chunks of each document."""
-    return chunks.groupBy("doc_id").agg(F.max(F.col("start") + F.length("chunk")).cast("long").alias("characters"), F.count(F.lit(1)).alias("chunks"))
+def ingest_summary(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
+    """Characters of each document, and how many chunks ``chunk_documents`` makes of it; null and empty texts have none of either.
+
+    The number follows from the length, so nothing is exploded or shuffled.
+    """
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    return docs.select("doc_id", n.alias("characters"), F.ceil(n / F.lit(size - overlap)).alias("chunks"))
 
 
 def ordered_concat(parts: DataFrame, key: str, order: str, text: str) -> DataFrame:

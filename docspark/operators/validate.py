@@ -8,19 +8,19 @@ from ..functions import strip
 
 MAX_BYTES = 10 * 1024 * 1024
 SPECIAL = r"""[!@#$%^&*(),.?":{}|<>]"""
-#: Shortest first, as the rules are tried.
-WEAK = ["secret", "changeme", "password"]
+#: Bytes that a secret has at least.
+LEAST_SECRET = 32
 
 
 def upload_outcome(name: Column, has_file: Column, content_type: Column, size: Column, magic: Column, wanted_type: str = "application/pdf", most: int = MAX_BYTES) -> Column:
     """The status of an upload: the first rule that fails, in this order, else 201. ``magic``: whether the first bytes are right."""
     return (
         F.when(F.coalesce(strip(name), F.lit("")) == "", "400 name")
-        .when(~has_file, "400 file")
+        .when(~F.coalesce(has_file, F.lit(False)), "400 file")
         .when(~F.coalesce(content_type == wanted_type, F.lit(False)), "415 type")
-        .when(size == 0, "400 empty")
+        .when(F.coalesce(size, F.lit(0)) == 0, "400 empty")
         .when(size > most, "413")
-        .when(~magic, "415 magic")
+        .when(~F.coalesce(magic, F.lit(False)), "415 magic")
         .otherwise("201")
     )
 
@@ -38,8 +38,15 @@ def text_violations(x: Column, least: int = 8, most: int = 64) -> Column:
     return F.filter(F.array(*(F.when(bad, name) for name, bad in rules.items())), lambda r: r.isNotNull())
 
 
-def weak_secret(x: Column) -> Column:
-    return (F.coalesce(x, F.lit("")) == "") | (F.length(x) < 32) | F.lower(x).isin(WEAK)
+def line_violations(docs: DataFrame, least: int = 8, most: int = 64) -> DataFrame:
+    """Rows (doc_id, line_no, violations) for each line of each text; null texts have no lines."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", text_violations(F.col("line"), least, most).alias("violations"))
+
+
+def weak_secret(x: Column, denied: list[str] | None = None) -> Column:
+    """Whether a secret is null, too short, or one of ``denied`` whatever its case."""
+    return F.coalesce((F.length(x) < LEAST_SECRET) | F.lower(x).isin([d.lower() for d in denied or []]), F.lit(True))
 
 
 def outside_domain(x: Column, domain: list[str]) -> Column:

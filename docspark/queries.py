@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import functions as fn
-from .operators import catalog, integrity, mutate, retrieval, session, text, validate
+from .operators import catalog, integrity, mutate, report, retrieval, session, text, validate
 from .sources import read_table
 from .streaming import context_fill, rate_limit
 
@@ -40,9 +40,9 @@ def chunk_documents(t):
     return text.chunk_documents(t("documents"))
 
 
-@query("SELECT doc_id, length(text)::BIGINT AS characters, ceil(length(text) / 450.0)::BIGINT AS chunks FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, coalesce(length(text), 0)::BIGINT AS characters, ceil(coalesce(length(text), 0) / 450.0)::BIGINT AS chunks FROM documents")
 def ingest_summary(t):
-    return text.ingest_summary(text.chunk_documents(t("documents")))
+    return text.ingest_summary(t("documents"))
 
 
 @query("SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS content, count(*) AS pages FROM conversations GROUP BY conv_id")
@@ -75,9 +75,9 @@ def exists_flags(t):
     return catalog.exists_flags(t("orders").select((c("o_custkey") + 1000).alias("c_custkey")), t("customer"), "c_custkey")
 
 
-@query("SELECT 'stored_objects/' || doc_id AS object_address, strlen(text)::INT AS content_size_bytes, sha256(text) AS sha256_checksum FROM documents WHERE text IS NOT NULL")
+@query("SELECT 'stored_objects/' || doc_id AS object_address, strlen(text)::INT AS content_size_bytes, sha256(text) AS sha256_checksum FROM documents")
 def object_metadata(t):
-    rows = catalog.register_objects(t("documents").where("text is not null"), c("text"), c("doc_id"), "stored_objects", _now())
+    rows = catalog.register_objects(t("documents"), c("text"), c("doc_id"), "stored_objects", _now())
     return rows.select("object_address", "content_size_bytes", "sha256_checksum")
 
 
@@ -125,6 +125,42 @@ def rotate_tokens(t):
     return session.rotate(_attempts(t), "token", "ts").select("token", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
 
 
+def _tokens(t):
+    """A token of each user and kind of event: made at the first one, for three days; tokens of errors are revoked."""
+    named = t("events").select("event_id", F.concat_ws(":", c("user_id").cast("string"), "event_type").alias("token"), "ts")
+    kept = named.groupBy("token").agg((F.min("ts") + F.make_dt_interval(lit(3))).alias("expires_at")).withColumn("revoked", c("token").endswith(":error"))
+    return kept, named.where("event_id % 3 > 0")
+
+
+_TOKENS = """k AS (SELECT user_id || ':' || event_type AS token, min(ts) + INTERVAL 3 DAY AS expires_at, event_type = 'error' AS revoked FROM events GROUP BY user_id, event_type),
+a AS (SELECT event_id, user_id || ':' || event_type AS token, ts FROM events WHERE event_id % 3 > 0),
+w AS (SELECT event_id, token, ts FROM (SELECT event_id, token, ts, row_number() OVER (PARTITION BY token ORDER BY ts, event_id) AS r FROM a JOIN k USING (token) WHERE NOT revoked AND expires_at > ts) WHERE r = 1)"""
+
+
+@query(f"WITH {_TOKENS} SELECT k.token, strftime(expires_at, '%Y-%m-%d %H:%M:%S') AS expires_at, revoked OR w.token IS NOT NULL AS revoked, w.event_id AS used_by FROM k LEFT JOIN w USING (token)")
+def consume_tokens(t):
+    after, won = session.consume(*_tokens(t), "token", "ts", "event_id")
+    return after.join(won.select("token", c("event_id").alias("used_by")), "token", "left").select("token", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"), "revoked", "used_by")
+
+
+@query(f"WITH {_TOKENS} SELECT k.token, strftime(expires_at, '%Y-%m-%d %H:%M:%S') AS expires_at, revoked OR w.token IS NOT NULL AS revoked FROM k LEFT JOIN w USING (token) UNION ALL SELECT sha256(token || '|' || ts::VARCHAR), strftime(ts + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S'), false FROM w")
+def rotate_state(t):
+    return session.rotated(*_tokens(t), "token", "ts", "event_id").select("token", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"), "revoked")
+
+
+@query(f"WITH {_TOKENS} SELECT token, revoked, revoked OR (expires_at > TIMESTAMP '{NOW}' AND token IN (SELECT token FROM a)) AS after FROM k")
+def revoke_valid(t):
+    tokens, keys = _tokens(t)
+    after = session.revoke_valid(tokens, keys, "token", _now()).select("token", c("revoked").alias("after"))
+    return tokens.select("token", "revoked").join(after, "token")
+
+
+@query("SELECT 'found' AS part, doc_id, sha256(text) AS digest FROM documents WHERE doc_id IN (SELECT doc_id * 2 FROM labels) UNION ALL SELECT DISTINCT 'missing', doc_id * 2, NULL FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)")
+def payload_lookup(t):
+    found, missing = catalog.payloads(t("labels").select((c("doc_id") * 2).alias("doc_id")), t("documents"), "doc_id", "text")
+    return found.select(lit("found").alias("part"), "doc_id", F.sha2("text", 256).alias("digest")).unionByName(missing.select(lit("missing").alias("part"), "doc_id", lit(None).cast("string").alias("digest")))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'R' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def flag_update(t):
     keys = t("lineitem").where("l_returnflag = 'R'").select(c("l_orderkey").alias("o_orderkey"))
@@ -140,12 +176,18 @@ def access_reason(t):
 
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
 def role_gate(t):
-    return t("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return catalog.role_gate(t("customer"), "c_mktsegment", "BUILDING").select("c_custkey")
 
 
 @query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS role FROM customer")
 def public_profile(t):
-    return t("customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"), c("c_mktsegment").alias("role"))
+    return catalog.public_view(t("customer"), {"c_custkey": "id", "c_name": "name", "c_mktsegment": "role"})
+
+
+@query("""SELECT '{"id":' || c_custkey || ',"drug_name":"' || c_name || '","manufacturer":' || CASE WHEN c_acctbal < 0 THEN 'null' ELSE '"' || c_mktsegment || '"' END || ',"status":"pending"}' AS response FROM customer""")
+def row_to_response(t):
+    rows = t("customer").select(c("c_custkey").alias("id"), c("c_name").alias("drug_name"), F.when(c("c_acctbal") >= 0, c("c_mktsegment")).alias("manufacturer"), lit("pending").alias("status"), "c_acctbal")
+    return catalog.responses(rows, ["id", "drug_name", "manufacturer", "status"])
 
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE lower(role) NOT IN ('user', 'system') OR role IS NULL")
@@ -165,10 +207,26 @@ def upload_outcome(t):
 _RULES = r"""list_filter([CASE WHEN length(x) < 8 THEN 'too_short' END, CASE WHEN length(x) > 64 THEN 'too_long' END, CASE WHEN NOT regexp_matches(x, '[A-Z]') THEN 'uppercase' END, CASE WHEN NOT regexp_matches(x, '[a-z]') THEN 'lowercase' END, CASE WHEN NOT regexp_matches(x, '\p{Nd}') THEN 'digit' END, CASE WHEN NOT regexp_matches(x, '[!@#$%^&*(),.?":{}|<>]') THEN 'special' END], lambda r: r IS NOT NULL)"""
 
 
-@query(f"SELECT doc_id, array_to_string(v, ',') AS every_violation, coalesce(v[1], '') AS first_violation FROM (SELECT doc_id, {_RULES} AS v FROM (SELECT doc_id, string_split(text, chr(10))[1] AS x FROM documents))")
+@query(f"SELECT doc_id, line_no, array_to_string(v, ',') AS every_violation, coalesce(v[1], '') AS first_violation FROM (SELECT doc_id, line_no, {_RULES} AS v FROM (SELECT doc_id, (i - 1)::INT AS line_no, lines[i] AS x FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))))")
 def text_rules(t):
-    found = validate.text_violations(F.split("text", "\n")[0])
-    return t("documents").select("doc_id", found.alias("v")).select("doc_id", F.array_join("v", ",").alias("every_violation"), F.coalesce(F.get("v", lit(0)), lit("")).alias("first_violation"))
+    found = validate.line_violations(t("documents"))
+    return found.select("doc_id", "line_no", F.array_join("violations", ",").alias("every_violation"), F.coalesce(F.get("violations", lit(0)), lit("")).alias("first_violation"))
+
+
+@query("SELECT doc_id, length(source) < 32 OR lower(source) = 'web-000' AS weak FROM documents")
+def weak_secret(t):
+    return t("documents").select("doc_id", validate.weak_secret(c("source"), ["WEB-000"]).alias("weak"))
+
+
+@query(r"SELECT page_id, regexp_full_match(address, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS ok FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN page_id || '@' || regexp_extract(url, '//([^/]+)', 1) WHEN page_id % 3 = 1 THEN 'a b@c.org' ELSE url END AS address FROM pages)")
+def email_like(t):
+    address = F.when(c("page_id") % 3 == 0, F.concat_ws("@", c("page_id").cast("string"), F.regexp_extract("url", "//([^/]+)", 1))).when(c("page_id") % 3 == 1, lit("a b@c.org")).otherwise(c("url"))
+    return t("pages").select("page_id", fn.email_like(address).alias("ok"))
+
+
+@query("SELECT page_id, starts_with(html, '<!DOCTYPE') AS ok FROM pages")
+def magic_bytes(t):
+    return t("pages").select("page_id", fn.has_magic(F.encode("html", "UTF-8"), b"<!DOCTYPE").alias("ok"))
 
 
 @query("SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k <> 'page')), ',') AS unknown FROM events WHERE len(list_filter(json_keys(props), lambda k: k <> 'page')) > 0")
@@ -177,7 +235,7 @@ def unknown_keys(t):
     return rows.where(F.size("u") > 0).select("event_id", F.array_join("u", ",").alias("unknown"))
 
 
-@query("SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) > 1 OR lower(text) IN (SELECT lower(text) FROM benchmark) THEN 'conflict' ELSE 'inserted' END AS outcome FROM documents")
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN 'inserted' WHEN row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) > 1 OR lower(text) IN (SELECT lower(text) FROM benchmark) THEN 'conflict' ELSE 'inserted' END AS outcome FROM documents")
 def insert_conflicts(t):
     incoming = t("documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("k"))
     return mutate.insert_conflicts(incoming, t("benchmark").select(F.sha2(F.lower("text"), 256).alias("k")), "k", "doc_id").select("doc_id", "outcome")
@@ -190,12 +248,12 @@ def cardinality_check(t):
 
 @query("SELECT c_custkey, o_orderkey, l_linenumber FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey")
 def owner_documents_messages(t):
-    return t("customer").join(t("orders"), c("c_custkey") == c("o_custkey")).join(t("lineitem"), c("o_orderkey") == c("l_orderkey")).select("c_custkey", "o_orderkey", "l_linenumber")
+    return catalog.owner_chain(t("customer"), t("orders"), t("lineitem"), "c_custkey", "o_custkey", "o_orderkey", "l_orderkey").select("c_custkey", "o_orderkey", "l_linenumber")
 
 
 @query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)")
 def optional_parent(t):
-    return t("documents").select("doc_id").join(t("labels"), "doc_id", "left").select("doc_id", "quality")
+    return catalog.optional_parent(t("documents").select("doc_id"), t("labels"), "doc_id").select("doc_id", "quality")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -235,7 +293,7 @@ def chain_integrity(t):
 
 @query("SELECT n_name AS name FROM nation EXCEPT SELECT r_name FROM region")
 def missing_names(t):
-    return t("nation").select(c("n_name").alias("name")).subtract(t("region").select("r_name"))
+    return integrity.missing_names(t("nation").select(c("n_name").alias("name")), t("region").select("r_name"))
 
 
 @query("SELECT conv_id, count(*) AS turns, sha256(string_agg(turn || ':' || role, ',' ORDER BY turn)) AS listed FROM conversations GROUP BY 1")
@@ -248,8 +306,7 @@ def nested_children(t):
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'ready' WHEN 'P' THEN 'processing' END AS label, o_orderstatus = 'F' AS may_chat FROM orders")
 def status_dimension(t):
-    labels = F.create_map(*(lit(x) for x in ("O", "open", "F", "ready", "P", "processing")))
-    return t("orders").select("o_orderkey", labels[c("o_orderstatus")].alias("label"), (c("o_orderstatus") == "F").alias("may_chat"))
+    return catalog.status_labels(t("orders"), "o_orderstatus", {"O": "open", "F": "ready", "P": "processing"}, "F").select("o_orderkey", "label", "may_chat")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'unknown' ELSE c_name END AS name FROM customer")
@@ -300,35 +357,61 @@ def error_message(t):
     return t("events").select("event_id", fn.error_message(body, "failed").alias("message"))
 
 
-@query("SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+@query("SELECT event_id, k AS key, coalesce(try_cast(json_extract_string(props, '$.' || k) AS DOUBLE), 0) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def map_explode_report(t):
-    return t("events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    each = t("events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    return each.select("event_id", "key", F.coalesce(c("value").try_cast("double"), lit(0.0)).alias("value"))
 
 
-@query("SELECT o_orderstatus || ': ' || count(*) AS line FROM orders GROUP BY o_orderstatus")
+@query("""WITH f AS (SELECT l_shipdate::DATE::VARCHAR AS name, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS missing FROM lineitem GROUP BY 1),
+r AS (SELECT 0 AS section, 'TOTAL' AS name, 100.0::DOUBLE * count(*) FILTER (l_returnflag <> 'R') / count(*) AS percent, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS missing FROM lineitem UNION ALL SELECT 1, name, CASE WHEN missing < n THEN 100.0::DOUBLE * (n - missing) / n ELSE 0 END, n, missing FROM f)
+SELECT section, (row_number() OVER (ORDER BY section, percent, name) - 1)::INT AS place, '| `' || name || '` | ' || printf('%.1f%%', percent) || ' | ' || n || ' | ' || missing || ' |' AS line FROM r""")
 def report_lines(t):
-    return t("orders").groupBy("o_orderstatus").agg(F.count(lit(1)).alias("n")).select(F.concat_ws(": ", "o_orderstatus", c("n").cast("string")).alias("line"))
+    """A report as JSON, whose absent numbers are 0, and its lines in order."""
+    lines = t("lineitem")
+    n, missing = F.count(lit(1)).alias("num_statements"), F.nullif(F.count(F.when(c("l_returnflag") == "R", 1)), lit(0).cast("long")).alias("missing_lines")
+    share = F.nullif(100.0 * F.count(F.when(c("l_returnflag") != "R", 1)) / F.count(lit(1)), lit(0.0)).alias("percent_covered")
+    files = lines.groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("name")).agg(n, missing, share)
+    one = files.agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct(F.struct("num_statements", "missing_lines", "percent_covered").alias("summary"))))).alias("files"))
+    text = one.crossJoin(lines.agg(F.struct(n, missing, share).alias("totals"))).select(F.to_json(F.struct("totals", "files")).alias("value"))
+    told = text.select(F.from_json("value", report.REPORT_SCHEMA).alias("r")).select("r.*")
+    every = report.report_lines(report.report_totals(told), report.report_items(told))
+    # a report is small; its lines are numbered so that their order can be compared
+    return every.select("section", F.monotonically_increasing_id().alias("at"), "line").withColumn("place", (F.row_number().over(Window.orderBy("at")) - 1).cast("int")).drop("at")
+
+
+@query("SELECT event_id, round(value / 3, 2) AS amount FROM events")
+def rounded(t):
+    return t("events").select("event_id", fn.rounded(c("value") / 3).alias("amount"))
+
+
+@query("SELECT p_partkey, printf('%.1f%%', p_size * 100 / 57.0) AS share FROM part")
+def percent(t):
+    return t("part").select("p_partkey", fn.percent(c("p_size") * 100 / lit(57.0)).alias("share"))
 
 
-@query("SELECT s_suppkey, 'user' AS role FROM supplier")
+@query("SELECT c_custkey, coalesce(CASE WHEN c_acctbal >= 0 THEN c_mktsegment END, 'user') AS role, 0::BIGINT AS nulls_left FROM customer")
 def add_column_backfill(t):
-    return mutate.backfill(t("supplier").select("s_suppkey"), "role", lit("user"))
+    rows = mutate.backfill(t("customer").select("c_custkey", F.when(c("c_acctbal") >= 0, c("c_mktsegment")).alias("role")), "role", lit("user"))
+    left = mutate.null_counts(rows, ["role"]).agg(F.coalesce(F.sum("nulls"), lit(0).cast("long")).alias("nulls_left"))
+    return rows.crossJoin(F.broadcast(left))  # one row
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def schema_union(t):
     one = t("supplier").select(c("s_suppkey").alias("id"), c("s_name").alias("name"))
-    return one.unionByName(t("customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"), c("c_mktsegment").alias("segment")), allowMissingColumns=True)
+    return mutate.append_rows(one, t("customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"), c("c_mktsegment").alias("segment")))
 
 
 @query("SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation")
 def append_rows(t):
-    return t("region").select(c("r_name").alias("name")).unionByName(t("nation").select(c("n_name").alias("name")))
+    return mutate.append_rows(t("region").select(c("r_name").alias("name")), t("nation").select(c("n_name").alias("name")))
 
 
 @query(f"SELECT c_custkey AS user_id, c_name AS drug_name, 'pending' AS status, '{NOW}' AS created_at FROM customer")
 def catalog_insert_defaults(t):
-    return t("customer").select(c("c_custkey").alias("user_id"), c("c_name").alias("drug_name"), lit("pending").alias("status"), lit(NOW).alias("created_at"))
+    rows = t("customer").select(c("c_custkey").alias("user_id"), c("c_name").alias("drug_name"))
+    return catalog.with_defaults(rows, {"status": lit("pending"), "created_at": lit(NOW)})
 
 
 @query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
@@ -339,35 +422,40 @@ def unaccent_text(t):
 _STOP = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in fn.STOP_WORDS.items())
 
 
-@query(f"SELECT doc_id, len(list_distinct(list_filter(w, lambda x: x <> '' AND NOT list_contains(stop, x))))::BIGINT AS n FROM (SELECT doc_id, string_split_regex(strip_accents(lower(text)), '[^a-z0-9]+') AS w, CASE lang {_STOP} ELSE [] END AS stop FROM documents)")
+@query(f"SELECT doc_id, len(found)::BIGINT AS n, sha256(array_to_string(list_sort(found), ' ')) AS tokens_sha256 FROM (SELECT doc_id, list_distinct(list_filter(w, lambda x: x <> '' AND NOT list_contains(stop, x))) AS found FROM (SELECT doc_id, string_split_regex(strip_accents(lower(text)), '[^a-z0-9]+') AS w, CASE lang {_STOP} ELSE [] END AS stop FROM documents))")
 def text_tokens(t):
-    return t("documents").select("doc_id", F.size(fn.text_tokens(c("text"), c("lang"))).cast("long").alias("n"))
+    found = t("documents").select("doc_id", fn.text_tokens(c("text"), c("lang")).alias("w"))
+    return found.select("doc_id", F.size("w").cast("long").alias("n"), F.sha2(F.array_join(F.array_sort("w"), " "), 256).alias("tokens_sha256"))
 
 
-_COS = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+_DENSE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+d AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS score FROM v, v q WHERE q.vec_id % {0} = 0))"""
 
 
-@query(f"SELECT v.vec_id, {_COS} AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, v.vec_id LIMIT 10")
+@query(f"WITH {_DENSE.format(20)} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM d WHERE rank <= 10")
 def dense_topk(t):
-    scores = retrieval.dense_scores(t("embeddings"), t("embeddings").where("vec_id = 0"))
-    return scores.select("vec_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    queries = t("embeddings").where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return retrieval.dense_topk(t("embeddings"), queries, 10).withColumn("score", F.round("score", 4))
 
 
 _TERMS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '')"
-_BM25 = f"""WITH s AS (SELECT doc_id, {_TERMS} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM s),
+_BM25 = f"""s AS (SELECT doc_id, {_TERMS} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM s),
 a AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark), tf AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM s) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), r AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM tf JOIN df USING (term) JOIN a USING (term), st GROUP BY 1, 2),
 k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM r)"""
 
 
-@query(f"{_BM25} SELECT item_id, doc_id, round(score, 4) AS score, rank FROM k WHERE rank <= 10")
+@query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 4) AS score, rank FROM k WHERE rank <= 10")
 def bm25_topk(t):
-    return retrieval.top_per_query(retrieval.bm25_scores(t("documents"), t("benchmark")), "item_id", "doc_id", 10).withColumn("score", F.round("score", 4))
+    return retrieval.bm25_topk(t("documents"), t("benchmark"), 10).withColumn("score", F.round("score", 4))
 
 
-@query(f"{_BM25}, l AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY len, doc_id)::INT AS rank FROM (SELECT k.item_id, k.doc_id, d.n_chars AS len FROM k JOIN documents d USING (doc_id))), f AS (SELECT item_id, doc_id, coalesce(1 / (60 + x.rank), 0) + coalesce(1 / (60 + y.rank), 0) AS score FROM (SELECT * FROM k WHERE rank <= 50) x FULL JOIN (SELECT * FROM l WHERE rank <= 50) y USING (item_id, doc_id)) SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM f) WHERE rank <= 10")
+@query(f"""WITH {_BM25}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM (SELECT item_id, v.vec_id AS doc_id, list_cosine_similarity(v.e, q.e) AS score FROM v, v q JOIN benchmark ON item_id = q.vec_id)),
+f AS (SELECT item_id, doc_id, coalesce(1 / (60 + x.rank), 0) + coalesce(1 / (60 + y.rank), 0) AS score FROM k x FULL JOIN d y USING (item_id, doc_id)) SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM f) WHERE rank <= 10""")
 def hybrid_rrf(t):
-    scores = retrieval.bm25_scores(t("documents"), t("benchmark"))
-    short = scores.join(t("documents").select("doc_id", "n_chars"), "doc_id").select("item_id", "doc_id", (-c("n_chars")).alias("score"))
-    both = (retrieval.top_per_query(x, "item_id", "doc_id", 50) for x in (scores, short))
-    return retrieval.top_per_query(retrieval.fuse(*both, ["item_id", "doc_id"]), "item_id", "doc_id", 10).select("item_id", "doc_id", "rank")
+    """Documents have the vector of their number, questions that of theirs."""
+    vectors = t("embeddings").select(c("vec_id").alias("doc_id"), "embedding")
+    asked = t("benchmark").select("item_id").join(vectors.withColumnRenamed("doc_id", "item_id"), "item_id")
+    dense = lambda depth: retrieval.dense_topk(vectors, asked, depth, "doc_id", "item_id")
+    sparse = lambda depth: retrieval.bm25_topk(t("documents"), t("benchmark"), depth)
+    return retrieval.hybrid_topk(sparse, dense, "item_id", "doc_id", 10).select("item_id", "doc_id", "rank")

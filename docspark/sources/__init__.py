@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.validate import upload_outcome
+from ..functions import has_magic
+from ..operators.report import REPORT_SCHEMA
+from ..operators.validate import MAX_BYTES, upload_outcome
 
 LOG_SCHEMA = "event string, level string, timestamp string, correlation_id string, method string, path string, client_ip string, user_id string, status_code int, duration_ms double, app_version string, environment string"
 
@@ -23,19 +25,57 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_logs(rows: DataFrame, path: str) -> None:
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+    write_lines(rows.select(F.to_json(F.struct("*")).alias("value")), path)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Append a one-column frame of text, in its order."""
+    lines.write.mode("append").text(path)
+
+
+def append_table(rows: DataFrame, path: str) -> None:
+    """Append ``rows`` to the Parquet table at ``path``: the sink of objects, catalog rows, users and tokens."""
+    rows.write.mode("append").parquet(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+    return spark.read.schema(REPORT_SCHEMA).json(path, multiLine=True)
+
+
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def judged_uploads(manifest: DataFrame, sizes: DataFrame, heads: DataFrame, magic: bytes = b"%PDF-") -> DataFrame:
+    """``manifest`` (path, drug_name, content_type, has_file) with size and outcome. ``sizes``: path, size; ``heads``: path, content."""
+    known = heads.select("path", has_magic(F.col("content"), magic).alias("__magic"))
+    joined = manifest.join(sizes, "path", "left").join(known, "path", "left")
+    outcome = upload_outcome(F.col("drug_name"), F.col("has_file"), F.col("content_type"), F.col("size"), F.col("__magic"))
+    return joined.withColumn("outcome", outcome).drop("__magic")
+
+
+def _named(files: DataFrame, *columns: Column) -> DataFrame:
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), *columns)
 
 
 def read_uploads(spark: SparkSession, files: str, manifest: DataFrame) -> DataFrame:
-    """Uploads of a manifest (path, drug_name, content_type, has_file), judged by size and first bytes.
+    """Uploads of a manifest, judged by size and first bytes.
 
     The file reader leaves empty files out, so the manifest says which files there are; one without a row is empty.
+    Sizes come from the listing alone; only the content of files within the limit is opened.
     """
-    found = spark.read.format("binaryFile").load(files).select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("size"), F.substring("content", 1, 5).alias("head"))
-    joined = manifest.join(found, "path", "left")
-    outcome = upload_outcome(F.col("drug_name"), F.col("has_file"), F.col("content_type"), F.coalesce("size", F.lit(0)), F.coalesce(F.col("head") == F.lit(b"%PDF-"), F.lit(False)))
-    return joined.withColumn("outcome", outcome).drop("head")
+    found = spark.read.format("binaryFile").load(files)
+    return judged_uploads(manifest, _named(found, F.col("length").alias("size")), _named(found.where(F.col("length") <= MAX_BYTES), F.col("content")))
+
+
+def stream_uploads(spark: SparkSession, files: str, manifest: DataFrame) -> DataFrame:
+    """A stream of the files that arrive in a folder and stand in ``manifest``, with size, outcome and, if accepted, status pending."""
+    found = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(files)
+    own = _named(found, F.col("length").alias("size"), has_magic(F.col("content"), b"%PDF-").alias("__magic")).join(manifest, "path")
+    outcome = upload_outcome(F.col("drug_name"), F.col("has_file"), F.col("content_type"), F.col("size"), F.col("__magic"))
+    judged = own.withColumn("outcome", outcome).drop("__magic")
+    return judged.withColumn("status", F.when(F.col("outcome") == "201", "pending"))
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str):
+    """Start a query that appends what has arrived to the Parquet table at ``path`` and then ends."""
+    return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
