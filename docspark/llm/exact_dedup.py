@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import keep, row_mark, without
 
-#: Runs that one merge round joins into one.
-FAN_IN = 16
+#: A round clears so many bits of a run's number, so up to 2**BITS runs meet in one.
+BITS = 4
 #: A run of white space that isn't a single space already.
 _WHITE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 _KEY = ("text_sha256", "n_bytes", "check")
@@ -30,21 +30,35 @@ def digests(docs: DataFrame, text: Column) -> DataFrame:
     )
 
 
+def receiver(run: Column, level: int) -> Column:
+    """The run that ``run`` is sent to in round ``level``: its number without the bits of that round, as in a binomial tree."""
+    return run.bitwiseAND(F.lit(-1 << (BITS * (level + 1)))).cast("int")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Multiway merge of the runs that meet (rows with one number in ``run``): sorted by digest, the smallest doc_id first, one row a digest.
+
+    A digest stands in a run once, so however common a text is, at most 2**BITS of its rows meet. Rows only merge if
+    length and a second hash agree with the digest, which verifies the doc_id that is retained.
+    """
+    same = Window.partitionBy("run", *_KEY)
+    first = F.row_number().over(same.orderBy(F.asc_nulls_last("low")))
+    merged = rows.select("run", *_KEY, "low", F.sum("n").over(same).alias("total"), first.alias("place"))
+    return merged.where("place = 1").select("run", *_KEY, "low", F.col("total").alias("n"))
+
+
 def merge_runs(rows: DataFrame, runs: int) -> list[DataFrame]:
     """The levels of the merge tree over ``rows`` (see ``digests``), leaves first.
 
-    A leaf holds, for one run, the smallest doc_id and the number of rows of each digest. In each round the runs
-    whose numbers agree after division by FAN_IN meet: equal digests are combined on the sending side and again on
-    the receiving side, keeping the smallest doc_id and the sum. Two rows only merge if digest, length and a second
-    hash agree, which verifies the retained doc_id at every level. The last level has one run, spread over all
-    tasks by digest; no task receives a whole run.
+    A leaf holds, for one run, the smallest doc_id and the number of rows of each digest, in order of the digests. In round r
+    the runs whose numbers differ in the r-th BITS bits only are sent to the lowest of them and merged. A run is dealt to
+    tasks by digest, so no task receives a whole run. The last level has one run.
     """
-    level = rows.groupBy("run", *_KEY).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    levels = [keep(level, "digest-run")]
-    while runs > 1:
-        runs = -(-runs // FAN_IN)
-        up = levels[-1].withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int"))
-        levels.append(keep(up.groupBy("run", *_KEY).agg(F.min("low").alias("low"), F.sum("n").alias("n")), "digest-run"))
+    leaf = rows.groupBy("run", *_KEY).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    levels = [keep(leaf.sortWithinPartitions("run", *_KEY), "digest-run")]
+    while runs > 1 << (BITS * (len(levels) - 1)):
+        sent = levels[-1].withColumn("run", receiver(F.col("run"), len(levels) - 1))
+        levels.append(keep(_merged(sent), "digest-run"))
     return levels
 
 
@@ -62,8 +76,8 @@ def exact_groups(docs: DataFrame, text: Column | None = None) -> DataFrame:
     runs = (rows.agg(F.max("run").alias("m")).first()["m"] or 0) + 1
     levels = merge_runs(rows, runs)
     answer = levels[-1].select("run", *_KEY, F.col("low").alias("keep_id"), F.col("n").alias("group_size"))
-    for level in reversed(levels[:-1]):
-        own = level.select("run", *_KEY, F.floor(F.col("run") / FAN_IN).cast("int").alias("up"))
+    for i, level in reversed([*enumerate(levels[:-1])]):
+        own = level.select("run", *_KEY, receiver(F.col("run"), i).alias("up"))
         answer = own.join(answer.withColumnRenamed("run", "up"), ["up", *_KEY]).drop("up")
     return rows.join(answer, ["run", *_KEY]).select(
         "doc_id",
