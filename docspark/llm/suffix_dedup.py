@@ -123,7 +123,12 @@ def suffix_ranks(text: np.ndarray, need: int, covered: int = 1) -> np.ndarray:
     with_one = _dense(np.concatenate([s[zero], s[one]]), np.concatenate([ranks[zero + 1], ranks[one + 1]]))
     with_two = _dense(*(np.concatenate([a[zero + k], a[two + k]]) for k, a in ((0, s), (1, s), (2, ranks))))
     z1, k1, z2, k2 = with_one[: len(zero)], with_one[len(zero) :], with_two[: len(zero)], with_two[len(zero) :]
-    below = lambda keys, of: np.searchsorted(np.sort(of), keys)
+
+    def below(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """How many of ``of`` are smaller than each key: both are dense names, so they are counted."""
+        n = np.bincount(of, minlength=int(keys.max(initial=0)) + 1)
+        return (np.cumsum(n) - n)[keys]
+
     out[zero] = below(z1, z1) + below(z1, k1) + below(z2, k2)
     rest = np.concatenate([one, two])
     among = below(ranks[rest], ranks[rest])
@@ -222,7 +227,9 @@ def _repeats(table: pa.Table) -> pa.Table:
         for g, hit in zip(several.tolist(), found, strict=True):
             if not hit.any():
                 continue
-            edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+            padded = np.zeros(len(hit) + 2, bool)
+            padded[1:-1] = hit
+            edge = np.flatnonzero(padded[1:] != padded[:-1])
             for i in range(begin[g], stop[g]):
                 if whole[i]:
                     break
