@@ -264,3 +264,234 @@ def test_toxicity(spark, docs, empty):
     assert (held.predicted == (held.doc_id % 4 == 0)).mean() > 0.95
     assert {r.score for r in toxicity.score_texts(docs, train.select("doc_id", "toxic").limit(0)).collect()} == {0.5}
     assert toxicity.score_texts(empty, train.select("doc_id", "toxic")).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(fresh(rng, 40)) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, c), (None, c), (None, a), (1, a)], "doc_id long, text string")
+    left = sorted((r.doc_id, r.text) for r in exact_dedup.drop_exact_duplicates(docs).collect())
+    assert left == [(1, a), (1, a), (2, b), (3, c)]  # rows alike in both stay together
+    near = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in jaccard_join.drop_near_duplicates(docs.where("doc_id is not null or text <> 'x'")).collect())
+    assert near == [(-1, a), (-1, c), (2, b)]  # a null doc_id comes first here
+    cut = [(r.doc_id, bytes(r.kept).decode()) for r in suffix_dedup.remove_repeats(docs).collect()]
+    assert sorted((d if d is not None else -1, t) for d, t in cut) == [(-1, a), (-1, c), (1, ""), (1, ""), (2, ""), (2, b), (3, "")]
+    assert len(passages.passage_links(docs).collect()) == 4
+    assert jaccard_join.jaccard_links(docs).count() == exact_dedup.exact_groups(docs).count() == 7
+    for frame in (pii.pii_digest(docs), language_model.fit_and_score(docs), packing.pack(packing.token_pieces(docs, TOKENIZER, 0))):
+        assert frame.count() == 7
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.score_texts(docs, labels).count() == 7
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert decontaminate.contamination(docs, items).count() == 7
+
+
+def test_store_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(2, "two"), (None, "none"), (2, "two again"), (1, None)]
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/s", TOKENIZER, 2, 2)
+    got = token_store.stored_digests(spark, f"{tmp_path}/s").orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1, 2, 2] and got[1].n_tokens == 1 and got[1].ids_crc32 == zlib.crc32(np.array([2], "<u4").tobytes())
+    assert token_store.read_document(spark, f"{tmp_path}/s", 2).count() == 2
+
+
+def test_wide_ids(tmp_path):
+    assert token_store.id_bytes(TOKENIZER, 2) == 2 and token_store.id_bytes(TOKENIZER, 70_000) == 4
+    with pytest.raises(ValueError):
+        token_store.id_bytes(TOKENIZER, 2**32)
+    rows = [(1, 0, 3, token_store._serialized(np.array([1, 70_000, 2]), 4))]
+    index, width, digest, base = token_store.read_index(token_store.pack_segment(rows, b"\0" * 32, 4))
+    assert width == 4 and index["n_tokens"].tolist() == [3]
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(TOKENIZER)
+    tool.encode_special_tokens = True
+    return tool
+
+
+def test_encoder_equals_the_library(monkeypatch):
+    from docspark.llm import tokens
+
+    rng, tool = random.Random(8), library()
+    odd = [chr(x) for x in (0x20, 0x09, 0x0A, 0xA0, 0x85, 0x27, 0x41, 0xE9, 0x0663, 0x3042, 0x1F600, 0x301, 0x2028, 0xD7, 0x0)]
+    some = ["".join(rng.choices([*odd, "'s", "'ll ", "'re", "word", " 12", "<|endoftext|>"], k=rng.randint(0, 60))) for _ in range(3000)] + [t or "" for t in texts()]
+    want = [x.ids for x in tool.encode_batch(some, add_special_tokens=False)]
+    for pieces, chars in ((700_000, 1_000_000), (3_000, 2_000), (5, 2_000)):  # remembers all, forgets often, can't remember
+        monkeypatch.setattr(tokens, "MEMO_PIECES", pieces)
+        monkeypatch.setattr(tokens, "BATCH_CHARS", chars)
+        assert [x.tolist() for x in tokens.Encoder(TOKENIZER).encode(some)] == want
+
+
+def test_packing_by_the_library(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 15)
+    got = packing.pack(packing.token_pieces(docs, TOKENIZER, 0, 512), 512)
+    bound = packing.certificate(got, 512)
+    rows, tool = got.toPandas(), library()
+    assert bound[0] == rows.sequence_id.nunique() >= bound[1] >= -(-rows.length.sum() // 512)
+    for i, t in enumerate(texts()):
+        ids = np.array([*tool.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        own = rows[rows.doc_id == i].sort_values("piece")
+        first = len(ids) % 512 or 512
+        want = [len(ids)] if len(ids) <= 512 else [first] + [512] * ((len(ids) - first) // 512)
+        assert own.piece.tolist() == list(range(len(want))) and own.length.tolist() == want and own.start.tolist() == (np.cumsum(want) - want).tolist()
+        assert own.ids_crc32.tolist() == [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own.start, own.length)]
+
+
+def test_equal_lengths_and_certificate(spark):
+    pieces = spark.createDataFrame([(i, 0, 0, 1030, 0) for i in range(50)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert packing.certificate(packing.pack(pieces)) == (50, 50)
+    half = spark.createDataFrame([(i, 0, 0, 1024, 0) for i in range(51)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert packing.certificate(packing.pack(half)) == (26, 26)
+
+
+def test_language_model_probabilities(spark):
+    rng = random.Random(2)
+    # words that follow each other: a model of pairs is better than one of single words
+    chain = {f"w{i}": [f"w{(7 * i + k) % 300}" for k in range(3)] for i in range(300)}
+    rows = []
+    for i in range(500):
+        w = [f"w{rng.randrange(300)}"]
+        while len(w) < 60:
+            w.append(rng.choice(chain[w[-1]]))
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = language_model.fit_and_score(docs).where("held_out").toPandas()
+    assert out.score.sum() > 0.8 * out.base_score.sum()  # both are negative
+    # without any order in it the model isn't much worse than the base
+    mixed = spark.createDataFrame([(i, " ".join(rng.sample(t.split(), 60))) for i, t in rows[:150]], "doc_id long, text string")
+    out = language_model.fit_and_score(mixed).where("held_out").toPandas()
+    assert out.score.sum() > 1.01 * out.base_score.sum()
+    # the probabilities of all one-word texts, of one unknown word, and of the empty text sum to 1 before the end
+    vocabulary = [f"w{i}" for i in range(300)] + ["unknown"]
+    held = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 7 == 2][: len(vocabulary) + 1]
+    asked = spark.createDataFrame(list(zip(held, ["", *vocabulary])), "doc_id long, text string")
+    got = {r.doc_id: r.base_score for r in language_model.fit_and_score(docs.unionByName(asked)).where("doc_id >= 10000").collect()}
+    end = got[held[0]]
+    assert math.isclose(sum(10 ** (got[i] - end) for i in held[1:]) + 10**end, 1, abs_tol=1e-6)
+
+
+def test_model_table_and_mixture():
+    rng = np.random.default_rng(0)
+    counts = rng.integers(0, 20, (30, 30))
+    table = language_model._log_table(*language_model.train_nce(counts, counts))
+    assert np.allclose(np.exp(table).sum(axis=1), 1, atol=1e-5)
+    assert language_model.mixture_weight(np.full((3, 3), 0.1), np.ones((3, 3))) < 0.01
+    assert language_model.mixture_weight(np.full((3, 3), 9.0), np.ones((3, 3))) > 0.99
+
+
+@pytest.mark.parametrize(
+    "text,spans",
+    [
+        ("pay to GB82 WEST 1234 5698 7654 32 now", "iban:7:34"),
+        ("pay to GB82 WEST 1234 5698 7654 33 now", ""),  # fails mod-97
+        ("his social security number is 123-45-6789 there", "ssn:30:41"),
+        ("part 123-45-6789 is sold out", ""),  # no context
+        ("ssn 000-45-6789 and 900-12-3456 and 123-00-6789", ""),  # never given out
+        ("card 4539 1488 0343 6468", ""),  # fails Luhn
+    ],
+)
+def test_pii_beyond_the_base(spark, text, spans):
+    row = pii.pii_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.spans == spans and row.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_pii_context_moves_the_score(spark):
+    rows = spark.createDataFrame([(1, "call +1 (736) 555-5010"), (2, "see +1 (736) 555-5010")], "doc_id long, text string")
+    score = {r.doc_id: r.found[0].score for r in pii.find_pii(rows).collect()}
+    assert score[1] > score[2]
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    decoder = toxicity.Decoder(rng.integers(0, 50, (toxicity.LETTERS,) * 3))
+    codes = toxicity._letter_table()
+    for text in ("1d10t", "a.b-c", "f**l", "xx00y", "!!", "b@@d", "s h 1"):
+        best = None
+        for path in itertools.product(*decoder.lattice(text)):
+            one, two, value = 0, 0, 0.0
+            for letter, channel in path:
+                value += channel
+                if letter:
+                    three = int(codes[min(ord(letter), 0x17F)])
+                    value += decoder.logs[one, two, three]
+                    one, two = two, three
+            value += decoder.logs[one, two, 0]
+            best = max(best or (value, ""), (value, "".join(letter for letter, _ in path)))
+        assert decoder.decode(text) == best[1]
+
+
+def test_toxic_word_in_a_long_stretch(spark):
+    rng = random.Random(1)
+    words = "quiet house river stone paper light garden window".split()
+    rows = [(i, " ".join([*rng.choices(words, k=12), "idiot" if i % 4 == 0 else "friend"]), int(i % 4 == 0)) for i in range(400)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scorer = toxicity.fit(train.select("doc_id", "text"), train.select("doc_id", "toxic"))
+    for before in range(10, 40, 3):  # wherever the word stands
+        stretch = ".".join([*(rng.choice(words) for _ in range(before)), "1d10t", *(rng.choice(words) for _ in range(30))])
+        assert float(scorer.score(scorer.numbers(stretch)[None])[0]) > 0.5
+    assert float(scorer.score(scorer.numbers("l0ng-" * 20_000)[None])[0]) < 0.5
+
+
+def test_forest_depth_follows_the_corpus():
+    assert jaccard_join.least_depth(0.8, 0.999) == 5 and jaccard_join.recall_at(0.8, 5) >= 0.999 > jaccard_join.recall_at(0.8, 7)
+
+
+def test_forest_depth_of_corpora(spark):
+    rng = random.Random(7)
+
+    def depth(edits):
+        rows = []
+        for g in range(40):
+            base = fresh(rng, 200)
+            for k in range(6):
+                own = list(base)
+                for at in rng.sample(range(200), edits):
+                    own[at] = fresh(rng, 1)[0]
+                rows.append((len(rows), " ".join(own)))
+        signed = jaccard_join.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+        firsts = signed.selectExpr("struct(doc_id as rep, key_a as set) as node", "labels")
+        return jaccard_join.adapted_depth(firsts, 0.8, 0.999)
+
+    assert depth(1) == jaccard_join.DEPTH and depth(4) < jaccard_join.DEPTH
+
+
+def test_one_word_repeated(spark):
+    rows = [(1, "word " * 20_000), (2, "other " + "word " * 20_000), (3, "line of words here\n" * 5_000), (4, "start " + "line of words here\n" * 4_000)]
+    got = by_id(passages.passage_links(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i].class_id for i in (1, 2, 3, 4)] == [1, 1, 3, 3]
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(11)
+    rows, source = [], [fresh(rng, 70) for _ in range(12)]
+    for i in range(60):
+        passage = list(source[i % 12])
+        for at in rng.sample(range(70), i // 12 % 3):
+            passage[at] = fresh(rng, 1)[0]
+        rows.append((i, " ".join([*fresh(rng, rng.randint(0, 40)), *passage, *fresh(rng, rng.randint(0, 40))])))
+    own = {i: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for i, t in rows for w in [t.split()]}
+    linked = Counter()
+    got = by_id(passages.passage_links(spark.createDataFrame(rows, "doc_id long, text string")))
+    total = found = 0
+    for i in own:
+        for j in range(i):
+            a, b = own[i], own[j]
+            alike = any(
+                5 * len(x & y) >= 4 * len(x | y)
+                for n in (46, 56, 66)
+                for x in (set(a[k : k + n]) for k in range(0, len(a) - n + 1, 2))
+                for y in (set(b[k : k + n]) for k in range(0, len(b) - n + 1, 2))
+                if i % 12 == j % 12
+            )
+            total += alike
+            found += alike and got[i].class_id == got[j].class_id
+            linked[i, j] = alike
+    assert total > 50 and found >= 0.9 * total
+    assert all(got[i].class_id % 12 == i % 12 for i in own)
+    for i, r in got.items():
+        for s, e in (map(int, x.split(":")) for x in r.passages.split(",") if x):
+            assert e - s >= 50
