@@ -1,12 +1,16 @@
 import random
 import re
+import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from docspark.llm import packing, toxicity  # noqa: E402
 from docspark.llm.common import keep  # noqa: E402
+from docspark.llm.queries import tokenizer_path  # noqa: E402
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -39,7 +43,9 @@ def folder(spark, tmp_path_factory):
 
 def kept_toxicity(spark, docs, rows, folder):
     scored = toxicity.score_texts(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    return {r.doc_id for r in scored.where("score < 0.5").collect()}
+    kept = {r.doc_id for r in scored.where("score < 0.5").collect()}
+    assert kept == {i for i, t in rows.items() if "idiot" not in (t or "").split()}  # the word that the labels follow
+    return kept
 
 
 def kept_exact(spark, docs, rows, folder):
@@ -80,6 +86,16 @@ def test_stages(spark, folder):
         got = {r.doc_id: r.text for r in docs.collect()}
         assert got == {i: rows[i] for i in want} and len(got) < len(rows), name
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).toPandas()
+    tool = Tokenizer.from_file(tokenizer_path())
+    tool.encode_special_tokens = True
+    want = []
+    for r in docs.collect():
+        ids = np.array([*tool.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        start = 0
+        for k, n in enumerate(([len(ids) % packing.CAPACITY] if len(ids) % packing.CAPACITY else []) + [packing.CAPACITY] * (len(ids) // packing.CAPACITY)):
+            want.append((r.doc_id, k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
+            start += n
+    assert sorted(map(tuple, packed[["doc_id", "piece", "start", "length", "ids_crc32"]].values.tolist())) == sorted(want)
     ran = corpus_pipeline.run(spark, folder).toPandas()
     pieces = ["doc_id", "piece", "start", "length", "ids_crc32"]
     for frame in (packed, ran):
