@@ -81,13 +81,13 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]
             many = np.bincount(group)[group] > 1
             if (got := _by_doc(keys[many], ids[many], width)) is not None:
                 yield got
-            # the smallest document of each key goes on; bit 0 of the second array says that others are known already
+            # the smallest document of each key goes on, and a byte that says whether others are known already
             keys, ids, flag = keys[first], ids[first], many[first]
             part = (keys % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             keys, ids, flag, part = keys[order], ids[order], flag[order], part[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
-            rows = [(int(part[a]), pack_keys(keys[a:b], width), np.concatenate([ids[a:b], flag[a:b].astype(np.int64)]).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            rows = [(int(part[a]), pack_keys(keys[a:b], width), ids[a:b].tobytes() + flag[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             p, k, d = zip(*rows, strict=True)
             yield pa.record_batch([pa.array(p, pa.int32()), pa.nulls(len(p), pa.int64()), pa.array(k, pa.binary()), pa.array(d, pa.binary())], schema=_KINDS)
 
@@ -99,9 +99,9 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]
         if not group.num_rows:
             return told.select(["doc_id", "keys"])
         keys = unpack_keys(group["keys"].to_pylist(), width)
-        both = [np.frombuffer(x.as_py(), np.int64) for x in group["docs"]]
-        ids = np.concatenate([x[: len(x) // 2] for x in both])
-        known = np.concatenate([x[len(x) // 2 :] for x in both]) > 0
+        blobs = group["docs"].to_pylist()
+        ids = np.concatenate([np.frombuffer(x, np.int64, len(x) // 9) for x in blobs])
+        known = np.concatenate([np.frombuffer(x, bool, len(x) // 9, len(x) // 9 * 8) for x in blobs])
         order = np.argsort(keys, kind="stable")
         keys, ids, known = keys[order], ids[order], known[order]
         first = np.diff(keys, prepend=keys[0] ^ np.uint64(1)) != 0
