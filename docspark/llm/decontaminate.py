@@ -121,7 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``items`` has item_id and text. n_hit counts the words inside any occurrence of a window. Null or empty texts
     have no words and no hits; items without words have no windows. Copies of an item count as items of their own.
-    Of rows that repeat a doc_id each gets the row's own n_words and the hits of all of them. Empty tables give
+    Of rows that repeat a doc_id each gets the row's own n_words and the hits of all of them; rows without a doc_id get no hits. Empty tables give
     no rows, or rows without hits. Further columns are ignored, whatever their names.
     """
     docs = docs.select("doc_id", "text")

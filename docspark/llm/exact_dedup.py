@@ -91,5 +91,5 @@ def exact_groups(docs: DataFrame, text: Column | None = None) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns: those that ``exact_groups`` says are kept."""
+    """The rows of ``docs`` that stay, with its columns: those that ``exact_groups`` says are kept. Rows alike in doc_id and text stay together."""
     return without(docs, exact_groups(docs).where("not kept"))

@@ -253,9 +253,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
 
     Texts are UTF-8 bytes, null counts as empty. A byte goes if a 50-byte string that covers it also starts in a document
-    with a smaller doc_id, judged on the input. Rows with the same doc_id never remove from each other (but of rows that repeat a doc_id
-    one whole copy of another's text counts for all); a null doc_id is
-    smaller than any other. Texts under 50 bytes stay whole. An empty table gives no rows; further columns are
+    with a smaller doc_id, judged on the input. Rows with the same doc_id never remove from each other, and each is judged by its own
+    text; a null doc_id is smaller than any other (it is -2**63 inside, so no doc_id may be that). Texts under 50 bytes stay whole. An empty table gives no rows; further columns are
     ignored, whatever their names.
     """
     text = F.coalesce("text", F.lit(""))
