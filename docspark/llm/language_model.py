@@ -56,6 +56,7 @@ class Model:
     bias: np.ndarray
     class_total: np.ndarray  # of each class: training tokens + distinct words + 1
     weight: float = 1.0  # of this model in the mixture with the unigrams
+    table: np.ndarray | None = None  # of all ids after each id, once a task has asked for it
 
     def id_of(self, word: bytes) -> int:
         known = self.ids.get(word)
@@ -150,22 +151,30 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "bucket int, word binary, n long")
 
 
+class _Ids(dict):
+    """The ids of words; classes of words that the model doesn't know by themselves are remembered."""
+
+    def __init__(self, ids: dict[bytes, int]):
+        super().__init__(ids)
+        self.base = len(ids)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = got = self.base + word_class(word)
+        return got
+
+
 def _pair_counts(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Matrices of the counts of (word before, word) over all training texts: those that teach, and a fifth for development."""
     n = len(model.bias)
-    ids, base = model.ids, len(model.ids)
+    ids = model.ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * n * n, np.int32)
-        memo: dict[bytes, int] = dict(ids)
+        memo = _Ids(ids)
         for batch in slices(batches):
             if len(memo) > FLUSH_WORDS:
-                memo = dict(ids)
+                memo = _Ids(ids)
             every = [tokens(t) for t in batch["text"].to_pylist()]
-            for words in every:
-                for w in words:
-                    if w not in memo:
-                        memo[w] = base + word_class(w)
             flat = np.array([0, *(memo[w] for words in every for w in words)], np.int64)
             apart = np.repeat(batch["check"].to_numpy(zero_copy_only=False), [*map(len, every)])
             code, seen = np.unique((apart * n + flat[:-1]) * n + flat[1:], return_counts=True)
@@ -234,7 +243,9 @@ def fit_and_score(docs: DataFrame) -> DataFrame:
         known = np.log10(c + 1)
         inside = of >= len(model.ids)
         share = np.where(inside, known - np.log10(model.class_total)[np.maximum(of - len(model.ids), 0)], 0.0)
-        table = model.log10_probabilities(np.arange(len(model.bias)))
+        if model.table is None:
+            model.table = model.log10_probabilities(np.arange(len(model.bias)))
+        table = model.table
         weight, log_weight = model.weight, math.log10(model.weight) if model.weight else -math.inf
         log_rest = math.log10(1 - weight) if weight < 1 else -math.inf
         rows = []
