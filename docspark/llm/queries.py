@@ -7,13 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, jaccard_join, language_model, packing, passages, pii, suffix_dedup, token_store, toxicity
+from . import decontaminate, exact_dedup, histogram_packing, jaccard_join, language_model, packing, passages, periodic_runs, pii, spelling_groups, suffix_dedup, token_store, toxicity
 from .common import shared_folder
 from .shared_keys import parts_for
 
 #: The tokenizer file of the token queries; by default the public vocabulary that is installed beside Python.
 TOKENIZER_VARIABLE = "DOCSPARK_TOKENIZER"
-STORE_END, PACK_END = 2, 0
+STORE_END, PACK_END, HISTOGRAM_END = 2, 0, 1
+#: One of so many words of a document is misspelt in ``op11_spelling_groups``.
+MISSPELL = 97
 
 
 def tokenizer_path() -> str:
@@ -71,7 +73,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_links(_read(spark, sf_dir, "documents")).drop("mark")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_toxicity, op4_token_store, op5_packing, op6_lm_scoring, op7_suffix_dedup, op8_pii, op9_substring_dedup, op10_jaccard_join)}
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.spelling_groups(_read(spark, sf_dir, "documents"), MISSPELL)
+
+
+def op12_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), HISTOGRAM_END)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_read(spark, sf_dir, "documents"), periodic_runs.planted).drop("runs", "collapsed")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_toxicity, op4_token_store, op5_packing, op6_lm_scoring, op7_suffix_dedup, op8_pii, op9_substring_dedup, op10_jaccard_join, op11_spelling_groups, op12_histogram_packing, op13_periodic_runs)}
 
 _WORDS_SQL = "list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
 _KINDS_SQL = (
