@@ -9,7 +9,6 @@ equal pairs are exactly the near words, and no strings are compared.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,44 +21,45 @@ from .common import bounded, keep, slices
 LEAST_LENGTH, LEAST_COUNT, FORM_TIMES = 5, 3, 2
 #: Distinct words that a task counts before it sends them on.
 TASK_WORDS = 200_000
-#: A in UTF-8, as bytes: A-Z, a-z, U+00C0 to U+00FF.
-_RUN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+")
+#: Latin-1 bytes: letters as they are, A-Z in lower case, all else a space. A character that Latin-1 lacks is a "?" before.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
 
 
-def misspelt(doc: bytes, word: bytes, every: int) -> bytes:
-    """``word`` of a document, without one code point where a checksum of both says so: known misspellings to measure against."""
-    h = zlib.crc32(word, zlib.crc32(doc + b":"))
-    if h % every:
-        return word
-    text = word.decode()
-    i = h % len(text)
-    return (text[:i] + text[i + 1 :]).encode()
+def checksum(head: int, word: bytes) -> int:
+    """crc32 of UTF-8 ``<doc_id>:<word>``; ``head``: that of what stands before the word, which is in Latin-1."""
+    return zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), head)
 
 
 def word_counts(docs: DataFrame, misspell: int | None = None) -> DataFrame:
-    """Rows (word, n): the runs of letters of all texts, A-Z in lower case, with how often each occurs. ``misspell``: see ``misspelt``."""
+    """Rows (word, n): the runs of letters (A-Z, a-z, U+00C0 to U+00FF) of all texts, A-Z in lower case, with how often each occurs.
+
+    ``misspell``: a word of a document whose checksum with the doc_id it divides loses one code point: known misspellings to measure against.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
 
         def told() -> pa.RecordBatch:
-            return pa.record_batch({"word": pa.array([w.decode() for w in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+            return pa.record_batch({"word": pa.array([w.decode("latin-1") for w in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
 
         for batch in slices(batches):
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                own = Counter(_RUN.findall(text.encode().lower()))  # bytes have no case but that of A-Z
+                words = text.encode("latin-1", "replace").translate(_LETTERS).split(b" ")
+                held.update(words)
                 if misspell:
                     head = zlib.crc32(b":" if doc is None else b"%d:" % doc)
-                    for word in [w for w in own if zlib.crc32(w, head) % misspell == 0]:
-                        held[misspelt(b"" if doc is None else b"%d" % doc, word, misspell)] += own.pop(word)
-                held.update(own)
+                    for word in set(words):
+                        if word and (h := checksum(head, word)) % misspell == 0:
+                            i, n = h % len(word), words.count(word)
+                            held[word] -= n
+                            held[word[:i] + word[i + 1 :]] += n
             if len(held) > TASK_WORDS:
                 yield told()
                 held.clear()
         yield told()
 
     texts = bounded(docs).where(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "word string, n long").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def numbered_tries(words: DataFrame) -> DataFrame:
@@ -136,4 +136,4 @@ def spelling_groups(docs: DataFrame, misspell: int | None = None) -> DataFrame:
     again; doc_id only matters with ``misspell`` (null: an empty text there); ties are broken by code points; an
     empty table gives no rows; other columns aren't read.
     """
-    return spelling_forms(keep(word_counts(docs, misspell), "word-counts"))
+    return spelling_forms(keep(word_counts(docs, misspell).where(f"n >= {LEAST_COUNT}"), "word-counts"))
