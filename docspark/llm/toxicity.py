@@ -30,7 +30,7 @@ SEPARATORS = " .-_~'"
 _LEET, _DROP, _REPEAT, _STAY, _WILD = math.log(0.3), math.log(0.25), math.log(0.35), math.log(0.05), math.log(0.15)
 #: A letter and, before or after it, a symbol; three equal letters; or letters joined by separators.
 _LETTER, _INNER, _AFTER = re.compile("[a-zß-ÿ]"), re.compile("[0-9@$!|+(€£*_~]"), re.compile("[0-9@$€£*_~]")
-_TRIPLE, _JOINED = re.compile(r"([a-zß-ÿ])\1\1"), re.compile(r"[a-zß-ÿ]+(?:[.\-_*~][a-zß-ÿ0-9@$!]+)+")
+_TRIPLE, _JOINED = re.compile(r"([a-zß-ÿ])\1\1"), re.compile(r"(?<![a-zß-ÿ])[a-zß-ÿ]++(?:[.\-_*~][a-zß-ÿ0-9@$!]++)++")
 _SPACED = re.compile(r"(?<!\S)(?:[a-zß-ÿ0-9@$!][ .\-_*~]){2,}[a-zß-ÿ0-9@$!](?!\S)")
 #: Tokens whose features a worker remembers.
 MEMO_TOKENS = 300_000
@@ -297,7 +297,9 @@ def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The score depends on the text alone. Null and empty texts get the score of a text without features. Without labels all scores
     are 0.5. Repeated rows are scored each, labels that contradict each other are left out, a null doc_id is in
-    training but has no label. An empty table gives no rows; further columns are ignored, whatever their names.
+    training but has no label. An empty table gives no rows; further columns are ignored, whatever their names. Texts of any length are
+    scored whole, in time linear in them. The classifier is fitted on FIT_ROWS labelled rows and keeps FEATURES features at most (both
+    bound its size); equal weights are told apart by the feature's text. doc_id comes back as long.
     """
     scorer = fit(docs, labels)
 
@@ -308,7 +310,7 @@ def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": pa.array(got), "predicted": pa.array(got >= 0.5).cast(pa.int32())})
         scorer.forget()
 
-    asked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return asked.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
