@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 _MARK, _STAND_IN = "\x01", "\x02"
 #: Characters of text before a span in which a context word counts.
 NEARBY = 40
+#: Parts of a text between matches that are walked through at once; even, so that each block begins outside a match.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -71,21 +74,41 @@ def _valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where ``use`` names it inside functions of array elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(text: Column, kind: Kind, order: int) -> Column:
-    """Array of (start, rank, end, score) of the kind's valid matches in ``text``, which has no mark characters."""
-    parts = F.split(F.regexp_replace(text, kind.pattern, f"{_MARK}$0{_MARK}"), _MARK)
-    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("before"), F.array().cast("array<struct<start:int,rank:int,end:int,score:double>>").alias("out"))
+    """Array of (start, rank, end, score) of the kind's valid matches in ``text``, which has no mark characters.
 
-    def step(a: Column, part: Column) -> Column:
-        end = a["at"] + F.length(part)
-        near = F.lower(F.right(a["before"], F.lit(NEARBY))).rlike(kind.words)
-        score = F.when(near, F.lit(min(1.0, kind.prior + 0.25))).otherwise(F.lit(kind.prior))
-        good = a["inside"] & _valid(kind.name, part) & (F.lit(True) if kind.base else score >= REPORTED)
-        one = F.array(F.struct(a["at"].alias("start"), F.lit(order).alias("rank"), end.alias("end"), score.alias("score")))
-        return F.struct(end.alias("at"), (~a["inside"]).alias("inside"), part.alias("before"), F.when(good, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+    Arrays that grow by one are copied at each step, so the parts between marks go in blocks of BLOCK: a block's spans count
+    from its own start, and a second pass over the blocks adds where each begins.
+    """
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,score:double>>")
+
+    def block(parts: Column, b: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            part, inside = F.get(parts, i), i % 2 == 1
+            end = a["at"] + F.length(part)
+            near = F.lower(F.right(F.get(parts, i - 1), F.lit(NEARBY))).rlike(kind.words)
+            score = F.when(near, F.lit(min(1.0, kind.prior + 0.25))).otherwise(F.lit(kind.prior))
+            good = inside & _valid(kind.name, part) & (F.lit(True) if kind.base else score >= REPORTED)
+            one = F.array(F.struct(a["at"].alias("start"), F.lit(order).alias("rank"), end.alias("end"), score.alias("score")))
+            return F.struct(end.alias("at"), F.when(good, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+
+        places = F.sequence(b * BLOCK, F.least(F.size(parts), (b + 1) * BLOCK) - 1)
+        return F.aggregate(places, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def joined(blocks: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begin = F.aggregate(blocks, first, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+        moved = lambda s, at: F.struct((s["start"] + at).alias("start"), s["rank"].alias("rank"), (s["end"] + at).alias("end"), s["score"].alias("score"))
+        return _bound(begin, lambda at: F.flatten(F.transform(blocks, lambda x, k: F.transform(x["out"], lambda s: moved(s, F.get(at, k))))))
 
-    found = F.aggregate(parts, first, step)["out"]
-    return F.when(text.rlike(kind.hint), found).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,score:double>>"))
+    parts = F.split(F.regexp_replace(text, kind.pattern, f"{_MARK}$0{_MARK}"), _MARK)
+    blocks = lambda ps: F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / BLOCK).cast("int")), lambda b: block(ps, b))
+    return F.when(text.rlike(kind.hint), _bound(parts, lambda ps: _bound(blocks(ps), joined))).otherwise(none)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -95,7 +118,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     Base kinds are reported whenever their validator passes; the context only moves the score. Further kinds need a
     score of REPORTED. Null and empty texts have no spans; rows that repeat a doc_id are handled one by one; an
     empty table gives no rows; further columns are ignored, whatever their names. Matches of one kind never
-    overlap; those of different kinds may.
+    overlap; those of different kinds may. Texts of any length are taken whole; the time is linear in a text and its matches.
     """
     text = F.translate(F.coalesce("text", F.lit("")), _MARK, _STAND_IN)
     wide = docs.select("doc_id", text.alias("t")).select("doc_id", *(_spans(F.col("t"), k, i).alias(f"k{i}") for i, k in enumerate(KINDS)))

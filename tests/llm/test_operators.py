@@ -496,3 +496,28 @@ def test_passages_against_brute_force(spark):
     for i, r in got.items():
         for s, e in (map(int, x.split(":")) for x in r.passages.split(",") if x):
             assert e - s >= 50
+
+
+def test_a_megabyte_without_separators(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id int, toxic int")
+    words = ["idiot trash", "kind words"]
+    rows = [(i, f"{words[(i + 1) % 2]} number {i}") for i in range(8)] + [(20, "acgt" * 250_000), (21, "a-" * 500_000), (22, "abc.def" * 1000)]
+    got = by_id(toxicity.score_texts(spark.createDataFrame(rows, "doc_id int, text string"), labels))
+    assert len(got) == 11 and all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_joined_words_are_found_as_before():
+    plain = re.compile(r"[a-zß-ÿ]+(?:[.\-_*~][a-zß-ÿ0-9@$!]+)+")
+    rng = random.Random(8)
+    for _ in range(5000):
+        text = "".join(rng.choices("abé.-_*~12@! ", k=rng.randint(0, 14)))
+        assert toxicity._JOINED.findall(text) == plain.findall(text)
+
+
+def test_a_log_of_a_hundred_thousand_addresses(spark):
+    n = 100_000
+    text = "".join(f"10.{i % 256}.{i // 256 % 256}.{i % 300} up\n" for i in range(n))
+    got = pii.find_pii(spark.createDataFrame([(1, text), (2, "host 10.0.0.1")], "doc_id long, text string"))
+    spans = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == "ip"] for r in got.collect()}
+    want = [m.span() for m in re.finditer(r"[0-9]+(?:\.[0-9]+){3}", text) if int(m.group().split(".")[-1]) <= 255]
+    assert spans[1] == want and spans[2] == [(5, 13)]
