@@ -6,132 +6,32 @@ Scores are compared rounded to 6 decimals, equal ones by id, so that a ranking d
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-K1, B, RRF = 1.2, 0.75, 60
-#: Queries that are held in memory at once; more are answered block by block.
-BLOCK = 1024
-_TERM = re.compile("[a-z0-9]+")
+from ..kept import keep
+from . import inverted_index, vector_cells
 
-
-def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-
-
-def _blocks(queries: DataFrame, key: str) -> Iterator[DataFrame]:
-    """``queries`` in parts of about BLOCK rows."""
-    n = -(-queries.count() // BLOCK)
-    for i in range(n):
-        yield queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of the ``k`` best ids of each column of ``scores``; NaN isn't a score."""
-    told = np.round(scores, 6)
-    order = np.lexsort((np.broadcast_to(ids[:, None], told.shape), -told), axis=0)[:k]  # NaN sorts last
-    place = np.broadcast_to(np.arange(scores.shape[1]), order.shape)
-    found = ~np.isnan(scores[order, place])
-    return place[found], ids[order[found]], scores[order, place][found]
-
-
-def _merged(parts: list[DataFrame], query: str, item: str, k: int) -> DataFrame:
-    """The top ``k`` of rankings that tasks have cut to ``k`` already."""
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
-    return top_per_query(every, query, item, k)
-
-
-def _ranked(rows: DataFrame, columns: list[str], score: Callable[[pa.RecordBatch], np.ndarray], names: list, query: str, kind: str, item: str, k: int) -> DataFrame:
-    """The ``k`` best rows of each task for each query: ``score`` gives a matrix of rows and queries."""
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                place, ids, value = _best(score(part), part[item].to_numpy(zero_copy_only=False), k)
-                place, ids, value = (np.concatenate(x) for x in zip(held, (place, ids, value), strict=True))
-                order = np.lexsort((ids, -np.round(value, 6), place))
-                place, ids, value = place[order], ids[order], value[order]
-                first = np.searchsorted(place, place)
-                top = np.arange(len(place)) - first < k
-                held = place[top], ids[top], value[top]
-        yield pa.record_batch({query: pa.array([names[i] for i in held[0]], pa.int64()), item: pa.array(held[1], pa.int64()), "score": pa.array(held[2])})
-
-    return rows.select(item, *columns).mapInArrow(best, f"{query} {kind}, {item} long, score double")
+RRF = 60
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", query: str = "query_id", column: str = "embedding") -> DataFrame:
-    """Rows (query, item, score, rank): the ``k`` vectors of highest cosine for each of ``queries`` (query, embedding).
+    """Rows (query, item, score, rank): the ``k`` vectors of highest cosine for each of ``queries`` (query, embedding), exactly.
 
-    All queries against all vectors, exactly, in blocks of queries: a task multiplies matrices and keeps ``k`` a query.
-    Vectors that are null or zero have no cosine and are left out.
+    Cells that can't hold one of them are skipped; see ``vector_cells``. Vectors that are null or zero have no cosine and are left out.
     """
-    parts = []
-    asked = queries.select(F.col(query).cast("long"), F.col(column).cast("array<double>").alias("v")).where("v is not null")
-    for block in _blocks(asked, query):
-        got = block.toArrow()  # at most BLOCK rows or so
-        q = np.array(got["v"].to_pylist(), float)
-
-        def cosines(batch: pa.RecordBatch, q: np.ndarray = q) -> np.ndarray:
-            x = np.array(batch["v"].to_pylist(), float)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                return (x @ q.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :])
-
-        own = vectors.select(item, F.col(column).cast("array<double>").alias("v")).where("v is not null")
-        parts.append(_ranked(own, ["v"], cosines, got[query].to_pylist(), query, "long", item, k))
-    return _merged(parts, query, item, k) if parts else _nothing(vectors, query, item)
-
-
-def _nothing(rows: DataFrame, query: str, item: str) -> DataFrame:
-    return rows.limit(0).select(F.lit(0).cast("long").alias(query), F.col(item), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    best, _ = vector_cells.search_cells(vector_cells.build_cells(vectors, item, column), queries, k, query, column)
+    return best.select(F.col("q").alias(query), F.col("doc").alias(item), "score", "rank")
 
 
 def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, item: str = "doc_id", query: str = "item_id") -> DataFrame:
-    """Rows (item_id, doc_id, score, rank): Robertson-Zaragoza weights with idf ln(1 + (N - df + 0.5) / (df + 0.5)).
+    """Rows (item_id, doc_id, score, rank) of an index of the questions' terms; see ``inverted_index``.
 
-    Two passes over the texts: document frequencies of the questions' terms, then scores. A task scores a block of documents
-    for all questions by one product of matrices and keeps ``k`` documents a question, so no pairs are shuffled.
     Documents without any term of a question aren't ranked for it.
     """
-    sizes = docs.select(terms(F.col("text")).alias("w"))
-    n_docs, mean = sizes.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
-    wanted = questions.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
-    found = sizes.select(F.explode(F.array_distinct("w")).alias("term")).join(wanted, "term", "left_semi")
-    frequency = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # terms of the questions
-    parts = []
-    for block in _blocks(questions.select(F.col(query).cast("long"), F.array_distinct(terms(F.col("text"))).alias("w")), query):
-        got = block.toArrow()
-        place: dict[str, int] = {}
-        cells = [(place.setdefault(w, len(place)), j) for j, words in enumerate(got["w"].to_pylist()) for w in words if w in frequency]
-        if not cells:
-            continue
-        weight = np.zeros((len(place), got.num_rows))
-        idf = np.array([math.log(1 + (n_docs - frequency[w] + 0.5) / (frequency[w] + 0.5)) for w in place])
-        row, column = np.array(cells).T
-        weight[row, column] = idf[row]
-
-        def scores(batch: pa.RecordBatch, place: dict[str, int] = place, weight: np.ndarray = weight) -> np.ndarray:
-            tf = np.zeros((batch.num_rows, len(weight)))
-            for i, text in enumerate(batch["text"].to_pylist()):
-                words = _TERM.findall((text or "").lower())
-                norm = K1 * (1 - B + B * len(words) / mean)
-                for w, n in Counter(words).items():
-                    if (j := place.get(w)) is not None:
-                        tf[i, j] = n * (K1 + 1) / (n + norm)
-            out = tf @ weight
-            out[out == 0] = np.nan
-            return out
-
-        parts.append(_ranked(docs, ["text"], scores, got[query].to_pylist(), query, "long", item, k))
-    return _merged(parts, query, item, k) if parts else _nothing(docs, query, item)
+    wanted = questions.select(F.explode(inverted_index.terms(F.col("text"))).alias("term")).distinct()
+    return inverted_index.search(inverted_index.build_index(docs, wanted, item), questions, k, query, item)
 
 
 def top_per_query(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
@@ -146,6 +46,45 @@ def fuse(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, "r1", "r2", (share("r1") + share("r2")).alias("score"))
 
 
+def _counted(scores: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (q, doc, rank): the rank among ``scores`` (q, doc, score) of each row of ``wanted`` (a part of them).
+
+    Each row of ``scores`` finds its place among the wanted ones of its question, and places are counted; nothing is sorted as a whole.
+    """
+    order = F.struct((-F.round("score", 6)).alias("s"), F.col("doc").alias("d"))
+    lists = wanted.groupBy("q").agg(F.array_sort(F.collect_list(order)).alias("them"))  # as many as candidates
+    place = F.size(F.filter("them", lambda x: x < F.col("own")))
+    seen = scores.join(lists, "q").select("q", order.alias("own"), "them").select("q", place.alias("place")).groupBy("q", "place").agg(F.count(F.lit(1)).alias("n"))
+    told = lists.select("q", F.posexplode("them").alias("place", "x")).join(seen, ["q", "place"], "left")
+    # a row at a place is behind all wanted ones before the place, and isn't behind the one at it
+    upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("q").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return told.select("q", F.col("x.d").alias("doc"), upto.cast("int").alias("rank"))
+
+
+def fused_topk(one: DataFrame, two: DataFrame, k: int) -> DataFrame:
+    """Rows (q, doc, score, rank): the ``k`` best by reciprocal rank fusion of two score lists (q, doc, score), as of their whole rankings.
+
+    A document that is under rank RRF + 2 k or so in both lists has less than the k-th of either one, so only those before that
+    are candidates. Those that can still be among the best get their exact rank in the other list by counting. Each list is
+    read twice and ranked once, cut to the candidates before it is shuffled. Give lists that are kept; documents that a list lacks have no
+    share from it.
+    """
+    depth = math.ceil(2 / (1 / (RRF + k) - 1e-6)) - RRF
+    lists = [(x, keep(inverted_index.ranked(x, depth), "candidates")) for x in (one, two)]
+    a, b = (top.select("q", "doc", F.col("rank").alias(f"r{i}")) for i, (_, top) in enumerate(lists, 1))
+    share = lambda c: F.coalesce(1 / (RRF + F.col(c)), F.lit(0.0))
+    both = a.join(b, ["q", "doc"], "full").withColumn("low", share("r1") + share("r2"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low"), "doc"))
+    least = both.withColumn("n", place).where(F.col("n") == k).select("q", F.col("low").alias("least"))
+    one_rank = F.when(F.col("r1").isNull() | F.col("r2").isNull(), 1 / (RRF + depth + 1)).otherwise(0.0)
+    may = keep(both.join(least, "q", "left").where(F.col("least").isNull() | (F.col("low") + one_rank >= F.col("least") - 1e-6)).select("q", "doc", "r1", "r2"), "candidates")
+    for i, (scores, _) in enumerate(lists, 1):
+        unknown = may.where(F.col(f"r{i}").isNull()).select("q", "doc")
+        exact = _counted(scores, scores.join(unknown, ["q", "doc"])).withColumnRenamed("rank", "exact")
+        may = may.join(exact, ["q", "doc"], "left").withColumn(f"r{i}", F.coalesce(f"r{i}", "exact")).drop("exact")
+    return inverted_index.ranked(may.select("q", "doc", (share("r1") + share("r2")).alias("score")), k)
+
+
 def hybrid_topk(one: Callable[[int], DataFrame], two: Callable[[int], DataFrame], query: str, item: str, k: int, depth: int = 128) -> DataFrame:
     """Rows (query, item, score, rank): the ``k`` best by reciprocal rank fusion of two whole rankings, read only as deep as needed.
 
@@ -163,7 +102,7 @@ def hybrid_topk(one: Callable[[int], DataFrame], two: Callable[[int], DataFrame]
         most = F.col("score") + missing("r1", "n1") + missing("r2", "n2")
         unseen = next_share(F.col("n1")) + next_share(F.col("n2"))
         rank = F.row_number().over(Window.partitionBy(query).orderBy(F.round("score", 6).desc(), F.col(item)))
-        ranked = fused.select(*keys, "score", most.alias("most"), unseen.alias("unseen"), rank.alias("rank"))
+        ranked = keep(fused.select(*keys, "score", most.alias("most"), unseen.alias("unseen"), rank.alias("rank")), "fused")
         in_top = F.col("rank") <= k
         proof = ranked.groupBy(query).agg(
             F.max(F.when(in_top, F.col("most") - F.col("score"))).alias("open"),

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import functions as fn
-from .operators import catalog, integrity, mutate, report, retrieval, session, text, validate
+from .kept import keep
+from .operators import catalog, integrity, inverted_index, mutate, report, retrieval, session, text, validate, vector_cells
 from .sources import read_table
 from .streaming import context_fill, rate_limit
 
@@ -456,6 +457,7 @@ def hybrid_rrf(t):
     """Documents have the vector of their number, questions that of theirs."""
     vectors = t("embeddings").select(c("vec_id").alias("doc_id"), "embedding")
     asked = t("benchmark").select("item_id").join(vectors.withColumnRenamed("doc_id", "item_id"), "item_id")
-    dense = lambda depth: retrieval.dense_topk(vectors, asked, depth, "doc_id", "item_id")
-    sparse = lambda depth: retrieval.bm25_topk(t("documents"), t("benchmark"), depth)
-    return retrieval.hybrid_topk(sparse, dense, "item_id", "doc_id", 10).select("item_id", "doc_id", "rank")
+    wanted = t("benchmark").select(F.explode(inverted_index.terms(c("text"))).alias("term")).distinct()
+    sparse = keep(inverted_index.all_scores(inverted_index.build_index(t("documents"), wanted), t("benchmark")), "scores")
+    dense = vector_cells.all_cosines(vector_cells.build_cells(vectors, "doc_id"), asked, "item_id")
+    return retrieval.fused_topk(sparse, dense, 10).select(c("q").alias("item_id"), c("doc").alias("doc_id"), "rank")
