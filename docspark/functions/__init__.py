@@ -61,14 +61,20 @@ def expires(ts: Column, days: int = 0, minutes: int = 0) -> Column:
     return ts + F.make_dt_interval(F.lit(days), F.lit(0), F.lit(minutes), F.lit(0))
 
 
+def enum_value(name: Column) -> Column:
+    """The value of an enum that is stored by its upper-case name."""
+    return F.lower(name)
+
+
 def rounded(x: Column, places: int = 2) -> Column:
-    """``x`` to so many decimals; halves of the exact binary value go to the even digit, so 2.675 gives 2.67."""
-    return F.call_function("format_number", x, F.lit("0." + "0" * places)).cast("double")
+    """``x`` to so many decimals; halves of the exact binary value go to the even digit, so 2.675 gives 2.67. Infinite values stay."""
+    told = F.call_function("format_number", x, F.lit("0." + "0" * places)).try_cast("double")
+    return F.when(F.abs(x) == float("inf"), x).otherwise(F.coalesce(told, x))
 
 
 def percent(x: Column) -> Column:
-    """One decimal, halves to even."""
-    return F.concat(F.format_number(x, 1), F.lit("%"))
+    """One decimal, halves to even, without separators between thousands."""
+    return F.concat(F.call_function("format_number", x, F.lit("0.0")), F.lit("%"))
 
 
 def _accents() -> tuple[str, str]:

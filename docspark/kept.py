@@ -33,3 +33,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df``, marked for broadcast when its rows, counted, of about ``row_bytes`` fit into BROADCAST_BYTES; otherwise Spark shuffles it."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if it comes in fewer parts than there are cores (as one small file does), for work that is heavy for each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

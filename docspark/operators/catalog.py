@@ -17,6 +17,11 @@ def exists_flags(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return lookup(keys, table.select(key).distinct(), key)
 
 
+def metadata(keys: DataFrame, registry: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Every distinct key with ``columns`` of the registry and a found flag. The payload isn't among them, so it isn't read."""
+    return lookup(keys, registry.select(key, *columns), key)
+
+
 def payloads(keys: DataFrame, table: DataFrame, key: str, payload: str) -> tuple[DataFrame, DataFrame]:
     """(key and payload of the distinct keys that are there, the keys that aren't)."""
     asked = keys.select(key).distinct()

@@ -1,8 +1,9 @@
 """A stored inverted index with the largest weight of each block, and searches that skip blocks. All of it in Spark's own expressions.
 
-Documents are dealt to ranges by a hash. The postings of a term in a range are a block: documents, their weights for the term, and the
-largest of these. A question's blocks of one range together bound what any document there can score, so a range whose bound
-is under the k-th best score known is never opened.
+Documents are dealt to ranges by a hash. The postings of a term in a range are a block, of which the largest weight is known.
+A question's blocks of one range together bound what any document there can score, so a range whose bound is under the k-th
+best score known is never opened. Postings are stored by range, in order of terms: a document's are in one file, and a
+term's are in few row groups of each.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..kept import keep, small
+from ..kept import keep, small, spread
 
 K1, B = 1.2, 0.75
 #: Documents of a range, on average.
@@ -23,8 +24,9 @@ _CLOSE = 1e-6
 
 
 class TextIndex(NamedTuple):
-    """``blocks``: term, range, most, n, postings (array of doc, weight); ``terms``: term, df, most."""
+    """``postings``: term, range, doc, weight; ``blocks``: term, range, most (the largest weight), n; ``terms``: term, df, most."""
 
+    postings: DataFrame
     blocks: DataFrame
     terms: DataFrame
 
@@ -40,7 +42,7 @@ def build_index(docs: DataFrame, only: DataFrame | None = None, item: str = "doc
     repeat an id with another length count as one document each for df, as one for scores.
     """
     # only the first and the last part of a split can be empty; their count is taken off, and they fall away when exploded
-    cut = docs.select(F.col(item).cast("long").alias("doc"), F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+").alias("w"))
+    cut = spread(docs.select(item, "text")).select(F.col(item).cast("long").alias("doc"), F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+").alias("w"))
     empty = lambda at: (F.element_at("w", at) == "").cast("int")
     sized = cut.select("doc", "w", F.greatest(F.size("w") - empty(1) - empty(-1), F.lit(0)).alias("size"))
     n, mean = sized.agg(F.count(F.lit(1)), F.avg("size")).first()
@@ -51,22 +53,23 @@ def build_index(docs: DataFrame, only: DataFrame | None = None, item: str = "doc
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
-    posted = counted.join(df, "term").select("term", "doc", weight.alias("weight"))
     ranges = max(1, -(-n // range_docs))
     of = F.pmod(F.xxhash64("doc"), F.lit(ranges)).cast("int").alias("range")
-    grouped = posted.groupBy("term", of).agg(F.max("weight").alias("most"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("doc", "weight")).alias("postings"))
-    blocks = keep(grouped, "index-blocks")
-    return TextIndex(blocks, keep(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most")), "index-terms"))
+    posted = counted.join(df, "term").select("term", of, "doc", weight.alias("weight"))
+    postings = keep(posted.repartition("range").sortWithinPartitions("term", "range"), "index-postings")
+    blocks = keep(postings.groupBy("term", "range").agg(F.max("weight").alias("most"), F.count(F.lit(1)).alias("n")), "index-blocks")
+    return TextIndex(postings, blocks, keep(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most")), "index-terms"))
 
 
 def write_index(index: TextIndex, path: str) -> None:
-    """Store ``index`` at ``path``, blocks in the order of terms, so that a search reads only the row groups of its terms."""
-    index.blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{path}/blocks")
-    index.terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    """Store ``index`` at ``path`` in the layout it is built in."""
+    index.postings.repartition("range").sortWithinPartitions("term", "range").write.parquet(f"{path}/postings")
+    for name, table in (("blocks", index.blocks), ("terms", index.terms)):
+        table.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{name}")
 
 
 def read_index(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/terms"))
+    return TextIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "blocks", "terms")))
 
 
 def _asked(index: TextIndex, questions: DataFrame, query: str) -> DataFrame:
@@ -78,13 +81,13 @@ def _asked(index: TextIndex, questions: DataFrame, query: str) -> DataFrame:
 def _scored(index: TextIndex, asked: DataFrame, open_: DataFrame | None = None) -> DataFrame:
     """Rows (q, doc, score) of the postings of ``asked`` (q, term), of the ranges in ``open_`` (q, range) if given.
 
-    Blocks are dealt by range, so that all postings of a document are in one task and sums need no further shuffle as
-    long as the questions' terms are few enough to be broadcast.
+    A file has all postings of its documents, so sums are whole before they are shuffled, as long as the questions' terms
+    are few enough to be broadcast.
     """
-    met = index.blocks.select("term", "range", "postings").repartition("range").join(small(asked.select("q", "term"), 32), "term")
+    met = index.postings.join(small(asked.select("q", "term"), 32), "term")
     if open_ is not None:
         met = met.join(small(open_, 16), ["q", "range"])
-    return met.select("range", "q", F.inline("postings")).groupBy("range", "q", "doc").agg(F.sum("weight").alias("score")).select("q", "doc", "score")
+    return met.groupBy("q", "doc").agg(F.sum("weight").alias("score"))
 
 
 def all_scores(index: TextIndex, questions: DataFrame, query: str = "item_id") -> DataFrame:

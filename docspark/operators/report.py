@@ -29,9 +29,19 @@ def report_totals(reports: DataFrame) -> DataFrame:
     return reports.select(F.lit("TOTAL").alias("name"), *_numbers(F.col("totals")))
 
 
-def report_lines(totals: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows (section, line), in order: the totals, then the items by ascending percent, equal ones by name."""
+def summary_items(rows: DataFrame) -> DataFrame:
+    """Rows (name, percent, statements, missing) of ``rows`` (name and a report's numbers); absent numbers are 0."""
+    return rows.select("name", *_numbers(F.struct("percent_covered", "num_statements", "missing_lines")))
+
+
+def report_rows(totals: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (section, percent, name, line) of the totals (section 0) and the items (section 1), in no order."""
     number = lambda c: F.col(c).cast("string")
     line = F.concat(F.lit("| `"), "name", F.lit("` | "), percent(F.col("percent")), F.lit(" | "), number("statements"), F.lit(" | "), number("missing"), F.lit(" |"))
     every = totals.select(F.lit(0).alias("section"), "*").unionByName(items.select(F.lit(1).alias("section"), "*"))
-    return every.orderBy("section", "percent", "name").select("section", line.alias("line"))
+    return every.select("section", "percent", "name", line.alias("line"))
+
+
+def report_lines(totals: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (section, line), in order: the totals, then the items by ascending percent, equal ones by name."""
+    return report_rows(totals, items).orderBy("section", "percent", "name").select("section", "line")

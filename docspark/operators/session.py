@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import TimestampType
 
 
 def valid_at(revoked: Column, expires_at: Column, now: Column) -> Column:
@@ -43,7 +44,22 @@ def revoke_valid(tokens: DataFrame, keys: DataFrame, token: str, now: Column) ->
     return hit.withColumn("revoked", F.when(good, F.lit(True)).otherwise(F.col("revoked"))).select(tokens.columns)
 
 
+def _instant(rows: DataFrame, at: str) -> Column:
+    """A time as text that doesn't depend on the session's time zone: in UTC, or as it is if it has no zone."""
+    zoned = rows.schema[at].dataType == TimestampType()
+    return (F.convert_timezone(None, F.lit("UTC"), F.col(at)) if zoned else F.col(at)).cast("string")
+
+
+def issue(users: DataFrame, user: str, secret: Column, now: Column, days: int = 30) -> DataFrame:
+    """New rows (user_id, token, expires_at, revoked) of a token table: the digest of each raw ``secret``, valid for ``days``.
+
+    The raw secret isn't kept. Rows without a user or a secret get no token.
+    """
+    rows = users.where(F.col(user).isNotNull() & secret.isNotNull())
+    return rows.select(F.col(user).alias("user_id"), F.sha2(secret, 256).alias("token"), (now + F.make_dt_interval(F.lit(days))).alias("expires_at"), F.lit(False).alias("revoked"))
+
+
 def rotate(attempts: DataFrame, token: str, at: str, days: int = 30) -> DataFrame:
     """The new tokens of attempts that won: the digest of the old one and the time names the next."""
     won = attempts.where("won")
-    return won.select(F.sha2(F.concat_ws("|", F.col(token), F.col(at).cast("string")), 256).alias("token"), (F.col(at) + F.make_dt_interval(F.lit(days))).alias("expires_at"))
+    return won.select(F.sha2(F.concat_ws("|", F.col(token), _instant(attempts, at)), 256).alias("token"), (F.col(at) + F.make_dt_interval(F.lit(days))).alias("expires_at"))

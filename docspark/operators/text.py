@@ -33,3 +33,14 @@ def ordered_concat(parts: DataFrame, key: str, order: str, text: str) -> DataFra
     """The texts of each key in order, without a separator; null is empty. Also the number of parts."""
     each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"))))
     return parts.groupBy(key).agg(each.alias("all")).select(key, F.array_join(F.transform("all", lambda x: x["t"]), "").alias("content"), F.size("all").cast("long").alias("pages"))
+
+
+def ingest_report(pages: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
+    """Rows (key, pages, characters, chunks) of documents that come as pages: what ``ordered_concat`` and ``chunk_documents`` would give.
+
+    Counted by sums that are combined before the shuffle; no text is collected, so a document may have any number of pages. Null
+    pages are empty, and count as pages.
+    """
+    chars = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    found = pages.groupBy(key).agg(F.count(F.lit(1)).alias("pages"), F.sum(chars).alias("characters"))
+    return found.withColumn("chunks", F.ceil(F.col("characters") / F.lit(size - overlap)))

@@ -26,8 +26,9 @@ def upload_outcome(name: Column, has_file: Column, content_type: Column, size: C
 
 
 def text_violations(x: Column, least: int = 8, most: int = 64) -> Column:
-    """All rules that a text breaks, in the order in which they are tried."""
+    """All rules that a text breaks, in the order in which they are tried. A null text breaks one: it is missing."""
     rules = {
+        "missing": x.isNull(),
         "too_short": F.length(x) < least,
         "too_long": F.length(x) > most,
         "uppercase": ~x.rlike("[A-Z]"),
@@ -50,7 +51,8 @@ def weak_secret(x: Column, denied: list[str] | None = None) -> Column:
 
 
 def outside_domain(x: Column, domain: list[str]) -> Column:
-    return ~F.coalesce(F.lower(x).isin(domain), F.lit(False))
+    """Whether ``x`` is null or none of ``domain``, case and all. Stored names are mapped to values before, by ``functions.enum_value``."""
+    return ~F.coalesce(x.isin(domain), F.lit(False))
 
 
 def unknown_keys(json: Column, known: list[str]) -> Column:

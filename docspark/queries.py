@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import functions as fn
-from .kept import keep
-from .operators import catalog, integrity, inverted_index, mutate, report, retrieval, session, text, validate, vector_cells
+from .kept import keep, shared_folder
+from .operators import catalog, checked, integrity, inverted_index, mutate, ordered, report, retrieval, session, text, validate, vector_cells
 from .sources import read_table
-from .streaming import context_fill, rate_limit
+from .streaming import rate_limit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +47,11 @@ def ingest_summary(t):
     return text.ingest_summary(t("documents"))
 
 
+@query("SELECT conv_id, count(*) AS pages, sum(length(coalesce(text, '')))::BIGINT AS characters, ceil(sum(length(coalesce(text, ''))) / 450.0)::BIGINT AS chunks FROM conversations GROUP BY conv_id")
+def ingest_report(t):
+    return text.ingest_report(t("conversations"), "conv_id", "text")
+
+
 @query("SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS content, count(*) AS pages FROM conversations GROUP BY conv_id")
 def ordered_concat(t):
     return text.ordered_concat(t("conversations"), "conv_id", "turn", "text")
@@ -82,6 +88,13 @@ def object_metadata(t):
     return rows.select("object_address", "content_size_bytes", "sha256_checksum")
 
 
+@query("SELECT 'stored_objects/' || k AS object_address, d.doc_id IS NOT NULL AS found, d.n_chars AS content_size, d.source AS original_filename FROM (SELECT DISTINCT doc_id + 100 AS k FROM documents) LEFT JOIN documents d ON d.doc_id = k")
+def metadata_lookup(t):
+    registry = t("documents").select(fn.object_address("stored_objects", c("doc_id")).alias("object_address"), c("n_chars").alias("content_size"), c("source").alias("original_filename"), c("text").alias("data"))
+    asked = t("documents").select(fn.object_address("stored_objects", c("doc_id") + 100).alias("object_address"))
+    return catalog.metadata(asked, registry, "object_address", ["content_size", "original_filename"])
+
+
 @query(f"SELECT 'stored_objects/' || doc_id AS object_address, NULL::VARCHAR AS content_type, strlen(text)::INT AS content_size_bytes, sha256(text) AS sha256_checksum, '{NOW}' AS created_at FROM documents")
 def object_register(t):
     return catalog.register_objects(t("documents"), c("text"), c("doc_id"), "stored_objects", lit(NOW))
@@ -149,6 +162,13 @@ def rotate_state(t):
     return session.rotated(*_tokens(t), "token", "ts", "event_id").select("token", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"), "revoked")
 
 
+@query("SELECT user_id, sha256('s' || event_id) AS token, '2024-02-19 00:00:00' AS expires_at, false AS revoked FROM events WHERE event_type = 'signup'")
+def issue_tokens(t):
+    users = t("events").where("event_type = 'signup'")
+    new = session.issue(users, "user_id", F.concat(lit("s"), c("event_id").cast("string")), _now())
+    return new.withColumn("expires_at", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query(f"WITH {_TOKENS} SELECT token, revoked, revoked OR (expires_at > TIMESTAMP '{NOW}' AND token IN (SELECT token FROM a)) AS after FROM k")
 def revoke_valid(t):
     tokens, keys = _tokens(t)
@@ -191,7 +211,7 @@ def row_to_response(t):
     return catalog.responses(rows, ["id", "drug_name", "manufacturer", "status"])
 
 
-@query("SELECT conv_id, turn, role FROM conversations WHERE lower(role) NOT IN ('user', 'system') OR role IS NULL")
+@query("SELECT conv_id, turn, role FROM conversations WHERE role NOT IN ('user', 'system') OR role IS NULL")
 def enum_violations(t):
     return t("conversations").where(validate.outside_domain(c("role"), ["user", "system"])).select("conv_id", "turn", "role")
 
@@ -205,7 +225,7 @@ def upload_outcome(t):
     return t("pages").select("page_id", outcome.alias("outcome"))
 
 
-_RULES = r"""list_filter([CASE WHEN length(x) < 8 THEN 'too_short' END, CASE WHEN length(x) > 64 THEN 'too_long' END, CASE WHEN NOT regexp_matches(x, '[A-Z]') THEN 'uppercase' END, CASE WHEN NOT regexp_matches(x, '[a-z]') THEN 'lowercase' END, CASE WHEN NOT regexp_matches(x, '\p{Nd}') THEN 'digit' END, CASE WHEN NOT regexp_matches(x, '[!@#$%^&*(),.?":{}|<>]') THEN 'special' END], lambda r: r IS NOT NULL)"""
+_RULES = r"""list_filter([CASE WHEN x IS NULL THEN 'missing' END, CASE WHEN length(x) < 8 THEN 'too_short' END, CASE WHEN length(x) > 64 THEN 'too_long' END, CASE WHEN NOT regexp_matches(x, '[A-Z]') THEN 'uppercase' END, CASE WHEN NOT regexp_matches(x, '[a-z]') THEN 'lowercase' END, CASE WHEN NOT regexp_matches(x, '\p{Nd}') THEN 'digit' END, CASE WHEN NOT regexp_matches(x, '[!@#$%^&*(),.?":{}|<>]') THEN 'special' END], lambda r: r IS NOT NULL)"""
 
 
 @query(f"SELECT doc_id, line_no, array_to_string(v, ',') AS every_violation, coalesce(v[1], '') AS first_violation FROM (SELECT doc_id, line_no, {_RULES} AS v FROM (SELECT doc_id, (i - 1)::INT AS line_no, lines[i] AS x FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))))")
@@ -342,7 +362,7 @@ def log_to_json(t):
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bound FROM events")
 def context_log(t):
-    return context_fill(t("events").withColumn("bound", F.when(c("event_type") == "signup", c("event_id"))), "user_id", "ts", "event_id", "bound").select("event_id", "bound")
+    return ordered.carried(t("events").withColumn("bound", F.when(c("event_type") == "signup", c("event_id"))), "user_id", ["ts", "event_id"], "bound").select("event_id", "bound")
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 5 AS allowed FROM events")
@@ -368,17 +388,14 @@ def map_explode_report(t):
 r AS (SELECT 0 AS section, 'TOTAL' AS name, 100.0::DOUBLE * count(*) FILTER (l_returnflag <> 'R') / count(*) AS percent, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS missing FROM lineitem UNION ALL SELECT 1, name, CASE WHEN missing < n THEN 100.0::DOUBLE * (n - missing) / n ELSE 0 END, n, missing FROM f)
 SELECT section, (row_number() OVER (ORDER BY section, percent, name) - 1)::INT AS place, '| `' || name || '` | ' || printf('%.1f%%', percent) || ' | ' || n || ' | ' || missing || ' |' AS line FROM r""")
 def report_lines(t):
-    """A report as JSON, whose absent numbers are 0, and its lines in order."""
+    """A report's lines in order. Items and totals come as rows whose absent numbers are 0; places are given range by range."""
     lines = t("lineitem")
     n, missing = F.count(lit(1)).alias("num_statements"), F.nullif(F.count(F.when(c("l_returnflag") == "R", 1)), lit(0).cast("long")).alias("missing_lines")
     share = F.nullif(100.0 * F.count(F.when(c("l_returnflag") != "R", 1)) / F.count(lit(1)), lit(0.0)).alias("percent_covered")
     files = lines.groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("name")).agg(n, missing, share)
-    one = files.agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct(F.struct("num_statements", "missing_lines", "percent_covered").alias("summary"))))).alias("files"))
-    text = one.crossJoin(lines.agg(F.struct(n, missing, share).alias("totals"))).select(F.to_json(F.struct("totals", "files")).alias("value"))
-    told = text.select(F.from_json("value", report.REPORT_SCHEMA).alias("r")).select("r.*")
-    every = report.report_lines(report.report_totals(told), report.report_items(told))
-    # a report is small; its lines are numbered so that their order can be compared
-    return every.select("section", F.monotonically_increasing_id().alias("at"), "line").withColumn("place", (F.row_number().over(Window.orderBy("at")) - 1).cast("int")).drop("at")
+    every = report.report_rows(report.summary_items(lines.agg(n, missing, share).withColumn("name", lit("TOTAL"))), report.summary_items(files))
+    placed = ordered.numbered(every, ["section", "percent", "name"])
+    return placed.select("section", c("place").cast("int").alias("place"), "line")
 
 
 @query("SELECT event_id, round(value / 3, 2) AS amount FROM events")
@@ -393,9 +410,11 @@ def percent(t):
 
 @query("SELECT c_custkey, coalesce(CASE WHEN c_acctbal >= 0 THEN c_mktsegment END, 'user') AS role, 0::BIGINT AS nulls_left FROM customer")
 def add_column_backfill(t):
+    """The nulls that are left are counted by the pass that writes the new version."""
     rows = mutate.backfill(t("customer").select("c_custkey", F.when(c("c_acctbal") >= 0, c("c_mktsegment")).alias("role")), "role", lit("user"))
-    left = mutate.null_counts(rows, ["role"]).agg(F.coalesce(F.sum("nulls"), lit(0).cast("long")).alias("nulls_left"))
-    return rows.crossJoin(F.broadcast(left))  # one row
+    path = f"{shared_folder(rows.sparkSession)}/backfill-{uuid.uuid4().hex}"
+    told = checked.write_checked(rows, path, required=["role"])
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).withColumn("nulls_left", lit(told["nulls:role"]).cast("long"))
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer")

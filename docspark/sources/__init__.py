@@ -15,9 +15,32 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_database(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int = 8) -> DataFrame:
-    """A table over JDBC, read in parallel by ranges of an integer key."""
-    return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=partitions)
+def key_bounds(spark: SparkSession, url: str, table: str, key: str, options: dict[str, str] | None = None) -> tuple[int, int] | None:
+    """The least and greatest ``key`` of a database table, found by the database; None if it has no rows with one."""
+    own = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    told = spark.read.jdbc(url, f"(SELECT MIN({own}) AS low, MAX({own}) AS high FROM {table}) bounds", properties=options or {}).first()
+    return None if told[0] is None else (int(told[0]), int(told[1]))
+
+
+def read_database(spark: SparkSession, url: str, table: str, key: str, low: int | None = None, high: int | None = None, partitions: int = 8, options: dict[str, str] | None = None) -> DataFrame:
+    """A table over JDBC, read in parallel by ranges of an integer key, between bounds that are found if they aren't given.
+
+    Bounds only deal the rows out: those beyond them, and without a key, are read too. Filters, columns, limits and sums of a query that
+    the database can do are pushed to it. ``partitions`` is also how many connections are open at once. ``options``: of the reader, such as
+    driver, user, fetchsize.
+    """
+    if low is None or high is None:
+        found = key_bounds(spark, url, table, key, options)
+        if found is None:
+            return spark.read.jdbc(url, table, properties=options or {})
+        low, high = found
+    own = {"pushDownLimit": "true", "pushDownAggregate": "true", **(options or {})}
+    return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high + 1, numPartitions=partitions, properties=own)
+
+
+def write_database(rows: DataFrame, url: str, table: str, options: dict[str, str] | None = None) -> None:
+    """Append ``rows`` to a database table, which is made if it isn't there."""
+    rows.write.jdbc(url, table, mode="append", properties=options or {})
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -68,11 +91,17 @@ def read_uploads(spark: SparkSession, files: str, manifest: DataFrame) -> DataFr
 
 
 def stream_uploads(spark: SparkSession, files: str, manifest: DataFrame) -> DataFrame:
-    """A stream of the files that arrive in a folder and stand in ``manifest``, with size, outcome and, if accepted, status pending."""
+    """A stream of the files that arrive in a folder, with what ``manifest`` says of them, size, outcome and, if accepted, status pending.
+
+    A file that isn't in ``manifest`` comes out as unlisted. Of files over the limit only the listing is read. Empty files, and rows that come
+    later than their file, need a manifest that is a stream too: see ``streaming.uploads``.
+    """
     found = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(files)
-    own = _named(found, F.col("length").alias("size"), has_magic(F.col("content"), b"%PDF-").alias("__magic")).join(manifest, "path")
+    opened = _named(found.where(F.col("length") <= MAX_BYTES), F.col("length").alias("size"), has_magic(F.col("content"), b"%PDF-").alias("__magic"))
+    listed = _named(found.where(F.col("length") > MAX_BYTES), F.col("length").alias("size"), F.lit(None).cast("boolean").alias("__magic"))
+    own = opened.unionByName(listed).join(manifest.withColumn("__listed", F.lit(True)), "path", "left")
     outcome = upload_outcome(F.col("drug_name"), F.col("has_file"), F.col("content_type"), F.col("size"), F.col("__magic"))
-    judged = own.withColumn("outcome", outcome).drop("__magic")
+    judged = own.withColumn("outcome", F.when(F.col("__listed"), outcome).otherwise("404 unlisted")).drop("__magic", "__listed")
     return judged.withColumn("status", F.when(F.col("outcome") == "201", "pending"))
 
 

@@ -49,7 +49,7 @@ def test_index_against_plain_scores(spark, corpus, tmp_path):
         assert rows == want
     _, open_, every = inverted_index.needed_ranges(stored, asked.where("item_id = 1"), 7)
     assert 0 < open_.count() < every.count()  # ranges without the rare term aren't opened
-    terms = stored.blocks.where("term = 'w0'").select("postings")
+    terms = stored.postings.where("term = 'w0'").select("doc")
     assert "EqualTo(term,w0)" in terms._jdf.queryExecution().toString()
 
 
