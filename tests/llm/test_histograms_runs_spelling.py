@@ -10,7 +10,8 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from docspark.llm import histogram_packing, periodic_runs, spelling_groups
+from docspark.llm import histogram_packing, passages, periodic_runs, spelling_groups
+from docspark.llm.shingles import shingles, word_hashes
 
 tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = tokenizers.path("byte_bpe_50k.json")
@@ -242,3 +243,68 @@ def test_columns_of_the_queries(spark):
             i = h % len(low)
             n_words[low[:i] + low[i + 1 :] if h % 97 == 0 else low] += 1
     assert {(w, k) for w, _, _, k, _, _ in forms} == {(w, k) for w, k in n_words.items() if len(w) >= 5 and k >= 3}
+
+
+def passage_pair(rng):
+    """Two texts around a passage of which one had words changed, inserted and deleted and blocks swapped, with phrases that repeat."""
+    n, most = rng.randint(50, 90), rng.choice([10**6, 10**6, 12])
+    one = [str(rng.randint(0, most)) for _ in range(n)]
+    if rng.random() < 0.3:
+        one[20:28] = one[40:48] = one[:8]
+    two = list(one)
+    for _ in range(rng.randint(0, n // 30)):
+        kind, i = rng.random(), rng.randrange(len(two))
+        if kind < 0.4:
+            two[i] = f"x{rng.random()}"
+        elif kind < 0.6:
+            two.insert(i, f"y{rng.random()}")
+        elif kind < 0.8:
+            del two[i]
+        else:
+            i, j = sorted((i, rng.randrange(len(two))))
+            h = rng.randint(i, j)
+            two = two[:i] + two[h:j] + two[i:h] + two[j:]
+    noise = lambda: [f"n{rng.random()}" for _ in range(rng.randint(0, 15))]
+    return " ".join(noise() + one + noise()), " ".join(noise() + two + noise())
+
+
+def any_passage(x, y):
+    """Whether any two windows of 46 shingles or more are similar enough."""
+    for s in range(len(x) - passages.WIDTH + 1):
+        for e in range(s + passages.WIDTH, len(x) + 1):
+            own = set(x[s:e])
+            for t in range(len(y) - passages.WIDTH + 1):
+                both, other = 0, set()
+                for k in range(t, len(y)):
+                    if y[k] not in other:
+                        other.add(y[k])
+                        both += y[k] in own
+                    if k - t + 1 >= passages.WIDTH and both >= 0.8 * (len(own) + len(other) - both) - 1e-9:
+                        return True
+                    if len(other) - both > 0.25 * len(own) + 1:
+                        break
+    return False
+
+
+def test_no_edited_passage_is_lost():
+    rng, linked, lost = random.Random(11), 0, 0
+    for _ in range(500):
+        x, y = (np.maximum(shingles(w), np.uint64(1)) for w in word_hashes(list(passage_pair(rng))))
+        if min(len(x), len(y)) < passages.WIDTH:
+            continue
+        found = passages.matching_passages(x, y)
+        for s, e, t, u in found:
+            one, two = set(x[s:e].tolist()), set(y[t:u].tolist())
+            assert min(e - s, u - t) >= passages.WIDTH and len(one & two) >= 0.8 * len(one | two) - 1e-9
+        missed = not found and any_passage(x.tolist(), y.tolist())
+        linked, lost = linked + (bool(found) or missed), lost + missed
+    assert linked > 400 and lost <= linked // 100
+
+
+def test_swapped_blocks_are_linked(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    turned = words[60:] + words[:60]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(turned)), (3, "else " * 60)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in passages.passage_links(frame).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
