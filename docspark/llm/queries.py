@@ -110,6 +110,10 @@ def _pii_sql() -> str:
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _, _ in _KINDS_SQL)
     return f"WITH s AS ({' UNION ALL '.join(parts)}) SELECT d.doc_id, {counts}, sha256({listed}) AS base_sha256, {listed} AS spans FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"
 
+#: crc32 of the bytes of ``key`` (at most U+00FF each), bit by bit; a table of the 256 remainders keeps it quick.
+_CRC_SQL = """list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, b::BIGINT))"""
+_BYTES_SQL = "flatten(list_transform(string_split(key, ''), lambda ch: CASE WHEN ascii(ch) < 128 THEN [ascii(ch)::BIGINT] ELSE [(192 + (unicode(ch) >> 6))::BIGINT, (128 + (unicode(ch) & 63))::BIGINT] END))"
+
 
 ORACLES = {
     "op1_decontamination": f"""
@@ -125,4 +129,19 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256 FROM t WINDOW g AS (PARTITION BY text_sha256)""",
     "op8_pii": _pii_sql(),
+    "op11_spelling_groups": f"""
+WITH RECURSIVE t AS (SELECT {_CRC_SQL} AS r),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS k, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM runs GROUP BY 1, 2),
+summed AS (SELECT run, k, xor(list_reduce({_BYTES_SQL}, lambda v, b: xor(v >> 8, r[(xor(v, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM each, t),
+spelt AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM summed),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM spelt WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.less = b.less AND a.i = b.i AND length(a.word) = length(b.word) AND a.word <> b.word
+UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.less = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.less = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS top FROM near GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * w.n THEN other END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n FROM w LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS root FROM f UNION ALL SELECT path.word, f.form FROM path JOIN f ON f.word = path.root WHERE f.form IS NOT NULL),
+ends AS (SELECT path.word, root FROM path JOIN f ON f.word = path.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)""",
 }
