@@ -18,8 +18,8 @@ from ..kept import keep
 
 #: Vectors that centroids are fitted on at most, rounds of that, cells at most.
 SAMPLE_ROWS, ROUNDS, MOST_CELLS = 8192, 4, 1024
-#: Vectors of a block, and queries of one.
-BLOCK_ROWS, BLOCK_QUERIES = 512, 1024
+#: Vectors of a block, queries of one, and vectors that a cell has on average at least: fewer are compared as quickly as they are skipped.
+BLOCK_ROWS, BLOCK_QUERIES, CELL_ROWS = 512, 1024, 4096
 _CLOSE = 2e-6
 
 
@@ -52,6 +52,13 @@ def fit_centers(x: np.ndarray, cells: int) -> np.ndarray:
     return centers
 
 
+def _sampled(given: DataFrame, cells: int) -> np.ndarray:
+    """Centroids of a sample of ``given`` (id, v); a single cell needs none but any vector."""
+    rows = given.limit(1) if cells == 1 else given.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    _, x = _units(rows.toArrow()["v"])
+    return fit_centers(x, cells) if len(x) else np.zeros((1, 1))
+
+
 def build_cells(vectors: DataFrame, item: str, column: str = "embedding", cells: int | None = None) -> VectorCells:
     """Cells of ``vectors`` (item, column). Null and zero vectors have no cosine and are left out.
 
@@ -59,10 +66,8 @@ def build_cells(vectors: DataFrame, item: str, column: str = "embedding", cells:
     only decide how much a search skips.
     """
     given = vectors.select(F.col(item).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("v is not null")
-    sample = given.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
-    _, x = _units(sample["v"])
-    n = cells or max(1, min(MOST_CELLS, int(len(x) ** 0.5)))
-    centers = fit_centers(x, n) if len(x) else np.zeros((1, 1))
+    n = cells or max(1, min(MOST_CELLS, given.count() // CELL_ROWS))
+    centers = _sampled(given, n)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, np.ndarray, float]]] = {}
@@ -76,7 +81,7 @@ def build_cells(vectors: DataFrame, item: str, column: str = "embedding", cells:
             good, x = _units(batch["v"])
             if not len(good):
                 continue
-            cosines = x @ centers.T
+            cosines = x @ centers.T if len(centers) > 1 else np.full((len(x), 1), -1.0)
             near = cosines.argmax(axis=1)
             for i, c, v, cos in zip(batch["id"].to_numpy()[good].tolist(), near.tolist(), x, cosines.max(axis=1).tolist(), strict=True):
                 held.setdefault(c, []).append((i, v, cos))
@@ -103,7 +108,7 @@ def cell_bounds(cells: VectorCells, queries: DataFrame, k: int, query: str, colu
             good, x = _units(batch["v"])
             if not len(good) or not len(full):
                 continue
-            angle = np.arccos(np.clip(x @ centers.T, -1, 1))
+            angle = np.arccos(np.clip(x @ centers.T, -1, 1)) if len(centers) > 1 else np.zeros((len(x), 1))
             most = np.cos(np.maximum(0, angle - widest[None, :]))
             order = np.argsort(angle, axis=1, kind="stable")
             before = np.cumsum(sizes[order], axis=1) - sizes[order]
@@ -158,6 +163,9 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
 def search_cells(cells: VectorCells, queries: DataFrame, k: int, query: str, column: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """(rows (q, doc, score, rank) of the ``k`` highest cosines of each query, rows (q, cell, opened) of what was compared for that)."""
     parts = _parts(queries)
+    if len(cells.centers) == 1:
+        bounds = cell_bounds(cells, queries, k, query, column)
+        return _best(_multiplied(cells, bounds, parts, k), k), bounds.select("q", "cell", F.lit(True).alias("opened"))
     bounds = keep(cell_bounds(cells, queries, k, query, column), "cell-bounds")
     first = keep(_best(_multiplied(cells, bounds.where("near"), parts, k), k), "first-cells")
     reached = first.where(F.col("rank") == k).select("q", F.col("score").alias("least"))
