@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import functions as fn
 from .kept import keep, shared_folder
 from .operators import catalog, checked, integrity, inverted_index, mutate, ordered, report, retrieval, session, text, validate, vector_cells
-from .sources import read_table
+from .sources import append_stream, read_table
 from .streaming import rate_limit
+from .streaming.stateful import rate_limit_stream, token_use_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,6 +189,17 @@ def flag_update(t):
     return mutate.flag_update(t("orders").select("o_orderkey", "o_orderstatus"), keys, "o_orderkey", "o_orderstatus", lit("R"))
 
 
+@query("SELECT o_orderkey, CASE WHEN o_custkey = 7 THEN 'R' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def rewritten_orders(t):
+    """The orders lie in files by customer; only those that have one of customer 7 are written anew."""
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    path = f"{shared_folder(orders.sparkSession)}/orders-{uuid.uuid4().hex}"
+    orders.repartitionByRange("o_custkey").write.parquet(f"{path}/v1")
+    keys = orders.sparkSession.createDataFrame([(7,)], "o_custkey long")
+    change = lambda rows: mutate.flag_update(rows, keys, "o_custkey", "o_orderstatus", lit("R"))
+    return checked.rewrite_touched(orders.sparkSession, [f"{path}/v1"], keys, "o_custkey", change, f"{path}/v2").rows.select("o_orderkey", "o_orderstatus")
+
+
 @query("SELECT doc_id, CASE WHEN s IS NULL THEN 'missing_subject' WHEN try_cast(s AS BIGINT) IS NULL THEN 'invalid_token' WHEN c_custkey IS NULL THEN 'user_not_found' WHEN c_acctbal < 0 OR c_acctbal IS NULL THEN 'inactive_user' ELSE 'accepted' END AS reason FROM (SELECT doc_id, nullif(CASE WHEN doc_id % 5 = 0 THEN source ELSE regexp_replace(source, '[^0-9]', '', 'g') END, '') AS s FROM documents) LEFT JOIN customer ON try_cast(s AS BIGINT) = c_custkey")
 def access_reason(t):
     subject = F.nullif(F.when(c("doc_id") % 5 == 0, c("source")).otherwise(F.regexp_replace("source", "[^0-9]", "")), lit(""))
@@ -370,6 +382,32 @@ def rate_limited(t):
     return rate_limit(t("events"), ["user_id"], "ts", "event_id", "1 day").select("event_id", "allowed")
 
 
+def _streamed(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """Register a query that lets the table ``events`` arrive as a stream, runs ``make`` of it to its end and returns what was written."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        table, path = read_table(spark, folder, "events"), f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        table.write.parquet(f"{path}/arrived")
+        made = make(spark.readStream.schema(table.schema).parquet(f"{path}/arrived"))
+        append_stream(made, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+        return spark.read.schema(made.schema).parquet(f"{path}/rows")
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+_streamed("rate_limited_stream", lambda x: rate_limit_stream(x, ["user_id"], "ts", "event_id", "1 day").select("event_id", "allowed"), ORACLES["rate_limited"])
+_streamed(
+    "token_use_stream",
+    lambda x: token_use_stream(x.select("event_id", F.concat_ws(":", c("user_id").cast("string"), "event_type").alias("token"), "ts", (c("event_type") == "error").alias("revoked"), _now().alias("expires_at")), "token", "ts", "event_id", "revoked", "expires_at").select("event_id", "token", "won"),
+    ORACLES["single_use_consume"],
+)
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events")
+def numbered_events(t):
+    return ordered.numbered(t("events").select("ts", "event_id"), ["ts", "event_id"]).select("event_id", "place")
+
+
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'bad ' || event_type ELSE 'failed' END AS message FROM events")
 def error_message(t):
     body = F.when(c("event_id") % 3 == 0, F.to_json(F.struct(c("event_type").alias("detail")))).when(
@@ -470,6 +508,11 @@ def bm25_topk(t):
     return retrieval.bm25_topk(t("documents"), t("benchmark"), 10).withColumn("score", F.round("score", 4))
 
 
+@query(f"WITH s AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df FROM s GROUP BY 1")
+def index_terms(t):
+    return inverted_index.build_index(t("documents")).terms.select("term", "df")
+
+
 @query(f"""WITH {_BM25}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM (SELECT item_id, v.vec_id AS doc_id, list_cosine_similarity(v.e, q.e) AS score FROM v, v q JOIN benchmark ON item_id = q.vec_id)),
 f AS (SELECT item_id, doc_id, coalesce(1 / (60 + x.rank), 0) + coalesce(1 / (60 + y.rank), 0) AS score FROM k x FULL JOIN d y USING (item_id, doc_id)) SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM f) WHERE rank <= 10""")
 def hybrid_rrf(t):
