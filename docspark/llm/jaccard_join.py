@@ -2,7 +2,7 @@
 
 A label of a tree is the tree's min-hashes one after the other. Labels in order are a prefix trie: its nodes at depth d are the
 runs of labels that agree in their first d min-hashes. Documents in one node of any tree are compared. The depth starts at whole
-labels and is shortened as far as the target recall asks for, given how similar the documents of this corpus are.
+labels and is shortened as far as the target recall asks for at the very limit of similarity: by formula, whatever the corpus is like.
 """
 
 from __future__ import annotations
@@ -64,6 +64,7 @@ def _agreements(firsts: DataFrame, depth: int) -> np.ndarray:
 def adapted_depth(firsts: DataFrame, similarity: float, target: float) -> int:
     """The longest prefix that finds even the least similar of the corpus' similar pairs with ``target`` recall, never shorter than
     ``least_depth``. ``firsts``: node, labels. A mean over all pairs wouldn't do: very similar ones would outvote those near the limit.
+    It describes the sampled nodes only and may pass over the least similar pairs, so ``jaccard_links`` doesn't rely on it.
     """
     least = least_depth(similarity, target)
     agree = np.flatnonzero(_agreements(firsts, least))
@@ -197,7 +198,7 @@ def jaccard_links(docs: DataFrame, similarity: float = SIMILARITY, target_recall
     reps = keep(reps.withColumn("node", F.struct("rep", F.col("key_a").alias("set"))), "reps")
     first = worded.join(reps.select(*keys, F.col("rep").alias("doc_id")), [*keys, "doc_id"]).dropDuplicates([*keys, "doc_id"])
     firsts = keep(first.select(node.alias("node"), "labels"), "firsts")
-    groups = _candidate_groups(firsts, adapted_depth(firsts, similarity, target_recall))
+    groups = _candidate_groups(firsts, least_depth(similarity, target_recall))
     sized = groups.select("node", F.xxhash64("label").alias("grp")).join(reps, "node")
     blocks = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = sized.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("node")

@@ -460,6 +460,21 @@ def test_forest_depth_of_corpora(spark):
     assert jaccard_join.least_depth(0.8, 0.999) == depth(4) < depth(1)
 
 
+def test_links_depend_on_no_sample(spark, monkeypatch):
+    # groups that are far more alike than asked don't lengthen the prefix, by which pairs near the limit would be lost
+    rng = random.Random(8)
+    rows = []
+    for g in range(40):
+        base = fresh(rng, 200)
+        rows += [(len(rows) + k, " ".join([*base, f"end{k}"])) for k in range(6)]
+    depths = []
+    given = jaccard_join._candidate_groups
+    monkeypatch.setattr(jaccard_join, "_candidate_groups", lambda reps, depth: depths.append(depth) or given(reps, depth))
+    got = by_id(jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert depths == [jaccard_join.least_depth(0.8, 0.999)]
+    assert all(r.n_links == 5 and r.class_id == i // 6 * 6 for i, r in got.items())
+
+
 def test_one_word_repeated(spark):
     rows = [(1, "word " * 20_000), (2, "other " + "word " * 20_000), (3, "line of words here\n" * 5_000), (4, "start " + "line of words here\n" * 4_000)]
     got = by_id(passages.passage_links(spark.createDataFrame(rows, "doc_id long, text string")))
