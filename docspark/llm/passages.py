@@ -424,16 +424,16 @@ def _extents(met: DataFrame) -> DataFrame:
     return met.groupBy("doc_id", "lead").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("lead_low").alias("lead_low"), F.max("lead_high").alias("lead_high"))
 
 
-def _plausible(rows: list[tuple[int, int, bool, np.ndarray]], label: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of ``rows`` (doc_id, low, open, shingles), one of them open, with as many shingles in common as a passage needs.
+def _plausible(rows: list[tuple[int, int, np.ndarray]], label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of ``rows`` (doc_id, low, shingles) with as many shingles in common as a passage needs.
 
     ``label`` is changed by the caller: rows with equal labels have been found to belong together and aren't paired any more.
 
     Rows that share too few shingles with all others together go first, again until none goes: what a common line alone has
     brought here isn't paired.
     """
-    sets = [np.unique(r[3]) for r in rows]
-    least = np.array([SIMILARITY * (WIDTH - min(len(r[3]) - len(x), WIDTH - 1)) for r, x in zip(rows, sets, strict=True)])
+    sets = [np.unique(r[2]) for r in rows]
+    least = np.array([SIMILARITY * (WIDTH - min(len(r[2]) - len(x), WIDTH - 1)) for r, x in zip(rows, sets, strict=True)])
     left = np.arange(len(rows))
     while True:
         if len(left) < 2:
@@ -450,13 +450,12 @@ def _plausible(rows: list[tuple[int, int, bool, np.ndarray]], label: np.ndarray)
         if good.all():
             break
         left = left[good]
-    is_open = np.array([rows[i][2] for i in left])
     column = np.unique(column, return_inverse=True)[1]
     by_row = np.argsort(owner, kind="stable")
     ends = np.cumsum(np.bincount(owner, minlength=len(left)))
     by_column = column  # ascending
     first = np.searchsorted(by_column, np.arange(column[-1] + 2))
-    for i in np.flatnonzero(is_open).tolist():
+    for i in range(len(left)):
         now = label[left]
         if (now == now[i]).all():
             continue
@@ -465,28 +464,29 @@ def _plausible(rows: list[tuple[int, int, bool, np.ndarray]], label: np.ndarray)
         spot = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         common = np.bincount(owner[spot], minlength=len(left))
         for j in np.flatnonzero(common >= np.minimum(least[left], least[left[i]])).tolist():
-            if label[left[j]] != label[left[i]] and not (is_open[j] and j < i):
+            if j > i and label[left[j]] != label[left[i]]:
                 yield int(left[i]), int(left[j])
 
 
-def _open_matches(open_rows: DataFrame, rows: DataFrame, own: DataFrame) -> DataFrame:
-    """Matches of each of ``open_rows`` with other documents of its key that are in another class, as ``_verified`` gives them.
+def _class_matches(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """Matches between documents of a key (``rows``: key, doc_id, low, high, class_id) in different classes, as ``_verified`` gives them.
 
     A key's rows are dealt to blocks of about BLOCK_DOCS; two blocks are compared by one task, which emits matches only.
     """
     sized = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
-    marked = rows.join(open_rows.select("key", "doc_id", F.lit(True).alias("open")), ["key", "doc_id"], "left").join(sized, "key")
-    placed = marked.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = rows.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.expr("substring(own, (low - base) * 4 + 1, (high - low + 1) * 4)")
-    dealt = placed.join(own, "doc_id").select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "low", "class_id", F.coalesce("open", F.lit(False)).alias("open"), part.alias("part"))
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    dealt = placed.join(own, "doc_id").select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "low", "class_id", part.alias("part"))
+    # few bytes are much work here, so parts aren't joined by their bytes
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def compared(rows: list[tuple], cross: bool) -> list[tuple]:
-        out, label = [], np.unique([r[5] for r in rows], return_inverse=True)[1]
-        for i, j in _plausible([r[1:5] for r in rows], label):
+        out, label = [], np.unique([r[4] for r in rows], return_inverse=True)[1]
+        for i, j in _plausible([r[1:4] for r in rows], label):
             if cross and rows[i][0] == rows[j][0]:
                 continue
-            (_, d, low, _, a, _), (_, lead, lead_low, _, b, _) = sorted((rows[i], rows[j]), key=lambda r: -r[1])
+            (_, d, low, a, _), (_, lead, lead_low, b, _) = sorted((rows[i], rows[j]), key=lambda r: -r[1])
             if found := matching_passages(a, b):
                 out += [(d, lead, low + s, low + e - 1 + WORDS, lead_low + t, lead_low + u - 1 + WORDS) for s, e, t, u in found]
                 label[label == label[j]] = label[i]
@@ -495,12 +495,12 @@ def _open_matches(open_rows: DataFrame, rows: DataFrame, own: DataFrame) -> Data
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, found = None, [], []
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("key", "lo", "hi", "block", "doc_id", "low", "class_id", "open", "part"))
-            for key, lo, hi, block, doc, low, of, is_open, blob in zip(*columns, strict=True):
+            columns = (batch[c].to_pylist() for c in ("key", "lo", "hi", "block", "doc_id", "low", "class_id", "part"))
+            for key, lo, hi, block, doc, low, of, blob in zip(*columns, strict=True):
                 if (key, lo, hi) != now:
                     found += compared(held, bool(now and now[1] != now[2]))
                     now, held = (key, lo, hi), []
-                held.append((block, doc, low, is_open, np.frombuffer(blob, "<u4"), of))
+                held.append((block, doc, low, np.frombuffer(blob, "<u4"), of))
             yield from _match_rows(found)
             found = []
         yield from _match_rows(compared(held, bool(now and now[1] != now[2])))
@@ -598,10 +598,10 @@ def passage_matches(docs: DataFrame) -> DataFrame:
     """Verified matches (doc_id, lead, start, end, lead_start, lead_end) among ``docs`` (doc_id, text, unique) that link all that passages link.
 
     Compact windows give each document its keys. Every document of a key is compared with the key's leader, its smallest document. Rows that
-    this doesn't explain (no confirmed passage of the document covers the key's shingle) get a leader among themselves, ROUNDS times;
-    each that is left then is compared with every
-    other document of the key that no match links it to yet, so that no link between classes is lost; documents that belong together
-    already need no pairs among themselves.
+    this doesn't explain (no confirmed passage of the document covers the key's shingle) get a leader among themselves, ROUNDS times.
+    Then all documents of a key that are in different classes are compared, those with a confirmed passage too: what it matched may be
+    unlike what another one is like, so that no link between classes is lost. Documents that belong together already need no pairs among
+    themselves.
     """
     parts = parts_for(docs)
     width = key_bytes(parts)
@@ -614,22 +614,19 @@ def passage_matches(docs: DataFrame) -> DataFrame:
     rows = keep(_key_leaders(found.where("key is not null").drop("own")), "rows")
     matched = _verified(_extents(rows.where("doc_id > lead")), own)
     wide = rows.where("n > 2").select("key", "doc_id", "low", "high", "at", "lead")
-    every = keep(_open_rows(wide.where("doc_id > lead").drop("lead"), matched), "open")
-    left = every
+    left = keep(_open_rows(wide.where("doc_id > lead").drop("lead"), matched), "open")
     for _ in range(ROUNDS):
         led = keep(_key_leaders(left).where("doc_id > lead"), "led")
         if led.isEmpty():
             break
         matched = matched.unionByName(_verified(_extents(led), own))
         left = keep(_open_rows(led.select("key", "doc_id", "low", "high", "at"), matched), "open")
-    last = keep(_open_rows(every, matched).select("key", "doc_id"), "open")
-    keys = last.select("key").distinct()
     classes = components(matched.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct())
-    members = wide.join(small(keys, keys.count(), 8), "key", "left_semi").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    members = wide.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     members = keep(members.select("key", "doc_id", "low", "high", F.coalesce("label", "doc_id").alias("class_id")), "members")
     mixed_keys = members.groupBy("key").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a < b").select("key")
     members = members.join(small(mixed_keys, mixed_keys.count(), 8), "key", "left_semi")
-    return matched.unionByName(_open_matches(last, members, own))
+    return matched.unionByName(_class_matches(members, own))
 
 
 def passage_links(docs: DataFrame) -> DataFrame:

@@ -475,6 +475,20 @@ def test_links_depend_on_no_sample(spark, monkeypatch):
     assert all(r.n_links == 5 and r.class_id == i // 6 * 6 for i, r in got.items())
 
 
+def test_links_between_passages_that_matched_others(spark):
+    # neighbours in a chain are alike, others aren't; the inner two have both found their outer one when they are to meet
+    rng = random.Random(9)
+    rows = []
+    for chain in range(12):
+        own = fresh(rng, 54)
+        for k, at in ((0, None), (2, 15), (3, 27), (1, 39)):
+            if at:
+                own = [*own[:at], *fresh(rng, 1), *own[at + 1 :]]
+            rows.append((4 * chain + k, " ".join([*fresh(rng, 60), *own, *fresh(rng, 60)])))
+    got = by_id(passages.passage_links(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum(got[i].class_id == i // 4 * 4 for i in got) >= len(rows) - 4
+
+
 def test_one_word_repeated(spark):
     rows = [(1, "word " * 20_000), (2, "other " + "word " * 20_000), (3, "line of words here\n" * 5_000), (4, "start " + "line of words here\n" * 4_000)]
     got = by_id(passages.passage_links(spark.createDataFrame(rows, "doc_id long, text string")))
