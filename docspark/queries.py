@@ -12,7 +12,7 @@ from .kept import keep, shared_folder
 from .operators import catalog, checked, integrity, inverted_index, mutate, ordered, report, retrieval, session, text, validate, vector_cells
 from .sources import append_stream, read_table
 from .streaming import rate_limit
-from .streaming.stateful import rate_limit_stream, token_use_stream
+from .streaming.stateful import PARTS, rate_limit_stream, token_use_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -395,7 +395,7 @@ def _streamed(name: str, make: Callable[[DataFrame], DataFrame], sql: str) -> No
     QUERIES[name], ORACLES[name] = run, sql
 
 
-_streamed("rate_limited_stream", lambda x: rate_limit_stream(x, ["user_id"], "ts", "event_id", "1 day").select("event_id", "allowed"), ORACLES["rate_limited"])
+_streamed("rate_limited_stream", lambda x: rate_limit_stream(x.select("event_id", "user_id", "ts"), ["user_id"], "ts", "event_id", "1 day", parts=PARTS).select("event_id", "allowed"), ORACLES["rate_limited"])
 _streamed(
     "token_use_stream",
     lambda x: token_use_stream(x.select("event_id", F.concat_ws(":", c("user_id").cast("string"), "event_type").alias("token"), "ts", (c("event_type") == "error").alias("revoked"), _now().alias("expires_at")), "token", "ts", "event_id", "revoked", "expires_at").select("event_id", "token", "won"),

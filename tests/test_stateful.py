@@ -96,3 +96,26 @@ def test_token_stream_equals_the_batch(spark, tmp_path):
     batch = single_use(spark.createDataFrame(rows, TOKENS), "token", "at", "id", "revoked", "until")
     assert {(r.id, r.won) for r in got.select("id", "won").collect()} == {(r.id, r.won) for r in batch.select("id", "won").collect()}
     assert got.where(F.col("won")).count() == batch.where("won").count() > 0
+
+
+def test_many_keys_take_few_calls(spark, tmp_path):
+    """Keys share the call, the state and the timer of their part: verdicts are those of the batch form, and all state goes in the end."""
+    rows = [(i, f"k{i % 50}" if i % 50 else None, "x", at(i // 400, i % 60)) for i in range(1600)]
+    for part in range(0, 1600, 400):
+        got = ran(rate_limit_stream(feed(spark, rows[part : part + 400], EVENTS, tmp_path), ["client"], "at", "id", most=3, parts=2), tmp_path)
+    want = {(r.id, r.allowed) for r in rate_limit(spark.createDataFrame(rows, EVENTS), ["client"], "at", "id", most=3).collect()}
+    assert {(r.id, r.allowed) for r in got.collect()} == want
+    left = lambda: spark.read.format("statestore").option("stateVarName", "allowed").load(f"{tmp_path}/out-cp")
+    assert left().select("key").distinct().count() == 2
+    for k in (300, 301):
+        ran(rate_limit_stream(feed(spark, [(2000 + k, "z", "x", at(k))], EVENTS, tmp_path), ["client"], "at", "id", most=3, parts=2), tmp_path)
+    assert {r.list_element.of for r in left().collect()} == {'{"client":"z"}'}
+
+
+def test_tokens_share_the_state_of_a_part(spark, tmp_path):
+    rows = [(i, None if i % 40 == 7 else f"t{i % 40}", at(0, i), i < 40 and i % 2 == 0, at(5 + i % 40)) for i in range(120)]
+    for part in range(0, 120, 60):
+        got = ran(token_use_stream(feed(spark, rows[part : part + 60], TOKENS, tmp_path), "token", "at", "id", "revoked", "until", parts=2), tmp_path)
+    assert got.count() == 120 and {r.id for r in got.where("won").collect()} == {i + 40 * (i % 2 == 0) for i in range(40)}
+    held = spark.read.format("statestore").option("stateVarName", "used").load(f"{tmp_path}/out-cp")
+    assert held.count() == token_state(spark, f"{tmp_path}/out-cp").count() == 40 and held.select("key").distinct().count() <= 2
