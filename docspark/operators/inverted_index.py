@@ -24,7 +24,10 @@ _CLOSE = 1e-6
 
 
 class TextIndex(NamedTuple):
-    """``postings``: term, range, doc, weight; ``blocks``: term, range, most (the largest weight), n; ``terms``: term, df, most."""
+    """``postings``: term, range, doc, weight; ``blocks``: term, range, most (the largest weight), n; ``terms``: term, df, most, idf.
+
+    Weights are those without the idf, which is known for each term once all is counted; ``terms.most`` has it.
+    """
 
     postings: DataFrame
     blocks: DataFrame
@@ -35,30 +38,51 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
 
 
+def counted_words(docs: DataFrame, item: str) -> DataFrame:
+    """Rows (doc, size, terms, tf) of ``docs`` (item, text): its number of words, its distinct ones and how often each stands there.
+
+    A row's words are counted where it is read: words in order, of which each first one is found by the one before.
+    """
+    words = spread(docs.select(item, "text")).select(F.col(item).cast("long").alias("doc"), F.sort_array(terms(F.col("text"))).alias("w"))
+    firsts = words.select("doc", "w", F.expr("filter(transform(w, (x, i) -> IF(i = 0 OR x <> get(w, i - 1), i, -1)), i -> i >= 0)").alias("at"))
+    tf = F.expr("transform(at, (i, k) -> coalesce(get(at, k + 1), size(w)) - i)")
+    return firsts.select("doc", F.size("w").alias("size"), F.expr("transform(at, i -> get(w, i))").alias("terms"), tf.alias("tf"))
+
+
+def repeats(docs: DataFrame, item: str) -> bool:
+    """Whether rows repeat an id."""
+    return not docs.groupBy(F.col(item).cast("long")).count().where("count > 1").isEmpty()
+
+
+def idf(n: int) -> Column:
+    """ln(1 + (N - df + 0.5) / (df + 0.5))"""
+    return F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
 def build_index(docs: DataFrame, only: DataFrame | None = None, item: str = "doc_id", range_docs: int = RANGE_DOCS) -> TextIndex:
     """Index of ``docs`` (item, text): Robertson-Zaragoza weights with idf ln(1 + (N - df + 0.5) / (df + 0.5)).
 
     ``only`` (term) restricts it to some terms; lengths and N are those of whole documents all the same. Rows that
-    repeat an id with another length count as one document each for df, as one for scores.
+    repeat an id with another length count as one document each for df, as one for scores. Documents are shuffled once, with their words
+    in one row; blocks and postings are made where a range has arrived, and stored as one table.
     """
-    # only the first and the last part of a split can be empty; their count is taken off, and they fall away when exploded
-    cut = spread(docs.select(item, "text")).select(F.col(item).cast("long").alias("doc"), F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+").alias("w"))
-    empty = lambda at: (F.element_at("w", at) == "").cast("int")
-    sized = cut.select("doc", "w", F.greatest(F.size("w") - empty(1) - empty(-1), F.lit(0)).alias("size"))
-    n, mean = sized.agg(F.count(F.lit(1)), F.avg("size")).first()
-    each = sized.select("doc", "size", F.explode("w").alias("term")).where("term <> ''")
-    if only is not None:
-        each = each.join(only.select("term"), "term", "left_semi")
-    counted = keep(each.groupBy("term", "doc", "size").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
-    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
+    counts = keep(counted_words(docs, item), "term-counts")
+    n, mean = counts.agg(F.count(F.lit(1)), F.avg("size")).first()
     ranges = max(1, -(-n // range_docs))
-    of = F.pmod(F.xxhash64("doc"), F.lit(ranges)).cast("int").alias("range")
-    posted = counted.join(df, "term").select("term", of, "doc", weight.alias("weight"))
-    postings = keep(posted.repartition("range").sortWithinPartitions("term", "range"), "index-postings")
-    blocks = keep(postings.groupBy("term", "range").agg(F.max("weight").alias("most"), F.count(F.lit(1)).alias("n")), "index-blocks")
-    return TextIndex(postings, blocks, keep(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most")), "index-terms"))
+    dealt = counts.withColumn("range", F.pmod(F.xxhash64("doc"), F.lit(ranges)).cast("int")).repartition("range")
+    each = dealt.select("range", "doc", "size", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("range", "doc", "size", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
+    if only is not None:
+        each = each.join(small(only.select("term").distinct(), 32), "term", "left_semi")
+    if repeats(counts, "doc"):
+        each = each.groupBy("range", "term", "doc", "size").agg(F.sum("tf").alias("tf"))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
+    posted = each.select("term", "range", F.struct("doc", weight.alias("weight")).alias("entry"))
+    made = posted.groupBy("range", "term").agg(F.max("entry.weight").alias("most"), F.count(F.lit(1)).alias("n"), F.collect_list("entry").alias("entries"))
+    stored = keep(made.sortWithinPartitions("term", "range"), "index")
+    blocks = stored.select("term", "range", "most", "n")
+    postings = stored.select("term", "range", F.inline("entries"))
+    known = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most")).withColumn("idf", idf(n))
+    return TextIndex(postings, blocks, keep(known.withColumn("most", F.col("most") * F.col("idf")), "index-terms"))
 
 
 def write_index(index: TextIndex, path: str) -> None:
@@ -73,21 +97,21 @@ def read_index(spark: SparkSession, path: str) -> TextIndex:
 
 
 def _asked(index: TextIndex, questions: DataFrame, query: str) -> DataFrame:
-    """Rows (q, term, df, most): the questions' terms that the index has."""
+    """Rows (q, term, df, most, idf): the questions' terms that the index has."""
     words = questions.select(F.col(query).cast("long").alias("q"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
     return words.join(index.terms, "term")
 
 
 def _scored(index: TextIndex, asked: DataFrame, open_: DataFrame | None = None) -> DataFrame:
-    """Rows (q, doc, score) of the postings of ``asked`` (q, term), of the ranges in ``open_`` (q, range) if given.
+    """Rows (q, doc, score) of the postings of ``asked`` (q, term, idf), of the ranges in ``open_`` (q, range) if given.
 
     A file has all postings of its documents, so sums are whole before they are shuffled, as long as the questions' terms
     are few enough to be broadcast.
     """
-    met = index.postings.join(small(asked.select("q", "term"), 32), "term")
+    met = index.postings.join(small(asked.select("q", "term", "idf"), 40), "term")
     if open_ is not None:
         met = met.join(small(open_, 16), ["q", "range"])
-    return met.groupBy("q", "doc").agg(F.sum("weight").alias("score"))
+    return met.groupBy("q", "doc").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
 
 
 def all_scores(index: TextIndex, questions: DataFrame, query: str = "item_id") -> DataFrame:
@@ -109,9 +133,9 @@ def needed_ranges(index: TextIndex, questions: DataFrame, k: int, query: str = "
     """
     by_most = Window.partitionBy("q").orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, -1)
     asked = keep(_asked(index, questions, query).withColumn("before", F.coalesce(F.sum("df").over(by_most), F.lit(0))), "asked-terms")
-    seeds = asked.where(F.col("before") < k * SEED_POSTINGS).select("q", "term")
+    seeds = asked.where(F.col("before") < k * SEED_POSTINGS).select("q", "term", "idf")
     reached = ranked(_scored(index, seeds), k).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-    bounds = asked.select("q", "term").join(index.blocks.select("term", "range", "most"), "term").groupBy("q", "range").agg(F.sum("most").alias("bound"))
+    bounds = asked.select("q", "term", "idf").join(index.blocks.select("term", "range", "most"), "term").groupBy("q", "range").agg(F.sum(F.col("most") * F.col("idf")).alias("bound"))
     told = keep(bounds.join(reached.select("q", "least"), "q", "left"), "range-bounds")
     return asked, told.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - _CLOSE)).select("q", "range"), told
 
