@@ -6,14 +6,17 @@ Scores are compared rounded to 6 decimals, equal ones by id, so that a ranking d
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..kept import keep
-from . import inverted_index, vector_cells
+from . import inverted_index, text_blocks, vector_cells
 
 RRF = 60
+_FIRST = -(2**63)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", query: str = "query_id", column: str = "embedding") -> DataFrame:
@@ -26,14 +29,26 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, item: str = "vec_
 
 
 def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, item: str = "doc_id", query: str = "item_id") -> DataFrame:
-    """Rows (item_id, doc_id, score, rank) of an index of the questions' terms; see ``inverted_index``.
+    """Rows (item_id, doc_id, score, rank), as of an index of the questions' terms; see ``inverted_index``.
 
-    Documents without any term of a question aren't ranked for it.
+    Documents without any term of a question aren't ranked for it. Where ids don't repeat, blocks of documents are scored where they lie
+    and only the ``k`` best of each leave it (``text_blocks``).
     """
+    if not inverted_index.repeats(docs, item):
+        best = inverted_index.ranked(text_blocks.block_scores(docs, questions, k, item, query), k)
+        return best.select(F.col("q").alias(query), F.col("doc").alias(item), "score", "rank")
     wanted = questions.select(F.explode(inverted_index.terms(F.col("text"))).alias("term")).distinct()
     return inverted_index.search(inverted_index.build_index(docs, wanted, item), questions, k, query, item)
 
 
+def bm25_scores(docs: DataFrame, questions: DataFrame, item: str = "doc_id", query: str = "item_id") -> DataFrame:
+    """Rows (q, doc, score): every document that has a term of a question."""
+    if not inverted_index.repeats(docs, item):
+        return text_blocks.block_scores(docs, questions, None, item, query)
+    wanted = questions.select(F.explode(inverted_index.terms(F.col("text"))).alias("term")).distinct()
+    return inverted_index.all_scores(inverted_index.build_index(docs, wanted, item), questions, query)
+
+
 def top_per_query(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.round("score", 6).desc(), F.col(item)))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -46,15 +61,40 @@ def fuse(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, "r1", "r2", (share("r1") + share("r2")).alias("score"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (q, s, d) as one row for each q of a batch."""
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch]).group_by("q").aggregate([("s", "list"), ("d", "list")])
+            yield from table.rename_columns(["q", "own_s", "own_d"]).combine_chunks().to_batches()
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (q, place, n): how many of a row's own (s, d) come after so many of ``them``, both by (s, d)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            s, d = batch["own_s"][i].values.to_numpy(), batch["own_d"][i].values.fill_null(_FIRST).to_numpy()
+            them = batch["them"][i].values
+            ts, td = them.field("s").to_numpy(), them.field("d").fill_null(_FIRST).to_numpy()
+            place, end = np.searchsorted(ts, s), np.searchsorted(ts, s, "right")
+            at = place.copy()
+            while (tied := at < end).any():  # equal scores, by id
+                place += tied & (td[np.minimum(at, len(td) - 1)] < d)
+                at += 1
+            n = np.bincount(place)
+            yield pa.record_batch({"q": pa.array([batch["q"][i].as_py()] * len(n), pa.int64()), "place": pa.array(np.arange(len(n)), pa.int32()), "n": pa.array(n, pa.int64())})
+
+
 def _counted(scores: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows (q, doc, rank): the rank among ``scores`` (q, doc, score) of each row of ``wanted`` (a part of them).
 
-    Each row of ``scores`` finds its place among the wanted ones of its question, and places are counted; nothing is sorted as a whole.
+    Each row of ``scores`` finds its place among the wanted ones of its question by halving, a batch at a time, and places are counted;
+    nothing is sorted as a whole.
     """
     order = F.struct((-F.round("score", 6)).alias("s"), F.col("doc").alias("d"))
-    lists = wanted.groupBy("q").agg(F.array_sort(F.collect_list(order)).alias("them"))  # as many as candidates
-    place = F.size(F.filter("them", lambda x: x < F.col("own")))
-    seen = scores.join(lists, "q").select("q", order.alias("own"), "them").select("q", place.alias("place")).groupBy("q", "place").agg(F.count(F.lit(1)).alias("n"))
+    lists = keep(wanted.groupBy("q").agg(F.array_sort(F.collect_list(order)).alias("them")), "wanted")  # as many as candidates
+    held = scores.select("q", order.alias("o")).select("q", "o.s", "o.d").mapInArrow(_packed, "q long, own_s array<double>, own_d array<long>")
+    seen = held.join(lists, "q").mapInArrow(_placed, "q long, place int, n long").where("n > 0").groupBy("q", "place").agg(F.sum("n").alias("n"))
     told = lists.select("q", F.posexplode("them").alias("place", "x")).join(seen, ["q", "place"], "left")
     # a row at a place is behind all wanted ones before the place, and isn't behind the one at it
     upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("q").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -519,7 +519,6 @@ def hybrid_rrf(t):
     """Documents have the vector of their number, questions that of theirs."""
     vectors = t("embeddings").select(c("vec_id").alias("doc_id"), "embedding")
     asked = t("benchmark").select("item_id").join(vectors.withColumnRenamed("doc_id", "item_id"), "item_id")
-    wanted = t("benchmark").select(F.explode(inverted_index.terms(c("text"))).alias("term")).distinct()
-    sparse = keep(inverted_index.all_scores(inverted_index.build_index(t("documents"), wanted), t("benchmark")), "scores")
-    dense = vector_cells.all_cosines(vector_cells.build_cells(vectors, "doc_id"), asked, "item_id")
+    sparse = keep(retrieval.bm25_scores(t("documents"), t("benchmark")), "scores")
+    dense = keep(vector_cells.all_cosines(vector_cells.build_cells(vectors, "doc_id"), asked, "item_id"), "scores")
     return retrieval.fused_topk(sparse, dense, 10).select(c("q").alias("item_id"), c("doc").alias("doc_id"), "rank")

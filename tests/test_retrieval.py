@@ -98,3 +98,25 @@ def test_searches_keep_their_work_in_the_jvm(spark, corpus):
     docs, asked = spark.createDataFrame(corpus[0], "doc_id int, text string"), spark.createDataFrame(corpus[1], "item_id int, text string")
     plan = inverted_index.search(inverted_index.build_index(docs), asked, 3)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_index_deals_documents_once(spark, corpus, monkeypatch):
+    """One shuffle of whole documents, none of single postings; rows that repeat an id are one document where their lengths agree."""
+    docs = spark.createDataFrame([*corpus[0], (3, "w0 w0 w1"), (3, "w1 w0 w0"), (500, "w0")], "doc_id int, text string")
+    seen, given = {}, inverted_index.keep
+    monkeypatch.setattr(inverted_index, "keep", lambda df, name: seen.setdefault(name, df) and given(df, name))
+    index = inverted_index.build_index(docs, range_docs=8)
+    plan = seen["index"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") + plan.count("Exchange\n") == 1
+    assert index.postings.where("term = 'w0' and doc = 3").count() == 2  # lengths 3 (twice, as one) and the first text's
+    assert inverted_index.repeats(docs, "doc_id") and retrieval.bm25_topk(docs, spark.createDataFrame(corpus[1], "item_id int, text string"), 3).count() > 0
+
+
+def test_blocks_shuffle_their_best_only(spark, corpus):
+    from docspark.operators import text_blocks
+
+    docs, asked = spark.createDataFrame(corpus[0], "doc_id int, text string").coalesce(1), spark.createDataFrame(corpus[1], "item_id int, text string")
+    every, best = text_blocks.block_scores(docs, asked), text_blocks.block_scores(docs, asked, 3)
+    got = {(r.q, r.doc): round(r.score, 6) for r in every.collect()}
+    assert got == {(q, d): round(x, 6) for q, text in corpus[1] for d, x in bm25(corpus[0], text or "").items()}
+    assert 0 < best.count() < every.count() / 5
