@@ -7,13 +7,14 @@ that are at least as wide as the shortest passage, so their number follows the l
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, keep, row_mark, slices, small, unzipped, without, zipped
+from .common import BROADCAST_BYTES, components, keep, row_mark, slices, small, unzipped, without, zipped
 from .decontaminate import n_words
 from .exact_dedup import exact_groups
 from .shared_keys import cut_keys, key_bytes, parts_for, shared_keys, unpack_keys
@@ -23,6 +24,8 @@ from .shingles import WORDS, mixed, shingles, word_hashes
 PASSAGE_WORDS, SIMILARITY, BANDS = 50, 0.8, 7
 #: Documents of a key's block: two blocks are compared by one task.
 BLOCK_DOCS = 4096
+#: Pairs for each document of a block that go on to be compared once for all keys; a block compares further ones itself, so that few rows leave it.
+PAIRS_SENT = 16
 #: How often rows that are left choose a leader among themselves before they are compared with all others.
 ROUNDS = 3
 WIDTH = PASSAGE_WORDS - WORDS + 1
@@ -37,9 +40,10 @@ _REPEATS = 4
 #: Shingles of a run that two passages of at least 0.8 have in common somewhere, with a margin: w shingles bear at most w / 45 edits of a word,
 #: each of which takes 5, so the longest run between edits has 20 or more.
 RUN = 16
-#: Stretches whose ranges are tried against each other at once, and pairs of ranges with repeated shingles that are compared as sets at most
-#: for one block of ranges.
-RECTANGLES, TRIED = 36, 200
+#: Stretches whose ranges are tried against each other at once.
+RECTANGLES = 36
+#: Cells of a table of ranges and shingles that is held at once.
+_MOST_CELLS = 2_000_000
 
 
 def _low_levels(values: np.ndarray) -> list[np.ndarray]:
@@ -211,41 +215,86 @@ def _repetitive(a: np.ndarray, b: np.ndarray, similarity: float) -> list[tuple[i
     return out
 
 
-def _occurrence_pairs(a: np.ndarray, b: np.ndarray) -> int:
-    """How many pairs of equal shingles there are."""
-    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return int(n[i] @ m[j])
+def _coded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """``a`` and ``b`` with small numbers in place of shingles, and how many there are: everything after it needs no sorting."""
+    joint = np.concatenate([a, b])
+    order = np.argsort(joint)
+    ordered = joint[order]
+    code = np.empty(len(joint), np.int64)
+    code[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1])[: len(joint)])
+    return code[: len(a)], code[len(a) :], int(code.max(initial=-1)) + 1
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running counts (from 0) over ``a``: of shingles that ``b`` has too, and of those that stood in ``a`` before."""
-    order = np.argsort(a, kind="stable")
-    again = np.zeros(len(a), np.int64)
-    again[order[1:]] = a[order[1:]] == a[order[:-1]]
-    return np.append(0, np.cumsum(np.isin(a, b))), np.append(0, np.cumsum(again))
+def _common(a: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running counts (from 0) over ``a``: of shingles that are ``in_b`` too, and of those that stood in ``a`` before."""
+    first, places = np.empty(len(in_b), np.int64), np.arange(len(a))
+    first[a[::-1]] = places[::-1]
+    common, again = np.zeros(len(a) + 1, np.int64), np.zeros(len(a) + 1, np.int64)
+    np.cumsum(in_b[a], out=common[1:])
+    np.cumsum(first[a] != places, out=again[1:])
+    return common, again
 
 
-def _dense(common: np.ndarray, again: np.ndarray, similarity: float) -> bool:
-    """Whether any stretch of WIDTH or more has enough in common for a passage: at least ``similarity`` of its own distinct shingles."""
-    if len(common) <= WIDTH:
-        return False
-    excess = common - similarity * (np.arange(len(common)) - again)
-    return bool((excess[WIDTH:] - np.minimum.accumulate(excess[:-WIDTH])).max() >= -1e-6)
+def _enough(distinct: np.ndarray | int, other: int, similarity: float) -> np.ndarray:
+    """Shingles that passages with ``distinct`` different ones, and ``other`` at least, have in common if they are similar enough."""
+    return np.maximum(similarity * distinct, similarity / (1 + similarity) * (distinct + other)) - 1e-6
 
 
-def _points(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """(place in ``a``, place in ``b``) of all equal shingles; None if there are more than _MOST_PAIRS."""
-    order = np.argsort(b, kind="stable")
-    first, last = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
-    n = last - first
-    if n.sum() > _MOST_PAIRS:
-        return None
-    i = np.repeat(np.arange(len(a)), n)
-    return i, order[np.arange(len(i)) + np.repeat(first - (np.cumsum(n) - n), n)]
+def _dense(common: np.ndarray, again: np.ndarray, similarity: float, other: int) -> bool:
+    """Whether any stretch of WIDTH or more has enough in common for a passage: see ``_enough``, which asks more of short stretches."""
+    excess = common - similarity * (np.arange(len(common)) - again)
+    # from here on its first term is the larger one, if nothing repeats
+    wide = math.ceil(WIDTH / similarity)
+    for width in (WIDTH, wide):
+        if len(common) <= width or (excess[width:] - np.minimum.accumulate(excess[:-width])).max() < -1e-6:
+            break
+    else:
+        return True
+    for n in range(WIDTH, min(wide, len(common))) if width == wide else ():
+        if (common[n:] - common[:-n] >= _enough(n - (again[n:] - again[:-n]), other, similarity)).any():
+            return True
+    return False
+
+
+class _Side:
+    """What ``_rectangle`` asks of one of two texts: running counts, repeats (place, place before), places of ``many`` shingles."""
+
+    def __init__(self, a: np.ndarray, counts: tuple[np.ndarray, np.ndarray], number: np.ndarray):
+        self.size, (self.common, self.again) = len(a), counts
+        order = np.argsort(a, kind="stable")
+        same = a[order[1:]] == a[order[:-1]]
+        at, before = order[1:][same], order[:-1][same]
+        order = np.argsort(at)
+        self.at, self.before = at[order], before[order]
+        spot = np.flatnonzero(number[a] >= 0)
+        self.places = np.sort(number[a[spot]] * (self.size + 1) + spot)
+        self.many = int(number.max(initial=-1)) + 1
+        self.least = max(WIDTH - len(self.at), 0)
+
+    def distinct(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Distinct shingles of ranges: their width without the repeats whose place before lies inside too."""
+        out = end - start
+        if not len(self.at):
+            return out
+        starts, row = np.unique(start, return_inverse=True)
+        last = np.searchsorted(self.at, end)
+        step = max(1, _MOST_CELLS // len(self.at))
+        for k in range(0, len(starts), step):
+            inside = np.cumsum(self.before[None, :] >= starts[k : k + step, None], axis=1)
+            mine = np.flatnonzero((row >= k) & (row < k + step) & (last > 0))
+            out[mine] -= inside[row[mine] - k, last[mine] - 1]
+        return out
+
+    def holds(self, start: np.ndarray, end: np.ndarray, k: int, to: int) -> np.ndarray:
+        """Whether ranges (rows) hold the shingles numbered ``k`` to ``to``, as numbers for a product of matrices."""
+        starts, row = np.unique(start, return_inverse=True)
+        base = np.arange(k, to) * (self.size + 1)
+        spot = np.searchsorted(self.places, base[None, :] + starts[:, None])
+        after = np.append(self.places, np.iinfo(np.int64).max)[spot] - base[None, :]
+        return (after[row] < end[:, None]).astype(np.float32)
 
 
-def _rectangles(a: np.ndarray, b: np.ndarray, stretches: list[tuple[int, int, int, int]], similarity: float) -> list[tuple[int, int, int, int]]:
+def _rectangles(a: np.ndarray, b: np.ndarray, stretches: list[tuple[int, int, int, int]], similarity: float, counts: tuple) -> list[tuple[int, int, int, int]]:
     """Passages among ``stretches`` that run alike, in any order: every pair of ranges that begin and end with a stretch is tried.
 
     A range that begins or ends otherwise is no more similar, unless it is too short for a passage; then it is widened. Stretches that a
@@ -256,7 +305,7 @@ def _rectangles(a: np.ndarray, b: np.ndarray, stretches: list[tuple[int, int, in
     total = sum(e - s for s, e, _, _ in stretches)
     if total < similarity * WIDTH / 2 or min(len(a), len(b)) < WIDTH:
         return out
-    known = _common(a, b), _common(b, a), _points(a, b)
+    known = _sides_of(a, b, counts)
     slack, groups, end = 1 / similarity - 1, [], -1
     for p in stretches:
         if not groups or p[0] - end > slack * total:
@@ -266,7 +315,7 @@ def _rectangles(a: np.ndarray, b: np.ndarray, stretches: list[tuple[int, int, in
     for group in groups:
         for at in range(0, max(1, len(group) - RECTANGLES // 2), RECTANGLES // 2):
             todo = [p for p in group[at : at + RECTANGLES] if not any(s <= p[0] and p[1] <= e for s, e, _, _ in out)]
-            while todo and (found := _rectangle(a, b, np.array(todo), similarity, known)):
+            while todo and (found := _rectangle(np.array(todo), similarity, known)):
                 out.append(found)
                 s, e, t, u = found
                 rest = [p for p in todo if not (s <= p[0] and p[1] <= e and t <= p[2] and p[3] <= u)]
@@ -277,62 +326,83 @@ def _rectangles(a: np.ndarray, b: np.ndarray, stretches: list[tuple[int, int, in
     return out
 
 
-def _ranges(low: np.ndarray, high: np.ndarray, counts: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, shingles in common, distinct shingles at least) of the ranges from a ``low`` to a ``high`` that have enough in common.
+def _sides_of(a: np.ndarray, b: np.ndarray, counts: tuple) -> tuple[_Side, _Side, tuple[np.ndarray, np.ndarray]]:
+    """Both sides of ``_rectangle``, and the places in ``a`` and ``b`` of the shingles that stand once in either; ``counts``: ``_common`` of both."""
+    codes = max(a.max(initial=-1), b.max(initial=-1)) + 1
+    n, m = np.bincount(a, minlength=codes), np.bincount(b, minlength=codes)
+    once, many = (n == 1) & (m == 1), (n > 0) & (m > 0) & (n + m > 2)
+    number = np.where(many, np.cumsum(many) - 1, -1)
+    where = np.empty(codes, np.int64)
+    where[b] = np.arange(len(b))
+    i = np.flatnonzero(once[a])
+    return _Side(a, counts[0], number), _Side(b, counts[1], number), (i, where[a[i]])
+
+
+def _ranges(low: np.ndarray, high: np.ndarray, side: _Side, other: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, shingles in common, distinct shingles) of the ranges from a ``low`` to a ``high`` that have enough in common.
 
     Those under WIDTH are widened to the right, to the left and to both sides.
     """
-    common, again = counts
-    size = len(common) - 1
-    first, last = (x.ravel() for x in np.meshgrid(np.unique(low), np.unique(high), indexing="ij"))
-    first, last = first[first < last], last[first < last]
+    size = side.size
+    low, high = np.unique(low), np.unique(high)
+    first, last = np.repeat(low, len(high)), np.tile(high, len(low))
+    wide = first < last
+    first, last = first[wide], last[wide]
     more = np.maximum(WIDTH - (last - first), 0)
     start = np.maximum(np.minimum(np.concatenate([first, first - more, first - more // 2]), size - WIDTH), 0)
     end = np.maximum(np.tile(last, 3), start + WIDTH)
     start, end = np.divmod(np.unique(start * (size + 1) + end), size + 1)
-    hits, least = common[end] - common[start], end - start - (again[end] - again[start])
-    good = hits >= similarity * least - 1e-9
-    return start[good], end[good], hits[good], least[good]
+    hits, least = side.common[end] - side.common[start], end - start - (side.again[end] - side.again[start])
+    good = hits >= _enough(least, other, similarity)
+    start, end, hits = start[good], end[good], hits[good]
+    distinct = side.distinct(start, end)
+    good = hits >= _enough(distinct, other, similarity)
+    return start[good], end[good], hits[good], distinct[good]
 
 
-def _rectangle(a: np.ndarray, b: np.ndarray, stretches: np.ndarray, similarity: float, known: tuple) -> tuple[int, int, int, int] | None:
-    """The passage with the most in common of those that begin and end with one of ``stretches`` on either side.
+def _rectangle(stretches: np.ndarray, similarity: float, known: tuple) -> tuple[int, int, int, int] | None:
+    """The passage with the most in common of those that begin and end with one of ``stretches`` on either side; of equal ones the widest.
 
-    ``known``: ``_common`` of both and ``_points``. What two ranges have in common is read from running counts of the points over their
-    edges. That is exact where no shingle repeats, else a bound: then the sets are compared, for TRIED pairs of a block of ranges.
+    ``known``: ``_sides_of`` both texts. What two ranges have in common of the shingles that stand once in either text is read from running counts
+    over the ranges' edges; of the others a product of matrices counts those that both ranges hold. Both are exact.
     """
-    counts_a, counts_b, points = known
-    s, e, hits_a, least_a = _ranges(stretches[:, 0], stretches[:, 1], counts_a, similarity)
-    t, u, hits_b, least_b = _ranges(stretches[:, 2], stretches[:, 3], counts_b, similarity)
-    if not len(s) or not len(t):
+    one, two, points = known
+    s, e, hits_a, all_a = _ranges(stretches[:, 0], stretches[:, 1], one, two.least, similarity)
+    if not len(s):
+        return None
+    t, u, hits_b, all_b = _ranges(stretches[:, 2], stretches[:, 3], two, one.least, similarity)
+    if not len(t):
         return None
-    if points:
-        x, y = np.unique(np.concatenate([s, e])), np.unique(np.concatenate([t, u]))
-        cell = np.searchsorted(x, points[0], "right") * (len(y) + 1) + np.searchsorted(y, points[1], "right")
-        below = np.bincount(cell, minlength=(len(x) + 1) * (len(y) + 1)).reshape(len(x) + 1, -1).cumsum(0).cumsum(1)
-        s_at, e_at, t_at, u_at = np.searchsorted(x, s), np.searchsorted(x, e), np.searchsorted(y, t), np.searchsorted(y, u)
-    once_a, once_b = e - s == least_a, u - t == least_b
+    x, y = np.unique(np.concatenate([s, e])), np.unique(np.concatenate([t, u]))
+    cell = np.searchsorted(x, points[0], "right") * (len(y) + 1) + np.searchsorted(y, points[1], "right")
+    below = np.bincount(cell, minlength=(len(x) + 1) * (len(y) + 1)).reshape(len(x) + 1, -1).cumsum(0).cumsum(1)
+    s_at, e_at, t_at, u_at = np.searchsorted(x, s), np.searchsorted(x, e), np.searchsorted(y, t), np.searchsorted(y, u)
     best, found = 0, None
     step = max(1, 200_000 // len(t))
     for at in range(0, len(s), step):
         own = slice(at, at + step)
-        both = np.minimum(hits_a[own, None], hits_b[None, :])
-        if points:
-            rows = below[e_at[own]] - below[s_at[own]]
-            both = np.minimum(both, rows[:, u_at] - rows[:, t_at])
-        i, j = np.nonzero((both >= similarity * (least_a[own, None] + least_b[None, :] - both) - 1e-9) & (both > best))
-        tried = 0
-        for k in np.argsort(-both[i, j], kind="stable").tolist():
-            p, q, n = at + int(i[k]), int(j[k]), int(both[i[k], j[k]])
-            if n <= best or tried == TRIED:
-                break
-            if not (points and once_a[p] and once_b[q]):
-                tried += 1
-                one, two = np.unique(a[s[p] : e[p]]), np.unique(b[t[q] : u[q]])
-                n = len(np.intersect1d(one, two, assume_unique=True))
-                if n <= best or n < similarity * (len(one) + len(two) - n) - 1e-9:
-                    continue
-            best, found = n, (int(s[p]), int(e[p]), int(t[q]), int(u[q]))
+        rows = below[e_at[own]] - below[s_at[own]]
+        once = rows[:, u_at] - rows[:, t_at]
+        both = np.minimum(once + one.many, np.minimum(hits_a[own, None], hits_b[None, :])) if one.many else once
+        total = all_a[own, None] + all_b[None, :]
+        good = (both >= similarity * (total - both) - 1e-9) & (both > 0) & (both >= best // (one.size + two.size + 1))
+        if not good.any():
+            continue
+        if one.many:
+            p, q = np.flatnonzero(good.any(1)), np.flatnonzero(good.any(0))
+            exact = np.zeros((len(p), len(q)), np.float32)
+            most = max(1, _MOST_CELLS // (len(p) + len(q)))
+            for k in range(0, one.many, most):
+                to = min(one.many, k + most)
+                exact += one.holds(s[at + p], e[at + p], k, to) @ two.holds(t[q], u[q], k, to).T
+            both = np.zeros_like(once)
+            both[np.ix_(p, q)] = once[np.ix_(p, q)] + exact.astype(np.int64)
+            good = good & (both >= similarity * (total - both) - 1e-9)
+        # of equal ones the widest, of these the first
+        rank = np.where(good, both * (one.size + two.size + 1) + (e - s)[own, None] + (u - t)[None, :], 0)
+        i, j = divmod(int(np.argmax(rank)), len(t))
+        if rank[i, j] > best:
+            best, found = int(rank[i, j]), (int(s[at + i]), int(e[at + i]), int(t[j]), int(u[j]))
     return found
 
 
@@ -343,18 +413,26 @@ def matching_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARI
     and each result is checked as sets; where that fails, the longest beginning that agrees and the wide stretches after it are results.
     What that leaves over, as where differences stand close together at the start or blocks changed places, is tried range by range.
     """
-    x, y = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    if len(a) < len(b):  # along the longer one fewer beginnings are open at a time
+        return sorted((s, e, t, u) for t, u, s, e in matching_passages(b, a, similarity))
+    a, b, codes = _coded(a, b)
+    n, m = np.bincount(a, minlength=codes), np.bincount(b, minlength=codes)
+    in_a, in_b = n > 0, m > 0
+    both, x, y = (int(np.count_nonzero(w)) for w in (in_a & in_b, in_a, in_b))
     # a passage has WIDTH places, and at most so many of them repeat others
-    if not both or both < similarity * (WIDTH - min(len(a) - len(x), len(b) - len(y))):
+    least_a, least_b = max(WIDTH - (len(a) - x), 0), max(WIDTH - (len(b) - y), 0)
+    if not both or both < max(_enough(least_a, least_b, similarity), _enough(least_b, least_a, similarity)):
         return []
-    if min(len(a), len(b)) >= WIDTH and both >= similarity * (len(x) + len(y) - both) - 1e-9:
+    if min(len(a), len(b)) >= WIDTH and both >= similarity * (x + y - both) - 1e-9:
         return [(0, len(a), 0, len(b))]
-    if not (_dense(*_common(a, y), similarity) and _dense(*_common(b, x), similarity)):
+    # of the shorter text first: fewer of its places can be left
+    counts_b = _common(b, in_a)
+    if not _dense(*counts_b, similarity, least_a):
         return []
-    if len(a) < len(b):  # along the longer one fewer beginnings are open at a time
-        return sorted((s, e, t, u) for t, u, s, e in matching_passages(b, a, similarity))
-    if (len(x) + len(y)) * _REPEATS < len(a) + len(b) and _occurrence_pairs(a, b) > _REPEATS**2 * (len(a) + len(b)):
+    counts_a = _common(a, in_b)
+    if not _dense(*counts_a, similarity, least_b):
+        return []
+    if (x + y) * _REPEATS < len(a) + len(b) and int(n @ m) > _REPEATS**2 * (len(a) + len(b)):
         return _repetitive(a, b, similarity)
     stretches = _without_repeats(a, b, _alike(a, b))
     slack = 1 / similarity - 1
@@ -398,7 +476,7 @@ def matching_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARI
             k = 0
         out.update(p for p in parts[k:] if p[1] - p[0] >= WIDTH)  # each runs alike
     inside = lambda p: any(s <= p[0] and p[1] <= e and t <= p[2] and p[3] <= u for s, e, t, u in out)
-    return sorted(out | set(_rectangles(a, b, [p for p in stretches if not inside(p)], similarity)))
+    return sorted(out | set(_rectangles(a, b, [p for p in stretches if not inside(p)], similarity, (counts_a, counts_b))))
 
 
 def _key_leaders(windows: DataFrame) -> DataFrame:
@@ -433,7 +511,8 @@ def _plausible(rows: list[tuple[int, int, np.ndarray]], label: np.ndarray) -> It
     brought here isn't paired.
     """
     sets = [np.unique(r[2]) for r in rows]
-    least = np.array([SIMILARITY * (WIDTH - min(len(r[2]) - len(x), WIDTH - 1)) for r, x in zip(rows, sets, strict=True)])
+    fewest = np.array([WIDTH - min(len(r[2]) - len(x), WIDTH - 1) for r, x in zip(rows, sets, strict=True)])
+    least = SIMILARITY * fewest
     left = np.arange(len(rows))
     while True:
         if len(left) < 2:
@@ -463,7 +542,7 @@ def _plausible(rows: list[tuple[int, int, np.ndarray]], label: np.ndarray) -> It
         n = first[own + 1] - first[own]
         spot = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         common = np.bincount(owner[spot], minlength=len(left))
-        for j in np.flatnonzero(common >= np.minimum(least[left], least[left[i]])).tolist():
+        for j in np.flatnonzero(common >= np.maximum(_enough(fewest[left], fewest[left[i]], SIMILARITY), _enough(fewest[left[i]], fewest[left], SIMILARITY))).tolist():
             if j > i and label[left[j]] != label[left[i]]:
                 yield int(left[i]), int(left[j])
 
@@ -471,41 +550,50 @@ def _plausible(rows: list[tuple[int, int, np.ndarray]], label: np.ndarray) -> It
 def _class_matches(rows: DataFrame, own: DataFrame) -> DataFrame:
     """Matches between documents of a key (``rows``: key, doc_id, low, high, class_id) in different classes, as ``_verified`` gives them.
 
-    A key's rows are dealt to blocks of about BLOCK_DOCS; two blocks are compared by one task, which emits matches only.
+    A key's rows are dealt to blocks of about BLOCK_DOCS; two blocks are met by one task. What it finds to be plausible, up to PAIRS_SENT for each of
+    its rows, meets the same pair from other keys and is compared once; the rest is compared where it is found, which emits matches only.
     """
     sized = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
     placed = rows.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.expr("substring(own, (low - base) * 4 + 1, (high - low + 1) * 4)")
     dealt = placed.join(own, "doc_id").select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "low", "class_id", part.alias("part"))
     # few bytes are much work here, so parts aren't joined by their bytes
-    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
-    def compared(rows: list[tuple], cross: bool) -> list[tuple]:
-        out, label = [], np.unique([r[4] for r in rows], return_inverse=True)[1]
+    def compared(rows: list[tuple], cross: bool) -> tuple[list[tuple], list[tuple]]:
+        out, sent, label = [], [], np.unique([r[4] for r in rows], return_inverse=True)[1]
         for i, j in _plausible([r[1:4] for r in rows], label):
             if cross and rows[i][0] == rows[j][0]:
                 continue
             (_, d, low, a, _), (_, lead, lead_low, b, _) = sorted((rows[i], rows[j]), key=lambda r: -r[1])
-            if found := matching_passages(a, b):
+            if len(sent) < PAIRS_SENT * len(rows):
+                sent.append((d, lead, low, low + len(a) - 1, lead_low, lead_low + len(b) - 1))
+            elif found := matching_passages(a, b):
                 out += [(d, lead, low + s, low + e - 1 + WORDS, lead_low + t, lead_low + u - 1 + WORDS) for s, e, t, u in found]
                 label[label == label[j]] = label[i]
-        return out
+        return out, sent
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for matched, rows in zip((True, False), compared(held, bool(now and now[1] != now[2])), strict=True):
+                for batch in _match_rows(rows):
+                    yield batch.append_column("matched", pa.array([matched] * len(batch), pa.bool_()))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, found = None, [], []
         for batch in batches:
             columns = (batch[c].to_pylist() for c in ("key", "lo", "hi", "block", "doc_id", "low", "class_id", "part"))
             for key, lo, hi, block, doc, low, of, blob in zip(*columns, strict=True):
                 if (key, lo, hi) != now:
-                    found += compared(held, bool(now and now[1] != now[2]))
+                    yield from told()
                     now, held = (key, lo, hi), []
                 held.append((block, doc, low, np.frombuffer(blob, "<u4"), of))
-            yield from _match_rows(found)
-            found = []
-        yield from _match_rows(compared(held, bool(now and now[1] != now[2])))
+        yield from told()
 
-    return keep(dealt.mapInArrow(verify, _MATCH), "passages")
+    met = keep(dealt.mapInArrow(meet, _MATCH + ", matched boolean"), "met")
+    once = met.where("not matched").select("doc_id", "lead", F.col("start").alias("low"), F.col("end").alias("high"), F.col("lead_start").alias("lead_low"), F.col("lead_end").alias("lead_high"))
+    return met.where("matched").drop("matched").unionByName(_verified(_extents(once), own))
 
 
 def run_anchors(texts: list[str]) -> list[np.ndarray]:
@@ -520,14 +608,17 @@ def run_anchors(texts: list[str]) -> list[np.ndarray]:
 _SPREAD = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("at", pa.list_(pa.int32())), ("own", pa.binary())])
 
 
-def _spread(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """For each document a row for each key that it shares (key, low, high, at), and one with the shingles that these span (own)."""
-    for batch in slices(batches, "text"):
-        texts = [x.decode() for x in unzipped(batch["text"].to_pylist())]
+def _spread(batches: Iterator[pa.RecordBatch], width: int, packed: bool) -> Iterator[pa.RecordBatch]:
+    """For each document a row for each key of a window that has one of the document's shared anchors (``keys``) in it (key, low, high, at),
+    and one with the shingles that these span (own). A window that holds none holds no run in common with another document, so no passage."""
+    for batch in slices(batches, "text" if packed else None):
+        texts = batch["text"].to_pylist()
+        texts = [x.decode() for x in (unzipped(texts) if packed else texts)]
         rows: list[tuple[np.ndarray, ...]] = []
         blobs: list[tuple[int, int, int, bytes]] = []
         for doc, (own, keys, low, high, at), known in zip(batch["doc_id"].to_pylist(), passage_windows(texts), batch["keys"].to_pylist(), strict=True):
-            hit = np.isin(cut_keys(keys, width), unpack_keys(known, width))
+            anchors = np.append(0, np.cumsum(np.isin(cut_keys(mixed(own), width), unpack_keys(known, width))))
+            hit = anchors[high + 1] > anchors[low]
             if not hit.any():
                 continue
             keys, low, high, at = keys[hit], low[hit], high[hit], at[hit]
@@ -606,10 +697,14 @@ def passage_matches(docs: DataFrame) -> DataFrame:
     parts = parts_for(docs)
     width = key_bytes(parts)
     # only documents that have a run in common with another one can share a passage
-    near = keep(shared_keys(docs, run_anchors, parts).select("doc_id"), "near")
-    docs = docs.join(small(near, near.count(), 8), "doc_id", "left_semi")
-    asked = zipped(docs).join(shared_keys(docs, window_keys, parts), "doc_id").select("doc_id", "text", "keys")
-    found = keep(asked.mapInArrow(lambda b: _spread(b, width), "doc_id long, key long, low int, high int, at array<int>, own binary"), "windows")
+    near = keep(shared_keys(docs, run_anchors, parts), "near")
+    n, total = near.agg(F.count(F.lit(1)), F.sum(F.aggregate("keys", F.lit(0).cast("long"), lambda total, x: total + F.octet_length(x) + 16))).first()
+    row_bytes = (total or 0) // max(n, 1) + 16
+    packed = n * row_bytes > BROADCAST_BYTES
+    docs = docs.join(small(near.select("doc_id"), n, 8), "doc_id", "left_semi") if packed else docs
+    asked = (zipped(docs) if packed else docs.withColumn("text", F.encode("text", "UTF-8"))).join(small(near, n, row_bytes), "doc_id")
+    asked = asked.select("doc_id", "text", "keys")
+    found = keep(asked.mapInArrow(lambda b: _spread(b, width, packed), "doc_id long, key long, low int, high int, at array<int>, own binary"), "windows")
     own = found.where("key is null").select("doc_id", F.col("low").alias("base"), "own")
     rows = keep(_key_leaders(found.where("key is not null").drop("own")), "rows")
     matched = _verified(_extents(rows.where("doc_id > lead")), own)
