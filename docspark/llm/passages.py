@@ -25,7 +25,7 @@ PASSAGE_WORDS, SIMILARITY, BANDS = 50, 0.8, 7
 #: Documents of a key's block: two blocks are compared by one task.
 BLOCK_DOCS = 4096
 #: Pairs for each document of a block that go on to be compared once for all keys; a block compares further ones itself, so that few rows leave it.
-PAIRS_SENT = 16
+PAIRS_SENT = 64
 #: How often rows that are left choose a leader among themselves before they are compared with all others.
 ROUNDS = 3
 WIDTH = PASSAGE_WORDS - WORDS + 1
@@ -97,11 +97,11 @@ def _sliding(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - step)], h[width - step :]) if width > step else h
 
 
-def _hashes(sequence: np.ndarray, k: int) -> np.ndarray:
-    """Hash function ``k`` of the shingles, 0 between texts. The lowest bits depend on the place: repeats of a shingle are ordered by
+def _hashes(sequence: np.ndarray, k: int, ties: np.ndarray) -> np.ndarray:
+    """Hash function ``k`` of the shingles, 0 between texts. The lowest bits (``ties``) depend on the place: repeats of a shingle are ordered by
     chance, so the tree over them is as flat as over other shingles."""
     values = mixed(sequence ^ np.uint64(0xA24BAED4963EE407 + 7919 * k))
-    values = (values & ~_TIE) | (mixed(np.arange(len(values), dtype=np.uint64)) & _TIE) | np.uint64(1)
+    values = (values & ~_TIE) | ties
     values[sequence == 0] = 0
     return values
 
@@ -109,10 +109,11 @@ def _hashes(sequence: np.ndarray, k: int) -> np.ndarray:
 def _band_windows(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, l, r, c): stretches of ``sequence`` (shingles, 0 between texts) over which both min-hashes of a band are known; c: where the first stands."""
     keys, lows, highs, spots = [], [], [], []
+    ties = (mixed(np.arange(len(sequence), dtype=np.uint64)) & _TIE) | np.uint64(1)
     for band in range(BANDS):
         sides = []
         for k in (2 * band, 2 * band + 1):
-            sides.append(compact_windows(_hashes(sequence, k)))
+            sides.append(compact_windows(_hashes(sequence, k, ties)))
         (l1, c1, r1), (l2, c2, r2) = sides
         first, last = np.searchsorted(c2, l1), np.searchsorted(c2, r1, "right")
         n = last - first
@@ -153,6 +154,16 @@ def window_keys(texts: list[str]) -> list[np.ndarray]:
     return [k for _, k, *_ in passage_windows(texts)]
 
 
+def anchored_keys(texts: list[str], anchors: list[list[bytes]], width: int) -> list[np.ndarray]:
+    """``window_keys`` of the windows that have one of the document's shared ``anchors`` (see ``run_anchors``; packed to ``width`` bytes) in
+    them: one that has none has no run in common with another document, so no passage."""
+    out = []
+    for (own, keys, low, high, _), known in zip(passage_windows(texts), anchors, strict=True):
+        before = np.append(0, np.cumsum(np.isin(cut_keys(mixed(own), width), unpack_keys(known, width))))
+        out.append(keys[before[high + 1] > before[low]])
+    return out
+
+
 def _alike(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(start, end, start in b, end in b) of all maximal stretches that run alike in both, by diagonals over all occurrences."""
     order = np.argsort(b, kind="stable")
@@ -608,17 +619,14 @@ def run_anchors(texts: list[str]) -> list[np.ndarray]:
 _SPREAD = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("at", pa.list_(pa.int32())), ("own", pa.binary())])
 
 
-def _spread(batches: Iterator[pa.RecordBatch], width: int, packed: bool) -> Iterator[pa.RecordBatch]:
-    """For each document a row for each key of a window that has one of the document's shared anchors (``keys``) in it (key, low, high, at),
-    and one with the shingles that these span (own). A window that holds none holds no run in common with another document, so no passage."""
-    for batch in slices(batches, "text" if packed else None):
-        texts = batch["text"].to_pylist()
-        texts = [x.decode() for x in (unzipped(texts) if packed else texts)]
+def _spread(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """For each document a row for each key that it shares (key, low, high, at), and one with the shingles that these span (own)."""
+    for batch in slices(batches, "text"):
+        texts = [x.decode() for x in unzipped(batch["text"].to_pylist())]
         rows: list[tuple[np.ndarray, ...]] = []
         blobs: list[tuple[int, int, int, bytes]] = []
         for doc, (own, keys, low, high, at), known in zip(batch["doc_id"].to_pylist(), passage_windows(texts), batch["keys"].to_pylist(), strict=True):
-            anchors = np.append(0, np.cumsum(np.isin(cut_keys(mixed(own), width), unpack_keys(known, width))))
-            hit = anchors[high + 1] > anchors[low]
+            hit = np.isin(cut_keys(keys, width), unpack_keys(known, width))
             if not hit.any():
                 continue
             keys, low, high, at = keys[hit], low[hit], high[hit], at[hit]
@@ -699,12 +707,17 @@ def passage_matches(docs: DataFrame) -> DataFrame:
     # only documents that have a run in common with another one can share a passage
     near = keep(shared_keys(docs, run_anchors, parts), "near")
     n, total = near.agg(F.count(F.lit(1)), F.sum(F.aggregate("keys", F.lit(0).cast("long"), lambda total, x: total + F.octet_length(x) + 16))).first()
+    docs = docs.join(small(near.select("doc_id"), n, 8), "doc_id", "left_semi")
     row_bytes = (total or 0) // max(n, 1) + 16
-    packed = n * row_bytes > BROADCAST_BYTES
-    docs = docs.join(small(near.select("doc_id"), n, 8), "doc_id", "left_semi") if packed else docs
-    asked = (zipped(docs) if packed else docs.withColumn("text", F.encode("text", "UTF-8"))).join(small(near, n, row_bytes), "doc_id")
-    asked = asked.select("doc_id", "text", "keys")
-    found = keep(asked.mapInArrow(lambda b: _spread(b, width, packed), "doc_id long, key long, low int, high int, at array<int>, own binary"), "windows")
+    packed = n * row_bytes > BROADCAST_BYTES  # few anchors are broadcast; for many, texts are shuffled compressed
+    asked = (zipped(docs) if packed else docs).join(small(near, n, row_bytes), "doc_id").select("doc_id", "text", "keys")
+
+    def keys_of(texts: list, anchors: list[list[bytes]]) -> list[np.ndarray]:
+        return anchored_keys([x.decode() for x in unzipped(texts)] if packed else texts, anchors, width)
+
+    shared = shared_keys(asked, keys_of, parts, ("text", "keys"), "text" if packed else None)
+    asked = zipped(docs).join(shared, "doc_id").select("doc_id", "text", "keys")
+    found = keep(asked.mapInArrow(lambda b: _spread(b, width), "doc_id long, key long, low int, high int, at array<int>, own binary"), "windows")
     own = found.where("key is null").select("doc_id", F.col("low").alias("base"), "own")
     rows = keep(_key_leaders(found.where("key is not null").drop("own")), "rows")
     matched = _verified(_extents(rows.where("doc_id > lead")), own)

@@ -55,10 +55,11 @@ def _by_doc(keys: np.ndarray, docs: np.ndarray, width: int) -> pa.RecordBatch |
     return pa.record_batch([pa.nulls(n, pa.int32()), pa.array(docs[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.binary())], schema=_KINDS)
 
 
-def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]], parts: int) -> DataFrame:
+def shared_keys(docs: DataFrame, keys_of: Callable[..., list[np.ndarray]], parts: int, columns: tuple[str, ...] = ("text",), packed: str | None = None) -> DataFrame:
     """Rows (doc_id, keys): for each document, its keys (packed to ``key_bytes``) that other documents have as well.
 
-    ``docs`` has unique doc_ids and no null texts; ``keys_of`` gives the keys of each text. Within a batch a key of
+    ``docs`` has unique doc_ids and no null texts; ``keys_of`` gives the keys of each text, from lists of the ``columns`` (of
+    which one may be ``packed``, see ``zipped``). Within a batch a key of
     several documents is known to be shared at once and only one of them is sent on, so a very common key costs a
     task one row per batch, not one per document. Keys are dealt out by their value in packed arrays.
     """
@@ -66,8 +67,8 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]
     width = key_bytes(parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            own = [np.unique(cut_keys(k, width)) for k in keys_of(batch["text"].to_pylist())]
+        for batch in slices(batches, packed):
+            own = [np.unique(cut_keys(k, width)) for k in keys_of(*(batch[c].to_pylist() for c in columns))]
             if not own:
                 continue
             keys = np.concatenate(own)
@@ -91,7 +92,7 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[list[str]], list[np.ndarray]
             p, k, d = zip(*rows, strict=True)
             yield pa.record_batch([pa.array(p, pa.int32()), pa.nulls(len(p), pa.int64()), pa.array(k, pa.binary()), pa.array(d, pa.binary())], schema=_KINDS)
 
-    sent = bounded(docs).select("doc_id", "text").mapInArrow(send, "part int, doc_id long, keys binary, docs binary")
+    sent = bounded(docs).select("doc_id", *columns).mapInArrow(send, "part int, doc_id long, keys binary, docs binary")
 
     def meet(group: pa.Table) -> pa.Table:
         told = group.filter(pc.is_valid(group["doc_id"]))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from docspark.llm import histogram_packing, passages, periodic_runs, spelling_groups
+from docspark.llm.shared_keys import pack_keys
 from docspark.llm.shingles import shingles, word_hashes
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -308,3 +309,34 @@ def test_swapped_blocks_are_linked(spark):
     frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(turned)), (3, "else " * 60)], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in passages.passage_links(frame).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def repeated_lines(seed):
+    """Shingles of two texts that repeat one line, turned at times, with other words between."""
+    rng = random.Random(seed)
+    line = [rng.randrange(9) for _ in range(rng.randint(8, 30))]
+    for _ in range(2):
+        out = []
+        for _ in range(rng.randint(6, 14)):
+            k = rng.randrange(len(line))
+            out += line[k:] + line[:k] if rng.random() < 0.3 else line
+            out += [1000 + rng.randrange(10**6) for _ in range(rng.randint(0, 4))]
+        yield np.array(out, np.uint64) + np.uint64(1)
+
+
+def test_ranges_of_repeated_shingles_are_all_compared():
+    for seed in (0, 9, 11, 19, 20, 25):
+        a, b = repeated_lines(seed)
+        found = passages.matching_passages(a, b)
+        assert found
+        for s, e, t, u in found:
+            one, two = set(a[s:e].tolist()), set(b[t:u].tolist())
+            assert min(e - s, u - t) >= passages.WIDTH and len(one & two) >= 0.8 * len(one | two) - 1e-9
+
+
+def test_windows_without_a_shared_anchor_send_no_keys():
+    texts = [" ".join(f"w{k}" for k in range(300))]
+    (anchors,), (keys,) = passages.run_anchors(texts), passages.window_keys(texts)
+    assert len(passages.anchored_keys(texts, [[pack_keys(anchors, 6)]], 6)[0]) == len(keys)
+    some = passages.anchored_keys(texts, [[pack_keys(anchors[:1], 6)]], 6)[0]
+    assert 0 < len(some) < len(keys) and not len(passages.anchored_keys(texts, [[]], 6)[0])
