@@ -8,7 +8,7 @@ that are at least as wide as the shortest passage, so their number follows the l
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,6 @@ PAIRS_SENT = 64
 #: How often rows that are left choose a leader among themselves before they are compared with all others.
 ROUNDS = 3
 WIDTH = PASSAGE_WORDS - WORDS + 1
-_LEVELS = 10
 _NO_ID = -(2**63)
 _BATCH_SHINGLES = 200_000
 #: Pairs of equal shingles that are held at once.
@@ -46,45 +45,36 @@ RECTANGLES = 36
 _MOST_CELLS = 2_000_000
 
 
-def _low_levels(values: np.ndarray) -> list[np.ndarray]:
-    """At level j: the smallest of the 2**j values from each place on."""
-    levels = [values]
-    for j in range(1, _LEVELS):
-        last, step = levels[-1], 1 << (j - 1)
-        if len(last) <= step:
-            break
-        levels.append(np.minimum(last[:-step], last[step:]))
-    return levels
-
-
 def compact_windows(values: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of the compact windows of ``width`` values at least; a 0 ends all windows. Of equal values the first counts as smaller:
-    the tree over many equal ones is a path, so callers make values distinct (see ``_hashes``)."""
+    the tree over many equal ones is a path, so callers make values distinct (see ``_hashes``).
+
+    The centre of a wide window is the smallest of half of it, to its left or to its right; so is the next smaller value on either
+    side of such a centre. Only these few are looked at.
+    """
     half = (width + 1) // 2
     low = _sliding(values, half)
     near = np.zeros(len(values), bool)
     if len(low):
         near[: len(low)] |= low == values[: len(low)]
         near[half - 1 :] |= low == values[half - 1 :]
-    c = np.flatnonzero(near & (values > 0))
-    levels = _low_levels(values)
-    own = values[c]
-    left, right = c.copy(), c.copy()
-    # binary lifting; the highest step is repeated while any window still grows
-    for to_left in (True, False):
-        edge = left if to_left else right
-        for j in range(len(levels) - 1, -1, -1):
-            step, low = 1 << j, levels[j]
-            while True:
-                at = edge - step if to_left else edge + 1
-                safe = (at >= 0) & (at < len(low))
-                seen = low[np.clip(at, 0, len(low) - 1)]
-                grow = safe & ((seen > own) if to_left else (seen >= own))
-                edge[grow] += -step if to_left else step
-                if j < len(levels) - 1 or not grow.any():
-                    break
-    wide = right - left + 1 >= width
-    return left[wide], c[wide], right[wide]
+    spots = np.flatnonzero(near)
+    own = values[spots]
+    edges = []
+    for back in (False, True):
+        # a value that isn't smaller passes on what it knows itself, so steps grow longer
+        v = own[::-1] if back else own
+        smaller = np.arange(-1, len(own) - 1)
+        open_ = np.flatnonzero(smaller >= 0)
+        while len(open_):
+            seen = smaller[open_]
+            open_ = open_[(seen >= 0) & ((v[seen] >= v[open_]) if back else (v[seen] > v[open_]))]
+            smaller[open_] = smaller[smaller[open_]]
+        edges.append(len(own) - 1 - smaller[::-1] if back else smaller)
+    left = np.where(edges[0] >= 0, spots[edges[0]] + 1, 0) if len(own) else spots
+    right = np.append(spots, len(values))[edges[1]] - 1 if len(own) else spots
+    wide = (right - left + 1 >= width) & (own > 0)
+    return left[wide], spots[wide], right[wide]
 
 
 def _sliding(h: np.ndarray, width: int) -> np.ndarray:
@@ -106,14 +96,20 @@ def _hashes(sequence: np.ndarray, k: int, ties: np.ndarray) -> np.ndarray:
     return values
 
 
-def _band_windows(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, l, r, c): stretches of ``sequence`` (shingles, 0 between texts) over which both min-hashes of a band are known; c: where the first stands."""
+def _band_windows(sequence: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, l, r, c): stretches of ``sequence`` (shingles, 0 between texts) over which both min-hashes of a band are known; c: where the first stands.
+
+    If some places are ``wanted``, only those that have one of them.
+    """
+    before = None if wanted is None else np.append(0, np.cumsum(wanted))
     keys, lows, highs, spots = [], [], [], []
     ties = (mixed(np.arange(len(sequence), dtype=np.uint64)) & _TIE) | np.uint64(1)
     for band in range(BANDS):
         sides = []
         for k in (2 * band, 2 * band + 1):
-            sides.append(compact_windows(_hashes(sequence, k, ties)))
+            low, spot, high = compact_windows(_hashes(sequence, k, ties))
+            good = slice(None) if before is None else before[high + 1] > before[low]
+            sides.append((low[good], spot[good], high[good]))
         (l1, c1, r1), (l2, c2, r2) = sides
         first, last = np.searchsorted(c2, l1), np.searchsorted(c2, r1, "right")
         n = last - first
@@ -121,6 +117,8 @@ def _band_windows(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
         b = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
         low, high = np.maximum(l1[a], l2[b]), np.minimum(r1[a], r2[b])
         good = (high - low + 1 >= WIDTH) & (np.minimum(c1[a], c2[b]) >= low) & (np.maximum(c1[a], c2[b]) <= high)
+        if before is not None:
+            good[good] = before[high[good] + 1] > before[low[good]]
         a, b = a[good], b[good]
         keys.append(mixed(sequence[c1[a]] * np.uint64(0x9E3779B97F4A7C15) + sequence[c2[b]] + np.uint64(band)))
         lows.append(low[good])
@@ -129,8 +127,8 @@ def _band_windows(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(keys), np.concatenate(lows), np.concatenate(highs), np.concatenate(spots)
 
 
-def passage_windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text (shingles, keys, l, r, c)."""
+def passage_windows(texts: list[str], wanted: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text (shingles, keys, l, r, c); of windows without one of the places ``wanted`` of a text (its number, its shingles), if given, none."""
     own = [np.maximum(shingles(w), np.uint64(1)) for w in word_hashes(texts)]
     at = 0
     while at < len(own):
@@ -140,7 +138,8 @@ def passage_windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray,
             held += len(own[at]) + 1
             at += 1
         zero = np.zeros(1, np.uint64)
-        keys, low, high, spot = _band_windows(np.concatenate([x for s in part for x in (s, zero)]))
+        marks = None if wanted is None else np.concatenate([x for i, s in enumerate(part, at - len(part)) for x in (wanted(i, s), zero > zero)])
+        keys, low, high, spot = _band_windows(np.concatenate([x for s in part for x in (s, zero)]), marks)
         order = np.argsort(low, kind="stable")
         keys, low, high, spot = keys[order], low[order], high[order], spot[order]
         sizes = np.array([len(s) + 1 for s in part])
@@ -157,11 +156,8 @@ def window_keys(texts: list[str]) -> list[np.ndarray]:
 def anchored_keys(texts: list[str], anchors: list[list[bytes]], width: int) -> list[np.ndarray]:
     """``window_keys`` of the windows that have one of the document's shared ``anchors`` (see ``run_anchors``; packed to ``width`` bytes) in
     them: one that has none has no run in common with another document, so no passage."""
-    out = []
-    for (own, keys, low, high, _), known in zip(passage_windows(texts), anchors, strict=True):
-        before = np.append(0, np.cumsum(np.isin(cut_keys(mixed(own), width), unpack_keys(known, width))))
-        out.append(keys[before[high + 1] > before[low]])
-    return out
+    shared = lambda i, own: np.isin(cut_keys(mixed(own), width), unpack_keys(anchors[i], width))
+    return [keys for _, keys, *_ in passage_windows(texts, shared)]
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -267,6 +263,46 @@ def _dense(common: np.ndarray, again: np.ndarray, similarity: float, other: int)
     return False
 
 
+def _fewest(a: np.ndarray, counted: np.ndarray | None = None) -> int:
+    """The fewest distinct shingles of any WIDTH places of ``a`` (as wide at least), those at ``counted`` places if given."""
+    order = np.argsort(a, kind="stable")
+    same = a[order[1:]] == a[order[:-1]]
+    before = np.full(len(a), -1)
+    before[order[1:][same]] = order[:-1][same]
+    at = np.arange(len(a)) if counted is None else np.flatnonzero(counted)
+    # a place counts for the starts from which it is the first one of its shingle
+    first = np.maximum(np.maximum(before[at] + 1, at - WIDTH + 1), 0)
+    steps = np.bincount(first, minlength=len(a) + 1) - np.bincount(at + 1, minlength=len(a) + 1)
+    return int(np.cumsum(steps[: len(a) - WIDTH + 1]).min())
+
+
+def _alone(a: np.ndarray, b: np.ndarray, common: np.ndarray, both: int, similarity: float) -> bool:
+    """Whether so many shingles that aren't ``common`` stand in any WIDTH places of ``a`` and ``b`` that no passages can be similar enough,
+    even with all ``both`` common ones: what passages don't have in common is at most 1 / similarity - 1 of what they have."""
+    most = both * (1 / similarity - 1) + 1e-6
+    few = _fewest(a, ~common[a])
+    return few > most or few + _fewest(b, ~common[b]) > most
+
+
+def _in_order(a: np.ndarray, b: np.ndarray, common: np.ndarray, repeats: int, similarity: float) -> bool:
+    """Whether the ``common`` shingles, which stand once in ``a`` and once in ``b``, come in the same order in both, and no ranges from one stretch
+    that runs alike to another one are similar enough. ``repeats``: places of both texts that repeat others.
+
+    With a stretch that it has a part of, a range becomes no less similar, so that whole stretches bound all others.
+    """
+    where = np.empty(len(common), np.int64)
+    where[b] = np.arange(len(b))
+    i = np.flatnonzero(common[a])
+    j = where[a[i]]
+    cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1
+    first, last = np.append(0, cut), np.append(cut, len(i))
+    if len(first) ** 2 > _MOST_CELLS or (j[1:] < j[:-1]).any():
+        return False
+    shared = last[None, :] - first[:, None]
+    wide = sum(np.maximum(at[last - 1][None, :] + 1 - at[first][:, None], WIDTH) for at in (i, j))
+    return not (shared >= similarity * (wide - repeats - shared) - 1e-6)[shared > 0].any()
+
+
 class _Side:
     """What ``_rectangle`` asks of one of two texts: running counts, repeats (place, place before), places of ``many`` shingles."""
 
@@ -432,10 +468,13 @@ def matching_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARI
     both, x, y = (int(np.count_nonzero(w)) for w in (in_a & in_b, in_a, in_b))
     # a passage has WIDTH places, and at most so many of them repeat others
     least_a, least_b = max(WIDTH - (len(a) - x), 0), max(WIDTH - (len(b) - y), 0)
-    if not both or both < max(_enough(least_a, least_b, similarity), _enough(least_b, least_a, similarity)):
+    if not both or min(len(a), len(b)) < WIDTH or both < max(_enough(least_a, least_b, similarity), _enough(least_b, least_a, similarity)):
         return []
-    if min(len(a), len(b)) >= WIDTH and both >= similarity * (x + y - both) - 1e-9:
+    if both >= similarity * (x + y - both) - 1e-9:
         return [(0, len(a), 0, len(b))]
+    common, met = in_a & in_b, int(n @ m)
+    if _alone(a, b, common, both, similarity) or met == both and _in_order(a, b, common, len(a) - x + len(b) - y, similarity):
+        return []
     # of the shorter text first: fewer of its places can be left
     counts_b = _common(b, in_a)
     if not _dense(*counts_b, similarity, least_a):
@@ -443,7 +482,7 @@ def matching_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARI
     counts_a = _common(a, in_b)
     if not _dense(*counts_a, similarity, least_b):
         return []
-    if (x + y) * _REPEATS < len(a) + len(b) and int(n @ m) > _REPEATS**2 * (len(a) + len(b)):
+    if (x + y) * _REPEATS < len(a) + len(b) and met > _REPEATS**2 * (len(a) + len(b)):
         return _repetitive(a, b, similarity)
     stretches = _without_repeats(a, b, _alike(a, b))
     slack = 1 / similarity - 1
@@ -490,13 +529,16 @@ def matching_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARI
     return sorted(out | set(_rectangles(a, b, [p for p in stretches if not inside(p)], similarity, (counts_a, counts_b))))
 
 
-def _key_leaders(windows: DataFrame) -> DataFrame:
-    """``windows`` (key, doc_id, low, high, at) of keys with several documents, with n and the key's leader: its smallest document.
+def _led_keys(windows: DataFrame) -> DataFrame:
+    """Keys of ``windows`` (key, doc_id, low, high, ...) with several documents: key, n, the key's leader, which is its smallest document, and its
+    largest one. Both are combined before the shuffle; numbers alone, so that nothing is sorted for it."""
+    ends = [x for way, name in ((F.min, "lead"), (F.max, "last")) for x in (way("doc_id").alias(name), *((F.min_by if name == "lead" else F.max_by)(c, "doc_id").alias(f"{name}_{c}") for c in ("low", "high")))]
+    return windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1")
 
-    The leader is found by ``min``, which is combined before the shuffle; adaptive execution may split a very common key.
-    """
-    first = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").alias("lead"), F.col("low").alias("lead_low"), F.col("high").alias("lead_high"))).alias("l"))
-    return windows.join(first.where("n > 1").select("key", "n", "l.*"), "key")
+
+def _key_leaders(windows: DataFrame) -> DataFrame:
+    """``windows`` (key, doc_id, low, high, at) of keys with several documents, with n and the key's leader. Adaptive execution may split a very common key."""
+    return windows.join(_led_keys(windows).select("key", "n", "lead", "lead_low", "lead_high"), "key")
 
 
 _MATCH = "doc_id long, lead long, start long, end long, lead_start long, lead_end long"
@@ -522,7 +564,7 @@ def _plausible(rows: list[tuple[int, int, np.ndarray]], label: np.ndarray) -> It
     brought here isn't paired.
     """
     sets = [np.unique(r[2]) for r in rows]
-    fewest = np.array([WIDTH - min(len(r[2]) - len(x), WIDTH - 1) for r, x in zip(rows, sets, strict=True)])
+    fewest = np.array([WIDTH if len(r[2]) == len(x) else _fewest(r[2]) for r, x in zip(rows, sets, strict=True)])
     least = SIMILARITY * fewest
     left = np.arange(len(rows))
     while True:
@@ -719,10 +761,15 @@ def passage_matches(docs: DataFrame) -> DataFrame:
     asked = zipped(docs).join(shared, "doc_id").select("doc_id", "text", "keys")
     found = keep(asked.mapInArrow(lambda b: _spread(b, width), "doc_id long, key long, low int, high int, at array<int>, own binary"), "windows")
     own = found.where("key is null").select("doc_id", F.col("low").alias("base"), "own")
-    rows = keep(_key_leaders(found.where("key is not null").drop("own")), "rows")
-    matched = _verified(_extents(rows.where("doc_id > lead")), own)
-    wide = rows.where("n > 2").select("key", "doc_id", "low", "high", "at", "lead")
-    left = keep(_open_rows(wide.where("doc_id > lead").drop("lead"), matched), "open")
+    windows = found.where("key is not null").drop("own")
+    led = keep(_led_keys(windows), "keys")
+    # two documents are a pair; only the rows of more than two meet their leader
+    many = led.where("n > 2").select("key", "lead", "lead_low", "lead_high")
+    wide = keep(windows.join(small(many, many.count(), 32), "key"), "rows")
+    two = led.where("n = 2").select(F.col("last").alias("doc_id"), "lead", F.col("last_low").alias("low"), F.col("last_high").alias("high"), "lead_low", "lead_high")
+    others = wide.where("doc_id > lead")
+    matched = _verified(_extents(two.unionByName(others.select(*two.columns))), own)
+    left = keep(_open_rows(others.drop("lead", "lead_low", "lead_high"), matched), "open")
     for _ in range(ROUNDS):
         led = keep(_key_leaders(left).where("doc_id > lead"), "led")
         if led.isEmpty():

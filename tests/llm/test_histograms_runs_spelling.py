@@ -340,3 +340,89 @@ def test_windows_without_a_shared_anchor_send_no_keys():
     assert len(passages.anchored_keys(texts, [[pack_keys(anchors, 6)]], 6)[0]) == len(keys)
     some = passages.anchored_keys(texts, [[pack_keys(anchors[:1], 6)]], 6)[0]
     assert 0 < len(some) < len(keys) and not len(passages.anchored_keys(texts, [[]], 6)[0])
+
+
+def test_compact_windows_look_at_sliding_minima_only():
+    rng = np.random.default_rng(6)
+    for n in (0, 3, 22, 23, 46, 47, 400):
+        for high in (4, 1 << 62):
+            values = rng.integers(0, high, n).astype(np.uint64) * np.uint64(3) + (np.uint64(1) << np.uint64(61))  # floats can't tell these apart
+            values[rng.random(n) < 0.01] = 0
+            v, want = values.tolist(), []
+            for c in range(n):
+                left, right = c, c
+                while left and v[left - 1] > v[c]:
+                    left -= 1
+                while right < n - 1 and v[right + 1] >= v[c]:
+                    right += 1
+                if v[c] and right - left + 1 >= 46:
+                    want.append((left, c, right))
+            assert [*zip(*(x.tolist() for x in passages.compact_windows(values)), strict=True)] == want
+
+
+def _passage(a, b):
+    """Whether any two ranges of 46 shingles or more are similar, by trying all."""
+    number = {x: 1 << k for k, x in enumerate({*a.tolist(), *b.tolist()})}
+    sets = []
+    for own in (a.tolist(), b.tolist()):
+        found = set()
+        for s in range(len(own) - 45):
+            bits = 0
+            for k in range(s, len(own)):
+                bits |= number[own[k]]
+                if k - s >= 45:
+                    found.add(bits)
+        sets.append(found)
+    return any((x & y).bit_count() >= 0.8 * (x | y).bit_count() - 1e-9 for x in sets[0] for y in sets[1])
+
+
+def test_bounds_reject_no_passage():
+    rng = random.Random(12)
+    seen = Counter()
+    for _ in range(100):
+        vocabulary = rng.choice((2, 6, 10**6, 10**6))
+        one = rng.choices(range(vocabulary), k=rng.randint(52, 60))
+        if rng.random() < 0.4:
+            one = [w for w in one for _ in range(rng.choice((1, 6, 30)))][: rng.randint(52, 66)]
+        two = list(one)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(two))
+            two[at : at + rng.randint(0, 2)] = [rng.randrange(10**6) for _ in range(rng.randint(0, 2))]
+        a, b = (shingles(np.array(x, np.uint64) + np.uint64(1)) for x in (one, two))
+        if min(len(a), len(b)) < 46:
+            continue
+        x, y, codes = passages._coded(a, b)
+        n, m = np.bincount(x, minlength=codes), np.bincount(y, minlength=codes)
+        common = (n > 0) & (m > 0)
+        both = int(common.sum())
+        repeats = len(a) + len(b) - int((n > 0).sum()) - int((m > 0).sum())
+        rejected = not both or passages._alone(x, y, common, both, 0.8) or int(n @ m) == both and passages._in_order(x, y, common, repeats, 0.8)
+        like = _passage(a, b)
+        seen[like, bool(rejected)] += 1
+        assert not (like and rejected)
+    assert seen[True, False] > 20 and seen[False, True] > 10
+
+
+def test_unlike_texts_of_a_key_are_told_by_bounds(monkeypatch):
+    """Runs of repeated words that share one word, and near copies of which every 20th word differs: no stretch of them is tried."""
+    monkeypatch.setattr(passages, "_alike", None)
+    repeated = [" ".join(w for w in ws for _ in range(20)) for ws in ("a b c d e f", "g h c i j k")]
+    plain = [f"w{k}" for k in range(400)]
+    changed = [w if k % 20 else f"x{k}" for k, w in enumerate(plain)]
+    for one, two in (repeated, (" ".join(plain), " ".join(changed))):
+        assert passages.matching_passages(*(s for s, *_ in passages.passage_windows([one, two]))) == []
+
+
+def test_only_keys_of_many_documents_meet_their_leader(spark, monkeypatch):
+    """Documents that are alike in pairs keep no row for each of their keys."""
+    rows, seen, given = [], {}, passages.keep
+    rng = random.Random(3)
+    for i in range(6):
+        text = " ".join(str(rng.randrange(10**6)) for _ in range(90))
+        rows += [(2 * i, text), (2 * i + 1, f"{text} end{i}")]
+    monkeypatch.setattr(passages, "keep", lambda df, name: seen.setdefault(name, given(df, name)))
+    got = {r.doc_id: r.class_id for r in passages.passage_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(12)}
+    assert seen["windows"].where("key is not null").count() > 50 and seen["rows"].count() == 0
+    plan = passages._led_keys(seen["windows"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
