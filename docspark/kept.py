@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side of a join is broadcast only after its rows were counted and found to have at most so many bytes.
 BROADCAST_BYTES = 16_000_000
+#: Bytes of an Arrow batch that Spark sends to a Python task, for rows that are wide.
+ARROW_BYTES = 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,3 +41,12 @@ def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out anew if it comes in fewer parts than there are cores (as one small file does), for work that is heavy for each row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Arrow batches of ARROW_BYTES at most from here on: bounds the buffers of executors and workers."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = conf.get(name).rstrip("bB")
+    if not given.isdigit() or int(given) > ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+    return df

@@ -12,11 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..kept import keep
+from ..kept import keep, small_batches
 from . import inverted_index, text_blocks, vector_cells
+from .score_blocks import NO_ID, ScoreBlocks, places, ranks_of
 
 RRF = 60
-_FIRST = -(2**63)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", query: str = "query_id", column: str = "embedding") -> DataFrame:
@@ -32,7 +32,7 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, item: str = "doc_id
     """Rows (item_id, doc_id, score, rank), as of an index of the questions' terms; see ``inverted_index``.
 
     Documents without any term of a question aren't ranked for it. Where ids don't repeat, blocks of documents are scored where they lie
-    and only the ``k`` best of each leave it (``text_blocks``).
+    and only the ``k`` best of each task leave it (``text_blocks``).
     """
     if not inverted_index.repeats(docs, item):
         best = inverted_index.ranked(text_blocks.block_scores(docs, questions, k, item, query), k)
@@ -41,12 +41,12 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int, item: str = "doc_id
     return inverted_index.search(inverted_index.build_index(docs, wanted, item), questions, k, query, item)
 
 
-def bm25_scores(docs: DataFrame, questions: DataFrame, item: str = "doc_id", query: str = "item_id") -> DataFrame:
-    """Rows (q, doc, score): every document that has a term of a question."""
+def bm25_scores(docs: DataFrame, questions: DataFrame, item: str = "doc_id", query: str = "item_id") -> DataFrame | ScoreBlocks:
+    """For ``fused_topk``, every document that has a term of a question: blocks where ids don't repeat, else kept rows (q, doc, score)."""
     if not inverted_index.repeats(docs, item):
-        return text_blocks.block_scores(docs, questions, None, item, query)
+        return text_blocks.text_blocks(docs, questions, item, query)
     wanted = questions.select(F.explode(inverted_index.terms(F.col("text"))).alias("term")).distinct()
-    return inverted_index.all_scores(inverted_index.build_index(docs, wanted, item), questions, query)
+    return keep(inverted_index.all_scores(inverted_index.build_index(docs, wanted, item), questions, query), "scores")
 
 
 def top_per_query(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
@@ -73,15 +73,9 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (q, place, n): how many of a row's own (s, d) come after so many of ``them``, both by (s, d)."""
     for batch in batches:
         for i in range(batch.num_rows):
-            s, d = batch["own_s"][i].values.to_numpy(), batch["own_d"][i].values.fill_null(_FIRST).to_numpy()
+            s, d = batch["own_s"][i].values.to_numpy(), batch["own_d"][i].values.fill_null(NO_ID).to_numpy()
             them = batch["them"][i].values
-            ts, td = them.field("s").to_numpy(), them.field("d").fill_null(_FIRST).to_numpy()
-            place, end = np.searchsorted(ts, s), np.searchsorted(ts, s, "right")
-            at = place.copy()
-            while (tied := at < end).any():  # equal scores, by id
-                place += tied & (td[np.minimum(at, len(td) - 1)] < d)
-                at += 1
-            n = np.bincount(place)
+            n = np.bincount(places(them.field("s").to_numpy(), them.field("d").fill_null(NO_ID).to_numpy(), s, d))
             yield pa.record_batch({"q": pa.array([batch["q"][i].as_py()] * len(n), pa.int64()), "place": pa.array(np.arange(len(n)), pa.int32()), "n": pa.array(n, pa.int64())})
 
 
@@ -93,24 +87,20 @@ def _counted(scores: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     order = F.struct((-F.round("score", 6)).alias("s"), F.col("doc").alias("d"))
     lists = keep(wanted.groupBy("q").agg(F.array_sort(F.collect_list(order)).alias("them")), "wanted")  # as many as candidates
-    held = scores.select("q", order.alias("o")).select("q", "o.s", "o.d").mapInArrow(_packed, "q long, own_s array<double>, own_d array<long>")
-    seen = held.join(lists, "q").mapInArrow(_placed, "q long, place int, n long").where("n > 0").groupBy("q", "place").agg(F.sum("n").alias("n"))
-    told = lists.select("q", F.posexplode("them").alias("place", "x")).join(seen, ["q", "place"], "left")
-    # a row at a place is behind all wanted ones before the place, and isn't behind the one at it
-    upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("q").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return told.select("q", F.col("x.d").alias("doc"), upto.cast("int").alias("rank"))
+    held = small_batches(scores).select("q", order.alias("o")).select("q", "o.s", "o.d").mapInArrow(_packed, "q long, own_s array<double>, own_d array<long>")
+    return ranks_of(lists, held.join(lists, "q").mapInArrow(_placed, "q long, place int, n long").where("n > 0"))
 
 
-def fused_topk(one: DataFrame, two: DataFrame, k: int) -> DataFrame:
+def fused_topk(one: DataFrame | ScoreBlocks, two: DataFrame | ScoreBlocks, k: int) -> DataFrame:
     """Rows (q, doc, score, rank): the ``k`` best by reciprocal rank fusion of two score lists (q, doc, score), as of their whole rankings.
 
     A document that is under rank RRF + 2 k or so in both lists has less than the k-th of either one, so only those before that
     are candidates. Those that can still be among the best get their exact rank in the other list by counting. Each list is
-    read twice and ranked once, cut to the candidates before it is shuffled. Give lists that are kept; documents that a list lacks have no
-    share from it.
+    read twice and ranked once, cut to the candidates before it is shuffled. Give lists that are kept, or blocks, of which no list is
+    made; documents that a list lacks have no share from it.
     """
     depth = math.ceil(2 / (1 / (RRF + k) - 1e-6)) - RRF
-    lists = [(x, keep(inverted_index.ranked(x, depth), "candidates")) for x in (one, two)]
+    lists = [(x, keep(inverted_index.ranked(x if isinstance(x, DataFrame) else x.best(depth), depth), "candidates")) for x in (one, two)]
     a, b = (top.select("q", "doc", F.col("rank").alias(f"r{i}")) for i, (_, top) in enumerate(lists, 1))
     share = lambda c: F.coalesce(1 / (RRF + F.col(c)), F.lit(0.0))
     both = a.join(b, ["q", "doc"], "full").withColumn("low", share("r1") + share("r2"))
@@ -120,7 +110,8 @@ def fused_topk(one: DataFrame, two: DataFrame, k: int) -> DataFrame:
     may = keep(both.join(least, "q", "left").where(F.col("least").isNull() | (F.col("low") + one_rank >= F.col("least") - 1e-6)).select("q", "doc", "r1", "r2"), "candidates")
     for i, (scores, _) in enumerate(lists, 1):
         unknown = may.where(F.col(f"r{i}").isNull()).select("q", "doc")
-        exact = _counted(scores, scores.join(unknown, ["q", "doc"])).withColumnRenamed("rank", "exact")
+        exact = _counted(scores, scores.join(unknown, ["q", "doc"])) if isinstance(scores, DataFrame) else scores.ranks(unknown)
+        exact = exact.withColumnRenamed("rank", "exact")
         may = may.join(exact, ["q", "doc"], "left").withColumn(f"r{i}", F.coalesce(f"r{i}", "exact")).drop("exact")
     return inverted_index.ranked(may.select("q", "doc", (share("r1") + share("r2")).alias("score")), k)
 

@@ -1,6 +1,6 @@
 """Scores of all documents for given questions without a stored index: documents and questions in blocks, multiplied as matrices.
 
-Documents are read and counted where they lie and never shuffled; what leaves a block are its scores, or the best of them.
+Documents are read and counted where they lie and never shuffled; what leaves a task are its scores, or the best of them.
 """
 
 from __future__ import annotations
@@ -12,29 +12,34 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ..kept import keep, small
+from ..kept import keep, small, small_batches
 from .inverted_index import B, K1, counted_words, idf, terms
+from .score_blocks import NO_ID, ScoreBlocks, part_of
 
-#: Questions of a block, about, and documents that are multiplied at once.
-BLOCK_QUERIES, BLOCK_DOCS = 512, 256
-_NO_ID = -(2**63)
+#: Questions of a part, about, documents that are multiplied at once, and documents and terms of a row of them.
+BLOCK_QUERIES, BLOCK_DOCS, ROW_DOCS, ROW_TERMS = 512, 256, 4096, 300_000
 
 
-def block_scores(docs: DataFrame, questions: DataFrame, k: int | None = None, item: str = "doc_id", query: str = "item_id") -> DataFrame:
-    """Rows (q, doc, score) of ``docs`` (item, text; ids don't repeat) that have a term of a question (query, text), by the formula of
-    ``inverted_index``: all of them, or the ``k`` best (equal ones, to 6 decimals, by doc) of each block."""
+def text_blocks(docs: DataFrame, questions: DataFrame, item: str = "doc_id", query: str = "item_id") -> ScoreBlocks:
+    """The scores of ``docs`` (item, text; ids don't repeat) for questions (query, text) of which they have a term, by the formula of ``inverted_index``."""
     shape = "n long, words long, docs array<long>, sizes array<long>, ends array<long>, terms array<string>, tf array<int>"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = lambda x, kind: pa.array([x], pa.list_(kind))
         for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK_DOCS):
-                batch = whole.slice(at, BLOCK_DOCS)
+            if not whole.num_rows:
+                continue
+            lengths, at = pc.list_value_length(whole["terms"]).to_numpy(), 0
+            full = np.flatnonzero(np.diff(np.maximum(np.cumsum(lengths) // ROW_TERMS, 0), append=-1)) + 1
+            cuts = sorted({*full.tolist(), *range(ROW_DOCS, whole.num_rows, ROW_DOCS)})
+            for to in cuts:
+                batch = whole.slice(at, to - at)
+                at = to
                 found, tf = batch["terms"].flatten(), batch["tf"].flatten()
                 sizes, ends = batch["size"].to_numpy(), np.cumsum(pc.list_value_length(batch["terms"]).to_numpy())
                 yield pa.record_batch({"n": pa.array([len(sizes)], pa.int64()), "words": pa.array([int(sizes.sum())], pa.int64()), "docs": one(batch["doc"], pa.int64()), "sizes": one(sizes, pa.int64()), "ends": one(ends, pa.int64()), "terms": one(found, pa.string()), "tf": one(tf, pa.int32())})
 
-    known = counted_words(docs, item).withColumn("doc", F.coalesce("doc", F.lit(_NO_ID)))
+    known = small_batches(counted_words(docs, item)).withColumn("doc", F.coalesce("doc", F.lit(NO_ID)))
     blocks = keep(known.mapInArrow(pack, shape), "text-blocks")
     n, words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     mean = words / n if words else 1.0
@@ -42,33 +47,32 @@ def block_scores(docs: DataFrame, questions: DataFrame, k: int | None = None, it
     wanted = asked.select("term").distinct()
     counted = blocks.select(F.explode("terms").alias("term")).join(small(wanted, 32), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     parts = max(1, -(-questions.count() // BLOCK_QUERIES))
-    weighed = asked.join(counted, "term").select(F.pmod(F.xxhash64("q"), F.lit(parts)).alias("part"), "q", "term", idf(n).alias("idf"))
+    weighed = asked.join(counted, "term").select(part_of(F.col("q"), parts).alias("part"), "q", "term", idf(n).alias("idf"))
     packed = keep(weighed.groupBy("part").agg(F.collect_list("q").alias("qs"), F.collect_list("term").alias("asked"), F.collect_list("idf").alias("idf")), "questions")
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, sizes, ends, tf, own, qidf = (batch[c][i].values.to_numpy() for c in ("docs", "sizes", "ends", "tf", "qs", "idf"))
-                named = batch["asked"][i].values.dictionary_encode()
-                qs, of = np.unique(own, return_inverse=True)
-                weights = np.zeros((len(named.dictionary), len(qs)))
-                weights[named.indices.to_numpy(), of] = qidf
-                term = pc.fill_null(pc.index_in(batch["terms"][i].values, value_set=named.dictionary), -1).to_numpy()
-                doc = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
-                hit = np.flatnonzero(term >= 0)
-                term, doc, tf = term[hit], doc[hit], tf[hit]
-                shares = np.zeros((len(ids), len(weights)))
-                shares[doc, term] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
-                score = (shares @ weights).T
-                if k is not None and k < len(ids):
-                    by_id = np.argsort(ids, kind="stable")
-                    best = by_id[np.argsort(-np.round(score[:, by_id], 6), axis=1, kind="stable")[:, :k]]
-                    q, d = np.repeat(np.arange(len(qs)), k), best.ravel()
-                else:
-                    q, d = np.repeat(np.arange(len(qs)), len(ids)), np.tile(np.arange(len(ids)), len(qs))
-                got = score[q, d]
-                good = got > 0
-                yield pa.record_batch({"q": qs[q[good]], "doc": ids[d[good]], "score": got[good]})
+    def matrices(batch: pa.RecordBatch, i: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ids, sizes, ends, tf, own, qidf = (batch[c][i].values.to_numpy() for c in ("docs", "sizes", "ends", "tf", "qs", "idf"))
+        named = batch["asked"][i].values.dictionary_encode()
+        qs, of = np.unique(own, return_inverse=True)
+        weights = np.zeros((len(named.dictionary), len(qs)))
+        weights[named.indices.to_numpy(), of] = qidf
+        found = pc.fill_null(pc.index_in(batch["terms"][i].values, value_set=named.dictionary), -1).to_numpy()
+        starts = np.append(0, ends)
+        for at in range(0, len(ids), BLOCK_DOCS):
+            to = min(at + BLOCK_DOCS, len(ids))
+            term, doc = found[starts[at] : starts[to]], np.repeat(np.arange(to - at), np.diff(starts[at : to + 1]))
+            hit = np.flatnonzero(term >= 0)
+            term, doc, f = term[hit], doc[hit], tf[starts[at] : starts[to]][hit]
+            shares = np.zeros((to - at, len(weights)))
+            shares[doc, term] = f * (K1 + 1) / (f + K1 * (1 - B + B * sizes[at + doc] / mean))
+            score = (shares @ weights).T
+            score[score <= 0] = -np.inf
+            yield qs, ids[at:to], score
+
+    return ScoreBlocks(blocks.select("docs", "sizes", "ends", "terms", "tf"), packed, parts, matrices)
 
-    met = blocks.select("docs", "sizes", "ends", "terms", "tf").crossJoin(F.broadcast(packed) if parts <= 32 else packed)
-    return met.drop("part").mapInArrow(multiply, "q long, doc long, score double").withColumn("doc", F.nullif("doc", F.lit(_NO_ID)))
+
+def block_scores(docs: DataFrame, questions: DataFrame, k: int | None = None, item: str = "doc_id", query: str = "item_id") -> DataFrame:
+    """Rows (q, doc, score) of ``text_blocks``: all of them, or the ``k`` best (equal ones, to 6 decimals, by doc) of each task."""
+    found = text_blocks(docs, questions, item, query)
+    return found.scores() if k is None else found.best(k)

@@ -14,12 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..kept import keep
+from ..kept import keep, small_batches
+from .score_blocks import ScoreBlocks, part_of
 
 #: Vectors that centroids are fitted on at most, rounds of that, cells at most.
 SAMPLE_ROWS, ROUNDS, MOST_CELLS = 8192, 4, 1024
 #: Vectors of a block, queries of one, and vectors that a cell has on average at least: fewer are compared as quickly as they are skipped.
 BLOCK_ROWS, BLOCK_QUERIES, CELL_ROWS = 512, 1024, 4096
+#: Vectors that a task holds until its blocks are full; beyond that, blocks go as they are.
+HELD_ROWS = 65_536
 _CLOSE = 2e-6
 
 
@@ -59,7 +62,7 @@ def _sampled(given: DataFrame, cells: int) -> np.ndarray:
     return fit_centers(x, cells) if len(x) else np.zeros((1, 1))
 
 
-def build_cells(vectors: DataFrame, item: str, column: str = "embedding", cells: int | None = None) -> VectorCells:
+def build_cells(vectors: DataFrame, item: str, column: str = "embedding", cells: int | None = None, block_rows: int = BLOCK_ROWS) -> VectorCells:
     """Cells of ``vectors`` (item, column). Null and zero vectors have no cosine and are left out.
 
     The centroids are fitted on SAMPLE_ROWS vectors at most (those whose item hashes lowest); every vector is in a cell. They
@@ -77,6 +80,7 @@ def build_cells(vectors: DataFrame, item: str, column: str = "embedding", cells:
             wide = float(np.arccos(np.clip(min(cosines), -1, 1)))
             return pa.record_batch({"cell": pa.array([cell], pa.int32()), "n": pa.array([len(ids)], pa.int64()), "ids": pa.array([list(ids)], pa.list_(pa.int64())), "data": pa.array([np.array(rows).tobytes()], pa.binary()), "widest": pa.array([wide])})
 
+        waiting = 0
         for batch in batches:
             good, x = _units(batch["v"])
             if not len(good):
@@ -84,13 +88,19 @@ def build_cells(vectors: DataFrame, item: str, column: str = "embedding", cells:
             cosines = x @ centers.T if len(centers) > 1 else np.full((len(x), 1), -1.0)
             near = cosines.argmax(axis=1)
             for i, c, v, cos in zip(batch["id"].to_numpy()[good].tolist(), near.tolist(), x, cosines.max(axis=1).tolist(), strict=True):
-                held.setdefault(c, []).append((i, v, cos))
-                if len(held[c]) == BLOCK_ROWS:
+                held.setdefault(c, []).append((i, v.copy(), cos))  # not a view, which would hold the batch
+                waiting += 1
+                if len(held[c]) == block_rows:
+                    waiting -= block_rows
                     yield block(c)
+            if waiting > HELD_ROWS:
+                for c in [*held]:
+                    yield block(c)
+                waiting = 0
         for c in [*held]:
             yield block(c)
 
-    blocks = keep(given.mapInArrow(deal, "cell int, n long, ids array<long>, data binary, widest double"), "vector-cells")
+    blocks = keep(small_batches(given).mapInArrow(deal, "cell int, n long, ids array<long>, data binary, widest double"), "vector-cells")
     sizes, widest = np.zeros(len(centers), np.int64), np.zeros(len(centers))
     for r in blocks.groupBy("cell").agg(F.sum("n").alias("n"), F.max("widest").alias("widest")).collect():  # a row for each cell
         sizes[r["cell"]], widest[r["cell"]] = r["n"], r["widest"]
@@ -155,6 +165,23 @@ def all_cosines(cells: VectorCells, queries: DataFrame, query: str, column: str
     return _multiplied(cells, cell_bounds(cells, queries, 1, query, column), _parts(queries), None)
 
 
+def vector_blocks(vectors: DataFrame, queries: DataFrame, item: str, query: str, column: str = "embedding") -> ScoreBlocks:
+    """The cosines of ``vectors`` (item, column) for ``queries`` (query, column), in blocks."""
+    cells = build_cells(vectors, item, column, 1, CELL_ROWS)
+    parts = _parts(queries)
+    units = cell_bounds(cells, queries, 1, query, column).select(part_of(F.col("q"), parts).alias("part"), "q", "v")
+    asked = keep(units.groupBy("part").agg(F.collect_list("q").alias("qs"), F.collect_list("v").alias("qdata")), "questions")
+
+    def matrices(batch: pa.RecordBatch, i: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        qs, ids = (batch[c][i].values.to_numpy() for c in ("qs", "ids"))
+        asked = np.frombuffer(b"".join(batch["qdata"][i].as_py())).reshape(len(qs), -1)
+        x = np.frombuffer(batch["data"][i].as_py()).reshape(len(ids), -1)
+        for at in range(0, len(ids), BLOCK_ROWS):
+            yield qs, ids[at : at + BLOCK_ROWS], asked @ x[at : at + BLOCK_ROWS].T
+
+    return ScoreBlocks(cells.blocks.select("ids", "data"), asked, parts, matrices)
+
+
 def _best(scores: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 6).desc(), "doc"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)

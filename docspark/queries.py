@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import functions as fn
-from .kept import keep, shared_folder
+from .kept import shared_folder
 from .operators import catalog, checked, integrity, inverted_index, mutate, ordered, report, retrieval, session, text, validate, vector_cells
 from .sources import append_stream, read_table
 from .streaming import rate_limit
@@ -519,6 +519,6 @@ def hybrid_rrf(t):
     """Documents have the vector of their number, questions that of theirs."""
     vectors = t("embeddings").select(c("vec_id").alias("doc_id"), "embedding")
     asked = t("benchmark").select("item_id").join(vectors.withColumnRenamed("doc_id", "item_id"), "item_id")
-    sparse = keep(retrieval.bm25_scores(t("documents"), t("benchmark")), "scores")
-    dense = keep(vector_cells.all_cosines(vector_cells.build_cells(vectors, "doc_id"), asked, "item_id"), "scores")
+    sparse = retrieval.bm25_scores(t("documents"), t("benchmark"))
+    dense = vector_cells.vector_blocks(vectors, asked, "doc_id", "item_id")
     return retrieval.fused_topk(sparse, dense, 10).select(c("q").alias("item_id"), c("doc").alias("doc_id"), "rank")

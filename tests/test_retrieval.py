@@ -120,3 +120,41 @@ def test_blocks_shuffle_their_best_only(spark, corpus):
     got = {(r.q, r.doc): round(r.score, 6) for r in every.collect()}
     assert got == {(q, d): round(x, 6) for q, text in corpus[1] for d, x in bm25(corpus[0], text or "").items()}
     assert 0 < best.count() < every.count() / 5
+
+
+def test_rankings_of_blocks_keep_no_scores(spark, corpus, monkeypatch):
+    """Fused from blocks as from lists of all scores; what is kept for it grows with the questions, not with documents times questions."""
+    from docspark.operators import score_blocks, text_blocks
+
+    rng = np.random.default_rng(8)
+    docs, asked = spark.createDataFrame(corpus[0], "doc_id int, text string").coalesce(1), spark.createDataFrame(corpus[1], "item_id int, text string")
+    vectors = spark.createDataFrame([(i, np.round(rng.normal(size=4) * 2).tolist()) for i in range(450)], "doc_id long, embedding array<double>").coalesce(1)
+    queries = vectors.where("doc_id between 1 and 6").withColumnRenamed("doc_id", "item_id")
+    monkeypatch.setattr(text_blocks, "ROW_TERMS", 500)
+    monkeypatch.setattr(score_blocks, "HELD_ROWS", 300)
+    lists = [text_blocks.block_scores(docs, asked), vector_cells.all_cosines(vector_cells.build_cells(vectors, "doc_id"), queries, "item_id")]
+    blocks = [retrieval.bm25_scores(docs, asked), vector_cells.vector_blocks(vectors, queries, "doc_id", "item_id")]
+    sizes, given = [], retrieval.keep
+    for module in (retrieval, score_blocks):
+        monkeypatch.setattr(module, "keep", lambda df, name: (kept := given(df, name), sizes.append((name, kept.count())))[0])
+    got = {(r.q, r["rank"]): r.doc for r in retrieval.fused_topk(*blocks, 6).collect()}
+    assert max(n for _, n in sizes) <= 6 * 2 * 120
+    assert got == {(r.q, r["rank"]): r.doc for r in retrieval.fused_topk(*(x.cache() for x in lists), 6).collect()}
+    for found, scores in zip(blocks, lists, strict=True):
+        rows = [(r.q, r.doc, round(r.score, 6)) for r in scores.collect()]
+        ranks = {(r.q, r.doc): r["rank"] for r in found.ranks(scores.where("doc % 3 = 0").select("q", "doc").unionByName(spark.createDataFrame([(2, 10**6)], "q long, doc long"))).collect()}
+        for q in {q for q, _, _ in rows}:
+            own = sorted((x for x in rows if x[0] == q), key=lambda x: (-x[2], x[1]))
+            assert {x[1]: k for k, x in enumerate(own, 1) if x[1] % 3 == 0} == {d: k for (p, d), k in ranks.items() if p == q}
+
+
+def test_vectors_wait_in_bounded_numbers(spark, monkeypatch):
+    monkeypatch.setattr(vector_cells, "HELD_ROWS", 20)
+    rng = np.random.default_rng(9)
+    vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "vec_id long, embedding array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        cells = vector_cells.build_cells(vectors, "vec_id", cells=4)
+        assert cells.blocks.count() > 20 and cells.blocks.agg({"n": "sum"}).first()[0] == 300 == cells.sizes.sum()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
