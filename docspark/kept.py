@@ -25,10 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: computed once, and safe from lost executors."""
+def keep(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: computed once, and safe from lost executors.
+
+    ``group``: rows of a row group, for wide rows. A task holds a whole one as it writes, and as it reads.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", group) if group else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

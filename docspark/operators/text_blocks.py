@@ -40,7 +40,7 @@ def text_blocks(docs: DataFrame, questions: DataFrame, item: str = "doc_id", que
                 yield pa.record_batch({"n": pa.array([len(sizes)], pa.int64()), "words": pa.array([int(sizes.sum())], pa.int64()), "docs": one(batch["doc"], pa.int64()), "sizes": one(sizes, pa.int64()), "ends": one(ends, pa.int64()), "terms": one(found, pa.string()), "tf": one(tf, pa.int32())})
 
     known = small_batches(counted_words(docs, item)).withColumn("doc", F.coalesce("doc", F.lit(NO_ID)))
-    blocks = keep(known.mapInArrow(pack, shape), "text-blocks")
+    blocks = keep(known.mapInArrow(pack, shape), "text-blocks", 4)
     n, words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     mean = words / n if words else 1.0
     asked = questions.select(F.col(query).cast("long").alias("q"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()

@@ -100,7 +100,7 @@ def build_cells(vectors: DataFrame, item: str, column: str = "embedding", cells:
         for c in [*held]:
             yield block(c)
 
-    blocks = keep(small_batches(given).mapInArrow(deal, "cell int, n long, ids array<long>, data binary, widest double"), "vector-cells")
+    blocks = keep(small_batches(given).mapInArrow(deal, "cell int, n long, ids array<long>, data binary, widest double"), "vector-cells", 8)
     sizes, widest = np.zeros(len(centers), np.int64), np.zeros(len(centers))
     for r in blocks.groupBy("cell").agg(F.sum("n").alias("n"), F.max("widest").alias("widest")).collect():  # a row for each cell
         sizes[r["cell"]], widest[r["cell"]] = r["n"], r["widest"]

@@ -158,3 +158,21 @@ def test_vectors_wait_in_bounded_numbers(spark, monkeypatch):
         assert cells.blocks.count() > 20 and cells.blocks.agg({"n": "sum"}).first()[0] == 300 == cells.sizes.sum()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_wide_rows_are_kept_in_small_row_groups(spark, corpus):
+    import pyarrow.parquet as pq
+
+    from docspark.operators import text_blocks
+
+    rng = np.random.default_rng(10)
+    vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "vec_id long, embedding array<double>").coalesce(1)
+    docs, asked = spark.createDataFrame(corpus[0], "doc_id int, text string").coalesce(1), spark.createDataFrame(corpus[1], "item_id int, text string")
+    text_blocks.ROW_TERMS, most = 50, text_blocks.ROW_TERMS
+    try:
+        tables = [text_blocks.text_blocks(docs, asked).blocks, vector_cells.build_cells(vectors, "vec_id", block_rows=10).blocks]
+    finally:
+        text_blocks.ROW_TERMS = most
+    for table in tables:
+        files = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")) for f in table.inputFiles()]
+        assert table.count() > 20 and max(f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)) <= 8
