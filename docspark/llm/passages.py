@@ -41,8 +41,8 @@ _REPEATS = 4
 RUN = 16
 #: Stretches whose ranges are tried against each other at once.
 RECTANGLES = 36
-#: Cells of a table of ranges and shingles that is held at once.
-_MOST_CELLS = 2_000_000
+#: Cells of a table of ranges and shingles that is held at once, and rows of a key that are compared by one product.
+_MOST_CELLS, _MOST_ROWS = 2_000_000, 512
 
 
 def compact_windows(values: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -583,6 +583,16 @@ def _plausible(rows: list[tuple[int, int, np.ndarray]], label: np.ndarray) -> It
             break
         left = left[good]
     column = np.unique(column, return_inverse=True)[1]
+    # how many shingles two rows have in common: for few rows and shingles by a product of matrices, else row by row
+    if len(left) * (column[-1] + 1) <= _MOST_CELLS and len(left) <= _MOST_ROWS:
+        holds = np.zeros((len(left), column[-1] + 1), np.float32)
+        holds[owner, column] = 1
+        enough = _enough(fewest[left][:, None], fewest[left][None, :], SIMILARITY)
+        one, two = np.nonzero(np.triu((holds @ holds.T >= np.maximum(enough, enough.T)) & (label[left][:, None] != label[left][None, :]), 1))
+        for i, j in zip(left[one].tolist(), left[two].tolist(), strict=True):
+            if label[i] != label[j]:
+                yield i, j
+        return
     by_row = np.argsort(owner, kind="stable")
     ends = np.cumsum(np.bincount(owner, minlength=len(left)))
     by_column = column  # ascending

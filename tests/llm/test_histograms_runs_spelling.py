@@ -426,3 +426,26 @@ def test_only_keys_of_many_documents_meet_their_leader(spark, monkeypatch):
     assert seen["windows"].where("key is not null").count() > 50 and seen["rows"].count() == 0
     plan = passages._led_keys(seen["windows"])._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_rows_of_a_key_are_compared_by_a_product(monkeypatch):
+    rng = np.random.default_rng(13)
+    base = rng.integers(1, 1 << 31, (4, 120)).astype(np.uint32)
+    rows, label = [], []
+    for i in range(60):
+        own = base[i % 4].copy()
+        own[rng.integers(0, 120, rng.integers(0, 90))] = rng.integers(1, 1 << 31)
+        rows.append((i, 0, np.repeat(own[:40], 3) if i % 7 == 0 else own))
+        label.append(i % 5)
+    label = np.array(label)
+    got = [*passages._plausible(rows, label)]
+    assert len(got) > 50 and all(i < j and label[i] != label[j] for i, j in got)
+    monkeypatch.setattr(passages, "_MOST_ROWS", 1)
+    assert [*passages._plausible(rows, label)] == got
+    # what the caller finds to belong together isn't paired any more
+    monkeypatch.undo()
+    seen = []
+    for i, j in passages._plausible(rows, label):
+        seen.append((i, j))
+        label[label == label[j]] = label[i]
+    assert len(seen) <= 4
